@@ -1,11 +1,153 @@
-"""Agreement operators (A16-A24): pairs, contingency cells, kappa family, ICC, rater agreement."""
+"""Agreement operators (A16-A24): pairs, contingency cells, kappa family, ICC, rater agreement.
+
+Pairs are built by an equi-join on (group, case) with ``a < b`` on the paired label, so the
+fan-out is bounded by labels^2 per case (variants or models), never cases^2.  Every statistic
+is then reduced to small sufficient statistics (cells, marginals, sums) per group.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rater_average(ratings: DataFrame, keys=("model", "case_id", "metric"), value: str = "score") -> DataFrame:
     """Mean over raters per (model, case, metric); NULL scores skipped."""
     return ratings.groupBy(*keys).agg(F.avg(value).alias(value))
+
+
+def pairs(df: DataFrame, on: Sequence[str], label: str, value: str, ordered: bool = False,
+          extra: Sequence[str] = ()) -> DataFrame:
+    """All unordered (or ordered) label pairs sharing the ``on`` key: (on..., a, b, x, y, extra_a..., extra_b...)."""
+    a = df.select(*on, F.col(label).alias("a"), F.col(value).alias("x"), *[F.col(e).alias(f"{e}_a") for e in extra])
+    b = df.select(*on, F.col(label).alias("b"), F.col(value).alias("y"), *[F.col(e).alias(f"{e}_b") for e in extra])
+    cond = (F.col("a") != F.col("b")) if ordered else (F.col("a") < F.col("b"))
+    return a.join(b, list(on)).filter(cond)
+
+
+def contingency(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", complete: bool = True) -> DataFrame:
+    """Cells (keys..., x, y, n); ``complete`` drops pairs with a NULL side (pandas crosstab)."""
+    if complete:
+        p = p.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return p.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
+
+
+def zero_fill_cells(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Dense r x c table per group: observed x labels x observed y labels (bounded by labels^2)."""
+    xs = cells.select(*keys, x).distinct()
+    ys = cells.select(*keys, y).distinct()
+    grid = xs.join(ys, list(keys))
+    return (grid.join(cells, [*keys, x, y], "left")
+            .select(*keys, x, y, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+
+
+def _label_index(cells: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Index of each label in the sorted union of observed labels of the group."""
+    labs = cells.select(*keys, F.col(x).alias("lab")).union(cells.select(*keys, F.col(y).alias("lab"))).distinct()
+    w = Window.partitionBy(*keys).orderBy("lab")
+    return labs.withColumn("idx", F.dense_rank().over(w))
+
+
+def cohen_kappa(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", weights: str | None = None) -> DataFrame:
+    """Cohen's kappa per group from cells; ``weights`` None, 'linear' or 'quadratic'.
+
+    kappa = 1 - sum(w*O) / sum(w*E), E = row * col / n, w on the label index (K10).  With 0/1
+    weights this equals (po - pe) / (1 - pe).  NULL when sum(w*E) = 0 (pe = 1)."""
+    keys = list(keys)
+    idx = _label_index(cells, keys, x, y)
+    c = (cells.join(idx.withColumnRenamed("lab", x).withColumnRenamed("idx", "ix"), [*keys, x])
+         .join(idx.withColumnRenamed("lab", y).withColumnRenamed("idx", "iy"), [*keys, y]))
+
+    def w(i, j):
+        if weights is None:
+            return F.when(i == j, 0.0).otherwise(1.0)
+        d = (i - j).cast("double")
+        return F.abs(d) if weights == "linear" else d * d
+
+    obs = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(w(F.col("ix"), F.col("iy")) * F.col("n")).alias("wo"))
+    rows = c.groupBy(*keys, "ix").agg(F.sum("n").alias("r"))
+    cols = c.groupBy(*keys, "iy").agg(F.sum("n").alias("c"))
+    exp = rows.join(cols, keys).groupBy(*keys).agg(F.sum(w(F.col("ix"), F.col("iy")) * F.col("r") * F.col("c")).alias("we_n"))
+    out = obs.join(exp, keys)
+    we = F.col("we_n") / F.col("n")
+    return out.select(*keys, F.col("n").cast("bigint").alias("n"),
+                      F.when(we > 0, 1 - F.col("wo") / we).alias("kappa"))
+
+
+def icc2(long: DataFrame, keys: Sequence[str], target: str = "case_id", rater: str = "evaluator", value: str = "score") -> DataFrame:
+    """ICC(2,1) and ICC(2,k), two-way random effects, absolute agreement, complete targets only.
+
+    One pass of sums per level (target, rater, group): SS_error = SS_total - SS_targets - SS_raters."""
+    keys = list(keys)
+    v = long.filter(F.col(value).isNotNull()).select(*keys, target, rater, F.col(value).cast("double").alias("v"))
+    k_per_group = v.groupBy(*keys).agg(F.count_distinct(rater).alias("k"))
+    per_t = v.groupBy(*keys, target).agg(F.count("*").alias("m"), F.sum("v").alias("t"))
+    complete = per_t.join(k_per_group, keys).filter(F.col("m") == F.col("k")).select(*keys, target, "t", "k")
+    vc = v.join(complete.select(*keys, target), [*keys, target], "left_semi")
+    per_r = vc.groupBy(*keys, rater).agg(F.sum("v").alias("r"))
+    tot = vc.groupBy(*keys).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("nn"))
+    st = complete.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("st2"), F.count("*").alias("n"), F.max("k").alias("k"))
+    sr = per_r.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("sr2"))
+    j = st.join(sr, keys).join(tot, keys)
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    cf = F.col("s") * F.col("s") / F.col("nn")
+    ss_t = F.col("st2") / k - cf
+    ss_r = F.col("sr2") / n - cf
+    ss_tot = F.col("q") - cf
+    j = j.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"),
+                 (ss_t / (n - 1)).alias("ms_t"), (ss_r / (k - 1)).alias("ms_r"),
+                 ((ss_tot - ss_t - ss_r) / ((n - 1) * (k - 1))).alias("ms_e"))
+    ok = (F.col("n") >= 2) & (F.col("k") >= 2)
+    msr, msc, mse = F.col("ms_t"), F.col("ms_r"), F.col("ms_e")
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    return j.select(*keys, "n", "k",
+                    F.when(ok, (msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n)).alias("icc2_1"),
+                    F.when(ok, (msr - mse) / (msr + (msc - mse) / n)).alias("icc2_k"))
+
+
+def rater_pairs(ratings: DataFrame, keys: Sequence[str] = ("model", "metric"), r1: str = "user1", r2: str = "user2",
+                value: str = "score", target: str = "case_id") -> DataFrame:
+    """Complete (target) rows with both raters scored: (keys..., case_id, y1, y2)."""
+    a = ratings.filter((F.col("evaluator") == r1) & F.col(value).isNotNull()).select(*keys, target, F.col(value).alias("y1"))
+    b = ratings.filter((F.col("evaluator") == r2) & F.col(value).isNotNull()).select(*keys, target, F.col(value).alias("y2"))
+    return a.join(b, [*keys, target])
+
+
+def rater_agreement(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact agreement share and mean absolute difference over complete pairs."""
+    return rp.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.avg((F.col("y1") == F.col("y2")).cast("double")).alias("exact_agreement"),
+        F.avg(F.abs(F.col("y1") - F.col("y2"))).alias("mean_abs_difference"),
+    )
+
+
+def agreement_table(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A20-A23 in one table: exact agreement, MAD, weighted kappas, ICC(2,1), ICC(2,k)."""
+    keys = list(keys)
+    ra = rater_agreement(rp, keys)
+    cells = contingency(rp.withColumnRenamed("y1", "x").withColumnRenamed("y2", "y"), keys)
+    kq = cohen_kappa(cells, keys, weights="quadratic").select(*keys, F.col("kappa").alias("quadratic_weighted_kappa"))
+    kl = cohen_kappa(cells, keys, weights="linear").select(*keys, F.col("kappa").alias("linear_weighted_kappa"))
+    target = F.col("case_id") if "metric" in keys else F.concat_ws("|", F.col("case_id").cast("string"), F.col("metric"))
+    long = rp.select(*keys, target.alias("case_id"), F.lit("user1").alias("evaluator"), F.col("y1").alias("score")).unionByName(
+        rp.select(*keys, target.alias("case_id"), F.lit("user2").alias("evaluator"), F.col("y2").alias("score")))
+    ic = icc2(long, keys).select(*keys, F.col("icc2_1").alias("icc2_1_single_rater"), F.col("icc2_k").alias("icc2_k_average_raters"))
+    return ra.join(kq, keys).join(kl, keys).join(ic, keys, "left")
+
+
+def gated_average(ratings: DataFrame, global_agreement: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """If every model's pooled quadratic kappa >= threshold, average the raters, else keep them.
+
+    The gate is a one-row aggregate joined on a constant key (broadcast of one row); both
+    branches stay lazy and are unioned under the flag, so no driver round trip is needed."""
+    gate = (global_agreement.agg(F.bool_and(F.col("quadratic_weighted_kappa") >= threshold).alias("can_average"))
+            .withColumn("_k", F.lit(1)))
+    avg = (rater_average(ratings).withColumn("evaluator", F.lit("average_user1_user2")))
+    keep = ratings.select("model", "case_id", "metric", "score", "evaluator")
+    avg = avg.withColumn("_k", F.lit(1)).join(F.broadcast(gate), "_k").filter(F.col("can_average"))
+    keep = keep.withColumn("_k", F.lit(1)).join(F.broadcast(gate), "_k").filter(~F.col("can_average"))
+    cols = ["model", "case_id", "metric", "evaluator", "score"]
+    return avg.select(*cols).unionByName(keep.select(*cols))
