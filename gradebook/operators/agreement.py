@@ -141,13 +141,11 @@ def agreement_table(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
 def gated_average(ratings: DataFrame, global_agreement: DataFrame, threshold: float = 0.75) -> DataFrame:
     """If every model's pooled quadratic kappa >= threshold, average the raters, else keep them.
 
-    The gate is a one-row aggregate joined on a constant key (broadcast of one row); both
-    branches stay lazy and are unioned under the flag, so no driver round trip is needed."""
-    gate = (global_agreement.agg(F.bool_and(F.col("quadratic_weighted_kappa") >= threshold).alias("can_average"))
-            .withColumn("_k", F.lit(1)))
-    avg = (rater_average(ratings).withColumn("evaluator", F.lit("average_user1_user2")))
-    keep = ratings.select("model", "case_id", "metric", "score", "evaluator")
-    avg = avg.withColumn("_k", F.lit(1)).join(F.broadcast(gate), "_k").filter(F.col("can_average"))
-    keep = keep.withColumn("_k", F.lit(1)).join(F.broadcast(gate), "_k").filter(~F.col("can_average"))
+    The gate is one boolean from a one-row aggregate over the (one row per model) agreement
+    table; it is fetched as a scalar so the returned plan holds only the chosen branch."""
+    row = global_agreement.agg(F.bool_and(F.col("quadratic_weighted_kappa") >= threshold).alias("ok")).first()
+    can_average = bool(row["ok"]) if row is not None and row["ok"] is not None else False
     cols = ["model", "case_id", "metric", "evaluator", "score"]
-    return avg.select(*cols).unionByName(keep.select(*cols))
+    if can_average:
+        return rater_average(ratings).withColumn("evaluator", F.lit("average_user1_user2")).select(*cols)
+    return ratings.select(*cols)

@@ -41,7 +41,7 @@ def mcnemar_p_spark_sql(b: str, c: str) -> str:
 def mcnemar_p_duckdb_sql(b: str, c: str) -> str:
     n = f"({b} + {c})"
     k = f"least({b}, {c})"
-    exact = (f"least(1.0, 2 * list_sum(list_transform(range(0, {k} + 1), lambda i: "
+    exact = (f"least(1.0, 2 * list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: "
              f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0)))))")
     x = f"(power(abs({b} - {c}) - 1, 2) / {n})"
     return f"(CASE WHEN {n} > {MCNEMAR_EXACT_MAX} THEN {chi2_sf_sql(x, '1')} ELSE {exact} END)"
@@ -51,12 +51,12 @@ def mcnemar_exact(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
     """T2 on paired booleans (x, y): b = x and not y, c = y and not x."""
     out = p.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.count_if(F.col(x) & ~F.col(y)).alias("b"),
-        F.count_if(~F.col(x) & F.col(y)).alias("c"),
+        F.count_if(F.col(x) & ~F.col(y)).alias("n_10"),
+        F.count_if(~F.col(x) & F.col(y)).alias("n_01"),
     )
     return out.withColumns({
-        "p_value": F.expr(mcnemar_p_spark_sql("b", "c")),
-        "method": F.when(F.col("b") + F.col("c") > MCNEMAR_EXACT_MAX, "chi2_corrected").otherwise("exact"),
+        "p_value": F.expr(mcnemar_p_spark_sql("n_10", "n_01")),
+        "method": F.when(F.col("n_10") + F.col("n_01") > MCNEMAR_EXACT_MAX, "chi2_corrected").otherwise("exact"),
     })
 
 
