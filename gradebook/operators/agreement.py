@@ -43,37 +43,44 @@ def zero_fill_cells(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str
             .select(*keys, x, y, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
-def _label_index(cells: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Index of each label in the sorted union of observed labels of the group."""
-    labs = cells.select(*keys, F.col(x).alias("lab")).union(cells.select(*keys, F.col(y).alias("lab"))).distinct()
-    w = Window.partitionBy(*keys).orderBy("lab")
-    return labs.withColumn("idx", F.dense_rank().over(w))
+def cell_arrays(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """One row per group holding its cells as ``cs: array<struct<x, y, n>>``.
+
+    Cells are already aggregated, so the array is bounded by (#labels)^2 per group -- not by
+    rows -- and the closed-form statistics below run as higher-order functions on that row."""
+    return cells.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col("n"))).alias("cs"))
+
+
+def _w_sql(i: str, j: str, weights: str | None) -> str:
+    if weights is None:
+        return f"IF({i} = {j}, 0.0D, 1.0D)"
+    if weights == "linear":
+        return f"abs(CAST({i} - {j} AS DOUBLE))"
+    return f"(CAST({i} - {j} AS DOUBLE) * CAST({i} - {j} AS DOUBLE))"
 
 
 def cohen_kappa(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", weights: str | None = None) -> DataFrame:
     """Cohen's kappa per group from cells; ``weights`` None, 'linear' or 'quadratic'.
 
-    kappa = 1 - sum(w*O) / sum(w*E), E = row * col / n, w on the label index (K10).  With 0/1
-    weights this equals (po - pe) / (1 - pe).  NULL when sum(w*E) = 0 (pe = 1)."""
+    kappa = 1 - sum(w*O) / sum(w*E), E = row * col / n, w on the index of the label in the sorted
+    union of observed labels (K10).  With 0/1 weights this equals (po - pe) / (1 - pe).  NULL when
+    sum(w*E) = 0 (pe = 1)."""
     keys = list(keys)
-    idx = _label_index(cells, keys, x, y)
-    c = (cells.join(idx.withColumnRenamed("lab", x).withColumnRenamed("idx", "ix"), [*keys, x])
-         .join(idx.withColumnRenamed("lab", y).withColumnRenamed("idx", "iy"), [*keys, y]))
-
-    def w(i, j):
-        if weights is None:
-            return F.when(i == j, 0.0).otherwise(1.0)
-        d = (i - j).cast("double")
-        return F.abs(d) if weights == "linear" else d * d
-
-    obs = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(w(F.col("ix"), F.col("iy")) * F.col("n")).alias("wo"))
-    rows = c.groupBy(*keys, "ix").agg(F.sum("n").alias("r"))
-    cols = c.groupBy(*keys, "iy").agg(F.sum("n").alias("c"))
-    exp = rows.join(cols, keys).groupBy(*keys).agg(F.sum(w(F.col("ix"), F.col("iy")) * F.col("r") * F.col("c")).alias("we_n"))
-    out = obs.join(exp, keys)
+    a = cell_arrays(cells, keys, x, y)
+    labs = "array_sort(array_distinct(concat(transform(cs, c -> c.x), transform(cs, c -> c.y))))"
+    a = a.withColumn("labs", F.expr(labs))
+    a = a.withColumns({
+        "n": F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)"),
+        "rs": F.expr("transform(labs, l -> aggregate(filter(cs, c -> c.x = l), 0L, (acc, c) -> acc + c.n))"),
+        "cl": F.expr("transform(labs, l -> aggregate(filter(cs, c -> c.y = l), 0L, (acc, c) -> acc + c.n))"),
+        "wo": F.expr(f"aggregate(cs, 0.0D, (acc, c) -> acc + "
+                     f"{_w_sql('array_position(labs, c.x)', 'array_position(labs, c.y)', weights)} * c.n)"),
+    })
+    a = a.withColumn("we_n", F.expr(
+        "aggregate(sequence(1, size(labs)), 0.0D, (acc, i) -> acc + aggregate(sequence(1, size(labs)), 0.0D, "
+        f"(acc2, j) -> acc2 + {_w_sql('i', 'j', weights)} * element_at(rs, i) * element_at(cl, j)))"))
     we = F.col("we_n") / F.col("n")
-    return out.select(*keys, F.col("n").cast("bigint").alias("n"),
-                      F.when(we > 0, 1 - F.col("wo") / we).alias("kappa"))
+    return a.select(*keys, F.col("n").cast("bigint").alias("n"), F.when(we > 0, 1 - F.col("wo") / we).alias("kappa"))
 
 
 def icc2(long: DataFrame, keys: Sequence[str], target: str = "case_id", rater: str = "evaluator", value: str = "score") -> DataFrame:

@@ -63,23 +63,29 @@ def mcnemar_exact(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
 def chi2_association(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", shift_zeros: bool = True) -> DataFrame:
     """Pearson chi-square independence on the dense r x c crosstab of observed labels.
 
-    With ``shift_zeros`` 0.5 is added to every cell when any cell is zero (K3)."""
-    from .agreement import zero_fill_cells
+    With ``shift_zeros`` 0.5 is added to every cell when any cell of the dense table is zero (K3).
+    Works on the per-group cell array (bounded by labels^2): the dense table, marginals and the
+    statistic are higher-order-function expressions on one row per group."""
+    from .agreement import cell_arrays
     keys = list(keys)
-    dense = zero_fill_cells(cells, keys, x, y)
-    shift = dense.groupBy(*keys).agg(
-        (F.min("n") == 0).alias("has_zero"), F.count_distinct(x).alias("r"), F.count_distinct(y).alias("c"))
-    d = dense.join(shift, keys).withColumn(
-        "o", F.col("n").cast("double") + (F.when(F.col("has_zero"), 0.5).otherwise(0.0) if shift_zeros else F.lit(0.0)))
-    rs = d.groupBy(*keys, x).agg(F.sum("o").alias("ro"))
-    cs = d.groupBy(*keys, y).agg(F.sum("o").alias("co"))
-    tot = d.groupBy(*keys).agg(F.sum("o").alias("tt"))
-    e = d.join(rs, [*keys, x]).join(cs, [*keys, y]).join(tot, keys).withColumn("e", F.col("ro") * F.col("co") / F.col("tt"))
-    out = e.groupBy(*keys).agg(
-        F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("statistic"),
-        F.max("r").alias("r"), F.max("c").alias("c"))
-    out = out.withColumn("df", ((F.col("r") - 1) * (F.col("c") - 1)).cast("int"))
-    return out.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df"))).drop("r", "c")
+    a = cell_arrays(cells, keys, x, y).withColumns({
+        "xs": F.expr("array_sort(array_distinct(transform(cs, c -> c.x)))"),
+        "ys": F.expr("array_sort(array_distinct(transform(cs, c -> c.y)))"),
+    })
+    shift = "IF(size(cs) < size(xs) * size(ys), 0.5D, 0.0D)" if shift_zeros else "0.0D"
+    a = a.withColumns({
+        "s": F.expr(shift),
+        "nn": F.expr("aggregate(cs, 0.0D, (acc, c) -> acc + c.n)"),
+        "rs": F.expr("transform(xs, l -> aggregate(filter(cs, c -> c.x = l), 0.0D, (acc, c) -> acc + c.n))"),
+        "cl": F.expr("transform(ys, l -> aggregate(filter(cs, c -> c.y = l), 0.0D, (acc, c) -> acc + c.n))"),
+    })
+    o = ("(aggregate(filter(cs, c -> c.x = element_at(xs, i) AND c.y = element_at(ys, j)), 0.0D, (acc, c) -> acc + c.n) + s)")
+    e = "((element_at(rs, i) + size(ys) * s) * (element_at(cl, j) + size(xs) * s) / (nn + size(xs) * size(ys) * s))"
+    stat = (f"aggregate(sequence(1, size(xs)), 0.0D, (acc, i) -> acc + aggregate(sequence(1, size(ys)), 0.0D, "
+            f"(acc2, j) -> acc2 + ({o} - {e}) * ({o} - {e}) / {e}))")
+    out = a.select(*keys, F.expr(stat).alias("statistic"),
+                   ((F.size("xs") - 1) * (F.size("ys") - 1)).cast("int").alias("df"))
+    return out.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df")))
 
 
 def stuart_maxwell(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
