@@ -1 +1,111 @@
-"""Catalogue module."""
+"""Catalogue: article corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import corpus as C
+from ..sources import fixtures as fx
+from ..sources.tables import load_table
+from .catalog import register
+
+# Fixed value: the literature query the corpus was searched with (one term per year is derived from it).
+BASE_QUERY = ('("Type 1 Diabetes"[Title/Abstract] OR "T1D"[Title/Abstract]) AND ("Pediatric"[Title/Abstract] OR '
+              '"Pediatrics"[Title/Abstract] OR "Neonate"[Title/Abstract] OR "Neonates"[Title/Abstract] OR "Infant"[Title/Abstract] OR '
+              '"Infants"[Title/Abstract] OR "Children"[Title/Abstract] OR "Adolescent"[Title/Abstract] OR "Adolescents"[Title/Abstract]) '
+              'AND ("open access"[filter])')
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register("clean_xrefs", views=("articles",), sql=f"""SELECT doc_id,
+  regexp_replace(regexp_replace(xml, {_sq(C.XREF_WITH_BRACKETS)}, '', 'g'), {_sq(C.XREF_STANDALONE)}, '', 'g') AS xml_clean FROM articles""")
+def clean_xrefs(spark, sf):
+    """Citation xrefs with their brackets and separators removed, then any remaining xref."""
+    return fx.articles(spark, sf).select("doc_id", C.clean_xrefs(F.col("xml")).alias("xml_clean"))
+
+
+@register("normalize_text")
+def normalize_text(spark, sf):
+    """NFKD + whitespace collapse + strip over every whole document text (Arrow UDF; NFKD has no SQL built-in)."""
+    d = load_table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", C.normalize_text(F.col("text")).alias("text_norm"))
+
+
+_META_SQL = """SELECT db, year, doc_id,
+  CASE WHEN db = 'pmc' THEN coalesce(nullif(trim(regexp_extract(xml, '<article-id pub-id-type="pmid">([^<]*)</article-id>', 1)), ''), 'N/A')
+       ELSE coalesce(nullif(trim(regexp_extract(xml, '<PMID[^>]*>([^<]*)</PMID>', 1)), ''), 'N/A') END AS pmid,
+  CASE WHEN db = 'pmc' THEN coalesce(nullif(trim(regexp_extract(xml, '<article-id pub-id-type="pmc">([^<]*)</article-id>', 1)), ''), 'N/A')
+       ELSE coalesce(nullif(trim(regexp_extract(xml, '<ArticleID IdType="pmc">([^<]*)</ArticleID>', 1)), ''), 'N/A') END AS pmc,
+  CASE WHEN db = 'pmc' THEN coalesce(nullif(trim(regexp_extract(xml, '<article-id pub-id-type="doi">([^<]*)</article-id>', 1)), ''), 'N/A')
+       ELSE coalesce(nullif(trim(regexp_extract(xml, '<ArticleID IdType="doi">([^<]*)</ArticleID>', 1)), ''), 'N/A') END AS doi,
+  CASE WHEN db = 'pmc' AND contains(xml, '<article-meta>') AND contains(xml, '<article-title>')
+       THEN trim(regexp_extract(xml, '<article-title>(.*?)</article-title>', 1))
+       WHEN db <> 'pmc' AND contains(xml, '<ArticleTitle>') THEN trim(regexp_extract(xml, '<ArticleTitle>(.*?)</ArticleTitle>', 1))
+       ELSE 'N/A' END AS article_title,
+  'Unknown License Type' AS license_type, 'No License URL Found' AS license_url, 'No Copyright Information Found' AS copyright_text,
+  CASE WHEN db = 'pmc' THEN contains(xml, '<abstract') ELSE contains(xml, '<Abstract') END AS abstract_exists,
+  db = 'pmc' AND contains(xml, '<body>') AS body_exists
+FROM articles"""
+
+
+@register("article_metadata", views=("articles",), sql=_META_SQL, tags=("bench",))
+def article_metadata(spark, sf):
+    """Per-article identifiers, title, licence and existence flags (JVM XPath on the raw XML)."""
+    return C.article_metadata(fx.articles(spark, sf))
+
+
+@register("article_key", views=("articles",), sql=f"""SELECT db, doc_id, CASE WHEN db = 'pmc' THEN pmc ELSE pmid END AS article_key
+FROM ({_META_SQL}) m""")
+def article_key(spark, sf):
+    """The key articles are stored under (pmc id for PMC, pmid for PubMed)."""
+    return C.article_key(C.article_metadata(fx.articles(spark, sf))).select("db", "doc_id", "article_key")
+
+
+@register("metadata_append_split", views=("articles",), sql=f"""SELECT db, year, doc_id, CASE WHEN db = 'pmc' THEN pmc ELSE pmid END AS article_key,
+  CASE WHEN body_exists THEN 'valid' ELSE 'invalid' END AS route FROM ({_META_SQL}) m""")
+def metadata_append_split(spark, sf):
+    """Route articles with a body to the valid table, the rest to the invalid one."""
+    m = C.article_key(C.article_metadata(fx.articles(spark, sf)))
+    return m.select("db", "year", "doc_id", "article_key",
+                    F.when(F.col("body_exists"), "valid").otherwise("invalid").alias("route"))
+
+
+@register("articles_per_year", views=("articles",), sql="SELECT db, year, count(*) AS n_articles FROM articles GROUP BY ALL")
+def articles_per_year(spark, sf):
+    """A35."""
+    return C.articles_per_year(fx.articles(spark, sf))
+
+
+@register("year_grid", views=("articles",), sql=f"""SELECT db, CAST(y.year AS INT) AS year,
+  {_sq(BASE_QUERY)} || ' AND (' || CAST(y.year AS VARCHAR) || '[pdat])' AS query_term
+FROM (SELECT db, min(year) AS s, max(year) AS e FROM articles GROUP BY db) r, LATERAL (SELECT unnest(range(r.s, r.e + 1)) AS year) y""")
+def year_grid(spark, sf):
+    """Every year of each database's range with its per-year search term."""
+    return C.year_grid(fx.articles(spark, sf), BASE_QUERY).select("db", F.col("year").cast("int").alias("year"), "query_term")
+
+
+@register("article_elements", tags=("bench",))
+def article_elements(spark, sf):
+    """Ordered sec / p / AbstractText children per article (figures and tables dropped)."""
+    return C.article_elements(fx.articles(spark, sf))
+
+
+@register("article_sections", tags=("bench",))
+def article_sections(spark, sf):
+    """Section texts keyed by inherited title, same-title parts joined in order."""
+    return C.article_sections(C.article_elements(fx.articles(spark, sf)))
+
+
+@register("section_inventory")
+def section_inventory(spark, sf):
+    """Body sections and loose paragraphs ('blank'), abstract sections."""
+    return C.section_inventory(C.article_elements(fx.articles(spark, sf)))
+
+
+@register("section_map")
+def section_map(spark, sf):
+    """Last-wins MAP<sec_id, title> per article."""
+    return C.sections_map(C.section_inventory(C.article_elements(fx.articles(spark, sf))))
