@@ -1 +1,124 @@
-"""Catalogue module."""
+"""Catalogue: prompt tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import format_ci as fmt_ci
+from ..functions.text import safe_name as safe
+from ..operators import prompts as P
+from ..sources import fixtures as fx
+from .catalog import register
+from .q_agreement import prompt_agreement
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _strip_letters_sql(col: str) -> str:
+    parts = [f"regexp_replace(split_part(string_split({col}, {_sq(m)})[-1], ';', 1), '\\.$', '')" for m in P.OPTION_MARKERS]
+    return "concat_ws('; ', " + ", ".join(parts) + ")"
+
+
+def _prompt_sql(options: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT {_sq(k)} AS prompt_id, {_sq(s)} AS s, {_sq(e)} AS e" for k, (s, e) in P.PROMPTS.items())
+    pad = _sq(P.PAD)
+    return f"""SELECT t.prompt_id, q.case_key,
+  t.s || {pad} || q.case_text || {pad} || q.question || {pad} || 'Options: ' || {options} || '.' || {pad} || t.e || {_sq(chr(10) + ' ' * 12)} AS prompt
+FROM questions q, ({rows}) t WHERE length(q.case_text) > 0"""
+
+
+@register("build_prompts", views=("questions",), sql=_prompt_sql("q.options"))
+def build_prompts(spark, sf):
+    """Prompt per (template, case), empty cases skipped."""
+    return P.build_prompts(fx.questions(spark, sf))
+
+
+@register("build_prompts_no_letter", views=("questions",), sql=_prompt_sql(_strip_letters_sql("q.options")))
+def build_prompts_no_letter(spark, sf):
+    """X10 + X11: prompts with the option letters removed."""
+    return P.build_prompts(fx.questions(spark, sf), eliminate_letters=True)
+
+
+@register("strip_option_letters", views=("questions",), sql=f"SELECT case_key, {_strip_letters_sql('options')} AS options FROM questions")
+def strip_option_letters(spark, sf):
+    """X11."""
+    return fx.questions(spark, sf).select("case_key", P.strip_option_letters(F.col("options")).alias("options"))
+
+
+_RUN = r"^(.*)_promptID_(\d+)_output_(\d+)\.json$"
+
+
+@register("parse_run_name", views=("generations",), sql=f"""SELECT conv_id, turn, file_name,
+  regexp_extract(file_name, '{_RUN}', 1) AS model, regexp_extract(file_name, '{_RUN}', 2) AS prompt_id,
+  CAST(regexp_extract(file_name, '{_RUN}', 3) AS INT) AS experiment_id FROM generations""")
+def parse_run_name(spark, sf):
+    """Identity of a generation file from its name."""
+    return P.parse_run_name(fx.generations(spark, sf)).drop("text")
+
+
+@register("strip_prompt_echo", views=("generations",), sql="SELECT conv_id, turn, string_split(text, 'END')[-1] AS answer FROM generations")
+def strip_prompt_echo(spark, sf):
+    """The generated answer after the last prompt-end marker."""
+    g = fx.generations(spark, sf)
+    return g.select("conv_id", "turn", P.strip_prompt_echo(F.col("text"), "END").alias("answer"))
+
+
+def _answers(spark, sf):
+    g = P.parse_run_name(fx.generations(spark, sf))
+    return g.select("model", "prompt_id", "experiment_id", F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("case_key"),
+                    "turn", P.strip_prompt_echo(F.col("text"), "END").alias("answer"))
+
+
+_ANSWERS_SQL = f"""SELECT regexp_extract(file_name, '{_RUN}', 1) AS model, regexp_extract(file_name, '{_RUN}', 2) AS prompt_id,
+  CAST(regexp_extract(file_name, '{_RUN}', 3) AS INT) AS experiment_id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS case_key, turn,
+  string_split(text, 'END')[-1] AS answer FROM generations"""
+
+
+def _judge_sql(truth_last: bool) -> str:
+    pad = _sq(P.PAD)
+    gap = _sq("\n            \n            ")
+    e1, e2 = ("a.answer", "q.explanation") if truth_last else ("q.explanation", "a.answer")
+    label = "ESAP2" if truth_last else "ESAP1"
+    return f"""SELECT a.model, a.prompt_id, a.experiment_id, a.case_key, a.turn, '{label}' AS order_label,
+  {_sq(P.JUDGE_HEAD)} || {pad} || 'Clinical case: ' || q.case_text || '. ' || {pad} || 'Questions: ' || q.question || {pad}
+  || 'Options: ' || q.options || '.' || {pad} || 'Explanation 1: ' || {e1} || '.' || {gap} || 'Explanation 2: ' || {e2} || '. ' || {gap}
+  || {_sq(P.JUDGE_TAIL)} AS prompt
+FROM ({_ANSWERS_SQL}) a JOIN questions q ON q.case_key = a.case_key"""
+
+
+@register("build_judge_prompts", views=("generations", "questions"), sql=_judge_sql(False))
+def build_judge_prompts(spark, sf):
+    """Self-evaluation prompts, reference explanation first."""
+    return P.build_judge_prompts(_answers(spark, sf), fx.questions(spark, sf))
+
+
+@register("build_judge_prompts_truth_last", views=("generations", "questions"), sql=_judge_sql(True))
+def build_judge_prompts_truth_last(spark, sf):
+    """Reference explanation second."""
+    return P.build_judge_prompts(_answers(spark, sf), fx.questions(spark, sf), truth_last=True)
+
+
+@register("upsert_latest", views=("generations",), sql=f"""SELECT model, prompt_id, experiment_id, case_key,
+  max_by(turn, turn) AS turn, max_by(answer, turn) AS answer FROM ({_ANSWERS_SQL}) a GROUP BY ALL""")
+def upsert_latest(spark, sf):
+    """Per (model, prompt, experiment, case) the latest written answer wins."""
+    return P.upsert_latest(_answers(spark, sf), ["model", "prompt_id", "experiment_id", "case_key"], "turn")
+
+
+@register("config_registry", views=("generations",), sql=f"""SELECT model, experiment_id, prompt_id,
+  CAST(row_number() OVER (PARTITION BY model ORDER BY experiment_id, prompt_id) - 1 AS INT) AS config_id
+FROM (SELECT DISTINCT model, experiment_id, prompt_id FROM ({_ANSWERS_SQL}) a) r""")
+def config_registry(spark, sf):
+    """Experiment ids per model assigned as 'number of earlier configurations'."""
+    runs = _answers(spark, sf).select("model", "experiment_id", "prompt_id").distinct()
+    return P.config_registry(runs, order=("experiment_id", "prompt_id"))
+
+
+@register("format_ci", views=("graded_t0",), sql=None)
+def format_ci(spark, sf):
+    """Display string 'k [lo, hi]' and a file-safe label per variant pair."""
+    pa = prompt_agreement(spark, sf)
+    return pa.select("model", "a", "b", safe(F.concat_ws(" vs ", "model", "a", "b")).alias("label"),
+                     fmt_ci(F.col("fixed_kappa"), F.col("ci_low"), F.col("ci_high")).alias("display"))
