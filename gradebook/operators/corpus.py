@@ -100,6 +100,9 @@ _ELEMENT_SCHEMA = ("db string, year int, doc_id bigint, portion string, position
                    "sec_id string, own_title string, text string")
 
 
+_PREFIX = re.compile(r"(<|</|\s)([A-Za-z_][\w.-]*):(?=[A-Za-z_])")
+
+
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
@@ -128,7 +131,12 @@ def _walk(db: str, xml: str):
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
-        return
+        # undeclared prefixes (xlink:href without xmlns:xlink) are legal input for the reference's
+        # lenient parser; drop the prefixes and retry once
+        try:
+            root = ET.fromstring(_PREFIX.sub(r"\1\2_", xml))
+        except ET.ParseError:
+            return
     _drop(root, {"table-wrap", "fig"})
     abstract = None
     for name in ("Abstract", "abstract", "AbstractText"):  # ElementTree nodes are falsy when childless

@@ -42,6 +42,7 @@ def grade_responses(spark, sf):
        nullif(upper(substring(trim(answer), 1, 1)), '') AS truth, labs = 'Yes' AS labs, has_table = 'Yes' AS has_table
 FROM questions""")
 def ground_truth(spark, sf):
+    """Truth letter (first letter of the answer) and Yes/No covariates as booleans."""
     return G.ground_truth(fx.questions(spark, sf))
 
 
