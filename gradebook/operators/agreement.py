@@ -24,7 +24,8 @@ def pairs(df: DataFrame, on: Sequence[str], label: str, value: str, ordered: boo
     a = df.select(*on, F.col(label).alias("a"), F.col(value).alias("x"), *[F.col(e).alias(f"{e}_a") for e in extra])
     b = df.select(*on, F.col(label).alias("b"), F.col(value).alias("y"), *[F.col(e).alias(f"{e}_b") for e in extra])
     cond = (F.col("a") != F.col("b")) if ordered else (F.col("a") < F.col("b"))
-    return a.join(b, list(on)).filter(cond)
+    # fact-to-fact self join: always shuffle on the case key (never broadcast one side of it)
+    return a.join(b.hint("merge"), list(on)).filter(cond)
 
 
 def contingency(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", complete: bool = True) -> DataFrame:

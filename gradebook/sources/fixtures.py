@@ -65,42 +65,48 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses_t0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-run sheets, long form: (case_id, model, variant, truth, labs, response)."""
-    dims = F.array(*[
-        F.struct(F.lit(mid).alias("mid"), F.lit(m).alias("model"), F.lit(vid).alias("vid"), F.lit(v).alias("variant"))
-        for mid, m in MODELS for vid, v in VARIANTS
-    ])
-    c = cases(spark, sf_dir).select("case_id", "tk", "truth", "labs", F.explode(dims).alias("d"))
-    code = sqmod(F.col("case_id") * K_CASE + F.col("d.mid") * K_MODEL + F.col("d.vid") * K_VARIANT) % 20
-    # the scrambled code is referenced by every CASE branch: compute it once in its own projection
-    c = c.select("case_id", "tk", "truth", "labs", F.col("d.mid").alias("mid"), F.col("d.model").alias("model"),
-                 F.col("d.variant").alias("variant"), code.alias("code"))
-    return c.select(
-        "case_id", "model", "variant", "truth", "labs",
-        _response(F.col("code"), F.col("tk"), F.col("mid")).alias("response"),
-    )
+    """Single-run sheets, long form: (case_id, model, variant, truth, labs, response).
+
+    The 18 answers of a case are computed inside ``transform`` and then exploded: the answer
+    expression lives in the Generate's input, so later filters on the answer stay above the
+    Generate instead of being inlined into the scan side."""
+    sheets = F.array(*[F.struct(F.lit(mid).alias("mid"), F.lit(m).alias("model"), F.lit(vid).alias("vid"), F.lit(v).alias("variant"))
+                       for mid, m in MODELS for vid, v in VARIANTS])
+
+    def answer(d):
+        code = sqmod(F.col("case_id") * K_CASE + d["mid"] * K_MODEL + d["vid"] * K_VARIANT) % 20
+        return F.struct(d["model"].alias("model"), d["variant"].alias("variant"),
+                        _response(code, F.col("tk"), d["mid"]).alias("response"))
+
+    c = cases(spark, sf_dir).select("case_id", "truth", "labs", F.explode(F.transform(sheets, answer)).alias("d"))
+    return c.select("case_id", F.col("d.model").alias("model"), F.col("d.variant").alias("variant"), "truth", "labs",
+                    F.col("d.response").alias("response"))
 
 
 def responses_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated sheets, long form: (case_id, model, temperature, run, truth, response); 180 rows per case."""
+    """Repeated sheets, long form: (case_id, model, temperature, run, truth, response); 180 rows per case.
+
+    Answers are computed per case inside ``transform`` over the (model, temperature, run) grid and
+    exploded afterwards (see ``responses_t0``)."""
     n_runs = len(RUNS)
     per_model = len(TEMPS) * n_runs
-    c = cases(spark, sf_dir).select("case_id", "tk", "truth", F.explode(F.sequence(F.lit(0), F.lit(len(MODELS) * per_model - 1))).alias("i"))
-    mid = (F.col("i") / per_model).cast("int")
-    tid = ((F.col("i") / n_runs).cast("int") % len(TEMPS) + 1)
-    run = (F.col("i") % n_runs + 1).cast("int")
-    c = c.select("case_id", "tk", "truth", mid.alias("mid"), tid.alias("tid"), run.alias("run"))
-    base = F.col("case_id") * K_CASE + F.col("mid") * K_MODEL
-    step = base + F.col("tid") * K_TEMP + F.col("run") * K_RUN
-    c = c.select("case_id", "tk", "truth", "mid", "tid", "run", (sqmod(base) % 20).alias("code0"),
-                 (sqmod(step) % 20).alias("code1"), (sqmod(step + 17) % 10).alias("gate"))
-    temp = F.element_at(F.array(*[F.lit(float(t)) for _, t in TEMPS]), F.col("tid"))
-    resp = F.when(F.col("gate") < F.col("tid") * 2 + 2, _response(F.col("code1"), F.col("tk"), F.col("mid"))).otherwise(
-        _response(F.col("code0"), F.col("tk"), F.col("mid")))
-    return c.select(
-        "case_id", F.concat(F.lit("m"), F.col("mid").cast("string")).alias("model"), temp.alias("temperature"),
-        "run", "truth", resp.alias("response"),
-    )
+    temps = F.array(*[F.lit(float(t)) for _, t in TEMPS])
+
+    def answer(i):
+        mid = (i / per_model).cast("int")
+        tid = (i / n_runs).cast("int") % len(TEMPS) + 1
+        run = (i % n_runs + 1).cast("int")
+        base = F.col("case_id") * K_CASE + mid * K_MODEL
+        step = base + tid * K_TEMP + run * K_RUN
+        resp = F.when(sqmod(step + 17) % 10 < tid * 2 + 2, _response(sqmod(step) % 20, F.col("tk"), mid)).otherwise(
+            _response(sqmod(base) % 20, F.col("tk"), mid))
+        return F.struct(F.concat(F.lit("m"), mid.cast("string")).alias("model"), F.element_at(temps, tid).alias("temperature"),
+                        run.alias("run"), resp.alias("response"))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(len(MODELS) * per_model - 1)), answer)
+    c = cases(spark, sf_dir).select("case_id", "truth", F.explode(grid).alias("d"))
+    return c.select("case_id", F.col("d.model").alias("model"), F.col("d.temperature").alias("temperature"),
+                    F.col("d.run").alias("run"), "truth", F.col("d.response").alias("response"))
 
 
 def responses_machine2(spark: SparkSession, sf_dir: str) -> DataFrame:
