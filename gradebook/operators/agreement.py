@@ -30,9 +30,12 @@ def pairs(df: DataFrame, on: Sequence[str], label: str, value: str, ordered: boo
 
 def contingency(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", complete: bool = True) -> DataFrame:
     """Cells (keys..., x, y, n); ``complete`` drops pairs with a NULL side (pandas crosstab)."""
-    if complete:
-        p = p.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return p.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
+    if not complete:
+        return p.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
+    # NULL sides are dropped by a conditional count on the aggregated rows, not by a Filter:
+    # a Filter on the label would be pushed below the join and re-evaluate the label expression
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return p.groupBy(*keys, x, y).agg(F.count_if(both).alias("n")).filter(F.col("n") > 0)
 
 
 def zero_fill_cells(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

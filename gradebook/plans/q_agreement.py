@@ -85,8 +85,8 @@ def kappa_matrix(spark, sf):
     """A19 (K11): Cohen's kappa for every model pair within a variant, mirrored, diagonal 1."""
     cells = A.contingency(model_pairs(spark, sf), ["variant", "a", "b"])
     kp = A.cohen_kappa(cells, ["variant", "a", "b"])
-    diag = (graded_t0(spark, sf).filter(F.col("valid").isNotNull()).groupBy("variant", "model")
-            .agg(F.count("*").alias("n"))
+    diag = (graded_t0(spark, sf).groupBy("variant", "model")
+            .agg(F.count("valid").alias("n"))
             .select("variant", F.col("model").alias("model_a"), F.col("model").alias("model_b"), "n", F.lit(1.0).alias("kappa")))
     fwd = kp.select("variant", F.col("a").alias("model_a"), F.col("b").alias("model_b"), "n", "kappa")
     bwd = kp.select("variant", F.col("b").alias("model_a"), F.col("a").alias("model_b"), "n", "kappa")
