@@ -69,5 +69,6 @@ def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
     from . import (  # noqa: F401
         q_grading, q_summary, q_agreement, q_inference, q_resample, q_judging, q_corpus, q_prompts, q_reshape, q_landing,
+        q_sources,
     )
     return REGISTRY
