@@ -40,7 +40,7 @@ def read_json_maps(spark: SparkSession, root: str, value_type: T.DataType, whole
 
     ``wholetext`` reads each file as one (possibly pretty-printed) object; otherwise every line
     is one object (large maps split over many lines/files by the writer)."""
-    raw = spark.read.option("wholetext", str(wholetext).lower()).text(root).select(
+    raw = spark.read.text(root, wholetext=wholetext).select(
         "value", F.col("_metadata.file_path").alias("file_path"))
     m = raw.select("file_path", F.from_json("value", value_type).alias("m"))
     return m.select("file_path", F.explode("m").alias("key", "value"))
@@ -79,7 +79,7 @@ def read_rating_sheets(spark: SparkSession, root: str, metrics: list[str]) -> Da
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
     """One XML document per file under ``root/{db}/{year}/{id}.xml`` (or the equivalent
     ``db=/year=/doc_id=`` partition folders)."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(
+    raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("p"))
     flat = r"/([^/=]+)/(\d{4})/(\d+)\.xml$"
     part = r"/db=([^/]+)/year=(\d{4})/doc_id=(\d+)/"
