@@ -77,9 +77,10 @@ def src_generations(spark, sf):
     return RD.read_generations(spark, root, wholetext=False)
 
 
-@register("src_articles", views=("articles",), sql="SELECT db, year, doc_id, xml FROM articles")
+@register("src_articles", views=("articles",), sql="SELECT db, year, doc_id, xml || chr(10) AS xml FROM articles")
 def src_articles(spark, sf):
-    """One XML document per file in db / year / id folders, read whole."""
+    """One XML document per file in db / year / id folders, read whole (file content as is,
+    including the line end the text writer appends)."""
     root = _folder(spark, "articles")
     fx.articles(spark, sf).write.partitionBy("db", "year", "doc_id").text(root)
     return RD.read_articles(spark, root)
