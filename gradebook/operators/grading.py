@@ -61,14 +61,14 @@ def completeness_check(responses: DataFrame, case_set: DataFrame, group_keys: li
     """
     present = responses.select(*group_keys, "case_id").distinct()
     unexpected = present.join(case_set.select("case_id"), "case_id", "left_anti").withColumn("problem", F.lit("unexpected"))
-    sheets = (present.select(F.struct(*group_keys).alias("g")).distinct()
-              .agg(F.collect_list("g").alias("gs"), F.count("*").alias("n_sheets"))
-              .withColumn("_k", F.lit(1)))
+    sheets = present.select(F.struct(*group_keys).alias("g")).distinct()
+    # the sheet list is metadata (one entry per sheet): two scalar subqueries, no join
+    sheet_list = sheets.agg(F.collect_list("g").alias("gs")).scalar()
+    n_sheets = sheets.agg(F.count("*")).scalar()
     seen = present.groupBy("case_id").agg(F.count("*").alias("n_seen"))
     short = (case_set.select("case_id").distinct().join(seen, "case_id", "left")
-             .withColumn("_k", F.lit(1))
-             .join(F.broadcast(sheets), "_k")
-             .filter(F.coalesce(F.col("n_seen"), F.lit(0)) < F.col("n_sheets")))
+             .filter(F.coalesce(F.col("n_seen"), F.lit(0)) < n_sheets)
+             .withColumn("gs", sheet_list))
     grid = short.select("case_id", F.explode("gs").alias("g")).select("case_id", *[F.col(f"g.{k}").alias(k) for k in group_keys])
     missing = grid.join(present, group_keys + ["case_id"], "left_anti").withColumn("problem", F.lit("missing"))
     cols = [*group_keys, "case_id", "problem"]
