@@ -98,7 +98,13 @@ def consistency(responses: DataFrame, keys: Sequence[str], case_key: str = "case
                 denominator: str = "expected", expected_runs: int = 10) -> DataFrame:
     """Per case: top label count / runs (ties keep the count).  ``denominator='observed'`` divides by
     the answers actually present instead of ``expected_runs``."""
-    v = plurality_vote(responses, [*keys, case_key], label, identify_majority=False)
+    # only the top count is needed (ties keep it), so two hash aggregates suffice:
+    # (keys, case, label) counts, then max / sum per (keys, case) -- no window, no sort
+    k = [*keys, case_key]
+    counts = responses.groupBy(*k, label).agg(F.count("*").alias("n"))
+    cand_n = F.when(F.col(label).isNotNull(), F.col("n"))
+    v = counts.groupBy(*k).agg(F.coalesce(F.max(cand_n), F.lit(0)).alias("n_vote"),
+                               F.coalesce(F.sum(cand_n), F.lit(0)).cast("bigint").alias("n_answers"))
     den = F.lit(float(expected_runs)) if denominator == "expected" else F.col("n_answers").cast("double")
     return v.withColumn("consistency", F.col("n_vote") / den)
 
