@@ -12,7 +12,7 @@ from gradebook.operators import grading as G
 from gradebook.operators import prompts as P
 from gradebook.operators import resample as R
 from gradebook.operators import summary as S
-from gradebook.operators.ranking import dense_index, hex_bucket
+from gradebook.operators.ranking import dense_index
 
 
 def test_grade_normalises_and_masks(spark):
@@ -57,10 +57,10 @@ def test_heatmap_buckets_small_counts(spark):
 def test_dense_index_matches_row_number(spark):
     rows = [(g, int(i)) for g in ("a", "b", "c") for i in np.random.default_rng(5).permutation(500)]
     df = spark.createDataFrame(rows, "g string, v long").repartition(7)
-    out = dense_index(df, ["g"], ["v"]).collect()
+    out = dense_index(df, ["g"], ["v"], target=37).collect()
     assert all(r.idx == r.v for r in out)
     h = df.withColumn("h", F.md5(F.col("v").cast("string")))
-    got = sorted((r.g, r.idx, r.h) for r in dense_index(h, ["g"], ["h", "v"], bucket=hex_bucket(F.col("h"))).collect())
+    got = sorted((r.g, r.idx, r.h) for r in dense_index(h, ["g"], ["h", "v"], hex_key=True, target=3).collect())
     for g in ("a", "b", "c"):
         hs = sorted(r[2] for r in got if r[0] == g)
         assert [r[2] for r in got if r[0] == g] == hs
