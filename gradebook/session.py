@@ -35,7 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        cur = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        try:
+            cur = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext, or an older API
+            cur = None
     if not cur:
         cur = tempfile.mkdtemp(prefix="gradebook-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", cur)

@@ -46,8 +46,11 @@ def spread(df: DataFrame) -> DataFrame:
     A small source file is a single scan task; the fan-out views multiply its rows 20-180x, so
     the generation and the map-side partial aggregation must not stay in that one task.  On a
     cluster the source already has many splits and this is a no-op."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no SparkContext (e.g. a remote session): leave the source as it is
         return df
     return df.repartition(target)
 
