@@ -49,45 +49,59 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _xs(xml: Column, path: str) -> Column:
-    return F.xpath_string(xml, F.lit(path))
+# Control characters cannot occur in XML text, so one can separate fields of a single XPath result.
+_SEP = "\u001f"
 
 
-def _xb(xml: Column, path: str) -> Column:
-    return F.xpath_boolean(xml, F.lit(path))
+def _concat(parts: list[str]) -> str:
+    return "concat(" + f", '{_SEP}', ".join(parts) + ")"
+
+
+# field order: pmid, pmc, doi, has_meta, has_title, title, has_license, has_lic_type, lic_type,
+#              has_url, url, has_copyright, copyright, has_body, has_abstract
+_URL = '//ext-link[@ext-link-type="uri"]/@*[name()="xlink:href"]'
+_PMC_FIELDS = _concat([
+    'string(//article-id[@pub-id-type="pmid"])', 'string(//article-id[@pub-id-type="pmc"])',
+    'string(//article-id[@pub-id-type="doi"])', "boolean(//article-meta)", "boolean(//article-title)",
+    "string(//article-title)", "boolean(//license)", "boolean(//license/@license-type)", "string(//license/@license-type)",
+    f"boolean({_URL})", f"string({_URL})", "boolean(//copyright-statement)", "string(//copyright-statement)",
+    "boolean(//body)", "boolean(//abstract)"])
+_PUBMED_FIELDS = _concat([
+    "string(//PMID)", 'string(//ArticleID[@IdType="pmc"])', 'string(//ArticleID[@IdType="doi"])', "'true'",
+    "boolean(//ArticleTitle)", "string(//ArticleTitle)", "'false'", "'false'", "''", "'false'", "''",
+    "boolean(//CopyrightInformation)", "string(//CopyrightInformation)", "'false'", "boolean(//Abstract)"])
 
 
 def article_metadata(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Identifiers, title, licence, copyright, existence flags; per-database field names."""
+    """Identifiers, title, licence, copyright, existence flags; per-database field names.
+
+    One XPath evaluation per document returns every field (joined by a control character that
+    XML text cannot contain), so each document is parsed once."""
     x = F.col(xml_col)
     pmc_db = F.col("db") == "pmc"
-    pmid = F.when(pmc_db, _xs(x, '//article-id[@pub-id-type="pmid"]')).otherwise(_xs(x, "//PMID"))
-    pmc = F.when(pmc_db, _xs(x, '//article-id[@pub-id-type="pmc"]')).otherwise(_xs(x, '//ArticleID[@IdType="pmc"]'))
-    doi = F.when(pmc_db, _xs(x, '//article-id[@pub-id-type="doi"]')).otherwise(_xs(x, '//ArticleID[@IdType="doi"]'))
-    has_meta = F.when(pmc_db, _xb(x, "//article-meta")).otherwise(F.lit(True))
-    title = F.when(pmc_db, _xs(x, "//article-title")).otherwise(_xs(x, "//ArticleTitle"))
-    has_title = F.when(pmc_db, _xb(x, "//article-title")).otherwise(_xb(x, "//ArticleTitle"))
-    has_license = pmc_db & _xb(x, "//license")
-    lic_type = F.when(_xb(x, "//license/@license-type"), _xs(x, "//license/@license-type")).otherwise(F.lit(UNKNOWN_LICENSE))
-    lic_url = F.when(_xb(x, '//ext-link[@ext-link-type="uri"]/@*[name()="xlink:href"]'),
-                     _xs(x, '//ext-link[@ext-link-type="uri"]/@*[name()="xlink:href"]')).otherwise(F.lit(NO_LICENSE_URL))
-    copyright_pmc = F.when(_xb(x, "//copyright-statement"), _strip(_xs(x, "//copyright-statement"))).otherwise(F.lit(NO_COPYRIGHT))
-    copyright_pm = F.when(_xb(x, "//CopyrightInformation"), _xs(x, "//CopyrightInformation")).otherwise(F.lit(NO_COPYRIGHT))
-    body = F.when(pmc_db, _xb(x, "//body")).otherwise(F.lit(False))
-    abstract = F.when(pmc_db, _xb(x, "//abstract")).otherwise(_xb(x, "//Abstract"))
-    out = articles.select(
-        "db", "year", "doc_id",
-        F.when(pmid == "", F.lit(NA)).otherwise(_strip(pmid)).alias("pmid"),
-        F.when(pmc == "", F.lit(NA)).otherwise(_strip(pmc)).alias("pmc"),
-        F.when(doi == "", F.lit(NA)).otherwise(_strip(doi)).alias("doi"),
-        F.when(has_meta & has_title, _strip(title)).otherwise(F.lit(NA)).alias("article_title"),
-        F.when(has_license, lic_type).otherwise(F.lit(UNKNOWN_LICENSE)).alias("license_type"),
-        F.when(has_license, lic_url).otherwise(F.lit(NO_LICENSE_URL)).alias("license_url"),
-        F.when(pmc_db, F.when(has_license, copyright_pmc).otherwise(F.lit(NO_COPYRIGHT))).otherwise(copyright_pm).alias("copyright_text"),
-        abstract.alias("abstract_exists"),
-        body.alias("body_exists"),
+    packed = F.when(pmc_db, F.xpath_string(x, F.lit(_PMC_FIELDS))).otherwise(F.xpath_string(x, F.lit(_PUBMED_FIELDS)))
+    a = articles.select("db", "year", "doc_id", F.split(packed, _SEP).alias("_f"))
+
+    def f(i: int) -> Column:
+        return F.element_at(F.col("_f"), i)
+
+    def flag(i: int) -> Column:
+        return f(i) == "true"
+
+    def na(i: int) -> Column:
+        return F.when(F.coalesce(f(i), F.lit("")) == "", F.lit(NA)).otherwise(_strip(f(i)))
+
+    copyright_pmc = F.when(flag(7) & flag(12), _strip(f(13))).otherwise(F.lit(NO_COPYRIGHT))
+    copyright_pm = F.when(flag(12), f(13)).otherwise(F.lit(NO_COPYRIGHT))
+    return a.select(
+        "db", "year", "doc_id", na(1).alias("pmid"), na(2).alias("pmc"), na(3).alias("doi"),
+        F.when(flag(4) & flag(5), _strip(f(6))).otherwise(F.lit(NA)).alias("article_title"),
+        F.when(flag(7) & flag(8), f(9)).otherwise(F.lit(UNKNOWN_LICENSE)).alias("license_type"),
+        F.when(flag(7) & flag(10), f(11)).otherwise(F.lit(NO_LICENSE_URL)).alias("license_url"),
+        F.when(pmc_db, copyright_pmc).otherwise(copyright_pm).alias("copyright_text"),
+        flag(15).alias("abstract_exists"),
+        flag(14).alias("body_exists"),
     )
-    return out
 
 
 def article_key(meta: DataFrame) -> DataFrame:
