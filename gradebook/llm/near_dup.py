@@ -282,3 +282,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
                       F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
                       F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_copies")), F.lit(1)).alias("n_copies"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of each class' smallest doc_id; of rows equal in doc_id and text one stays."""
+    found = near_duplicates(docs, percent)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    rest = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    twice = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    twice = stage(twice, "twice")
+    single = rest.join(twice, docs["doc_id"] == F.col("_id"), "left_anti")
+    return single.union(rest.join(twice, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import decontam, line_dedup, mixing, near_dup, toxicity
 from .common import table
 
 
@@ -14,8 +15,77 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), *toxicity.KINDS)
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE c AS (SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT s, n, greatest(1, CAST(floor(sqrt(n)) AS BIGINT)) AS r FROM c),
+w AS (SELECT s, n, greatest(1, {mixing.UNITS} * r // (SELECT CAST(sum(r) AS BIGINT) FROM r)) AS a, row_number() OVER (ORDER BY s) AS i FROM r),
+u AS (SELECT list(a ORDER BY i) AS a, CAST(sum(a) AS BIGINT) AS q, count(*) AS z FROM w),
+f(t, used, p) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM u
+  UNION ALL
+  SELECT t + 1, now, list_min(list_transform(range(1, z + 1), lambda i: CASE WHEN now[i] < a[i] AND now[i] * q // a[i] <= t + 1
+                                             THEN ((now[i] + 1) * q + a[i] - 1) // a[i] * 1000000 + i END)) % 1000000
+  FROM (SELECT f.t, u.*, list_transform(range(1, z + 1), lambda i: f.used[i] + CASE WHEN i = f.p THEN 1 ELSE 0 END) AS now FROM f, u WHERE f.t + 1 < u.q) x),
+slots AS (SELECT p AS i, used[p] AS k, t AS slot FROM f WHERE p > 0),
+d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS num FROM d),
+b AS (SELECT o.*, num // {mixing.BLOCK_DOCS} AS block, w.a, w.i, (SELECT q FROM u) AS q FROM o JOIN w USING (s)),
+e AS (SELECT min(((n + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} // a) * (SELECT q FROM u) + slot) AS z
+      FROM w JOIN slots ON slots.i = w.i AND slots.k = ((n + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS}) % a)
+SELECT doc_id, source, a AS units, block, (block // a) * q + slot AS slot, block * q // a AS release, ((block + 1) * q + a - 1) // a AS deadline,
+       ((block // a) * q + slot) * {mixing.BLOCK_DOCS} + num % {mixing.BLOCK_DOCS} AS position, (block // a) * q + slot < (SELECT z FROM e) AS in_mix
+FROM b JOIN slots ON slots.i = b.i AND slots.k = block % a
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents")).drop("ta")
+
+
+OP10_SQL = f"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lower(trim(s[i])) AS norm FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM p) x),
+l AS (SELECT * FROM o WHERE length(norm) >= {line_dedup.MIN_CHARS}),
+c AS (SELECT norm, length(norm) AS n, min(row(doc_id, line_no)) AS f FROM l GROUP BY norm),
+m AS (SELECT norm, f, n, unnest([n, n - 1]) AS m FROM c),
+h AS (SELECT norm, f, m, 0 AS side, left(norm, m // 2) AS part FROM m UNION ALL SELECT norm, f, m, 1, right(norm, m - m // 2) FROM m),
+near AS (SELECT a.norm, min(b.f) AS near FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.f < a.f AND levenshtein(a.norm, b.norm) = 1
+         GROUP BY a.norm),
+z AS (SELECT c.norm, CASE WHEN near < f THEN near ELSE f END AS low, CASE WHEN near < f THEN 1 ELSE 0 END AS edits FROM c LEFT JOIN near ON c.norm = near.norm)
+SELECT l.doc_id, l.line_no, struct_extract(low, 1) AS first_doc_id, struct_extract(low, 2) AS first_line_no, edits
+FROM l JOIN z ON l.norm = z.norm WHERE low < row(l.doc_id, l.line_no)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op5_decontamination": op5_decontamination,
+    "op8_pfair_mixing": op8_pfair_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_pfair_mixing": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
