@@ -7,19 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, near_dup, toxicity
+from . import decontam, language, line_dedup, mixing, near_dup, neighbours, pii, quality, toxicity
 from .common import table
 
 
-def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
-
-
 def remainder(n: int):
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("clean")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, remainder(4) != 2), spans=False)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_spans(docs, pii.fit(docs)))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = neighbours.score(docs, neighbours.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0))
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -78,8 +100,12 @@ FROM l JOIN z ON l.norm = z.norm WHERE low < row(l.doc_id, l.line_no)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
