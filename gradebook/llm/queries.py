@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, line_dedup, mixing, near_dup, neighbours, pii, quality, toxicity
+from . import decontam, katz, language, line_dedup, mixing, near_dup, neighbours, pii, quality, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(docs, pii.fit(docs)))
 
 
+def op6_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, model = katz.katz_scores(table(spark, sf_dir, "documents"), remainder(5) != 1, remainder(5) == 1)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = neighbours.score(docs, neighbours.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_katz_lm": op6_katz_lm,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_toxicity": op9_toxicity,
