@@ -202,36 +202,38 @@ def _search(block, all_rows: bool) -> Callable:
     return fn
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
-    """doc_id, n_words, starts and stops (word spans of the hits, by start), items (sorted names) for every row."""
-    spark = docs.sparkSession
+def _filed_blocks(docs: DataFrame, benchmark: DataFrame, size: int, windows_per_block: int):
+    """(broadcast block with its index filed by counts over ``docs``, whether it is the last), one after the other."""
     known = stage(windows(benchmark, size), "windows")
     blocks = max(1, -(-known.count() // windows_per_block))
-    # the text's own hashes keep apart rows that share a doc_id
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(1), "text").alias("tb"))
     counted = T.StructType([T.StructField(c, T.LongType()) for c in ("s", "k", "n")])
-    spans = T.ArrayType(T.LongType())
-    found = documents_schema(docs, [("ta", T.LongType()), ("tb", T.LongType()), ("n_words", T.LongType()), ("starts", spans),
-                                    ("stops", spans), ("items", T.ArrayType(T.StringType()))])
-    base, more = None, None
+    context = docs.sparkSession.sparkContext
     for b in range(blocks):
         own = Block(known.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect(), size)
-        sent = spark.sparkContext.broadcast(own)
-        rows = docs.select("text").mapInArrow(_count(sent), counted).groupBy("s", "k").agg(F.sum("n").alias("n")).collect()
+        sent = context.broadcast(own)
         counts = {s: np.zeros(len(look.tokens), np.int64) for s, look in own.tokens.items()}
-        for r in rows:
+        for r in docs.select("text").mapInArrow(_count(sent), counted).groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
             counts[r["s"]][r["k"]] = r["n"]
         sent.unpersist()
         own.file(counts)
-        sent = spark.sparkContext.broadcast(own)
-        if b == 0:
-            base = texts.mapInArrow(_search(sent, True), found)
-            if blocks > 1:
-                base = stage(base, "hits")
+        yield context.broadcast(own), b == blocks - 1
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
+    """doc_id, n_words, starts and stops (word spans of the hits, by start), items (sorted names) for every row."""
+    # the text's own hashes keep apart rows that share a doc_id
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(1), "text").alias("tb"))
+    spans = T.ArrayType(T.LongType())
+    found = documents_schema(docs, [("ta", T.LongType()), ("tb", T.LongType()), ("n_words", T.LongType()), ("starts", spans),
+                                    ("stops", spans), ("items", T.ArrayType(T.StringType()))])
+    base, more = None, None
+    for block, last in _filed_blocks(docs, benchmark, size, windows_per_block):
+        if base is None:
+            base = texts.mapInArrow(_search(block, True), found)
+            base = base if last else stage(base, "hits")
         else:
-            part = stage(texts.mapInArrow(_search(sent, False), found), "hits").drop("n_words").dropDuplicates(["doc_id", "ta", "tb"])
+            part = stage(texts.mapInArrow(_search(block, False), found), "hits").drop("n_words").dropDuplicates(["doc_id", "ta", "tb"])
             more = part if more is None else more.union(part)
-            sent.unpersist()
     if more is not None:
         rest = more.groupBy("doc_id", "ta", "tb").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("starts", "stops", "items")))
         same = F.expr("b.doc_id <=> r.doc_id AND b.ta = r.ta AND b.tb = r.tb")
@@ -255,8 +257,24 @@ def digest(hits: DataFrame) -> DataFrame:
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _clean(block) -> Callable:
+    def fn(batches):
+        own = block.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            hit = np.zeros(len(offsets) - 1, bool)
+            for i, j in pieces(offsets):
+                words = find_words(LOWER[data[offsets[i]:offsets[j]]], offsets[i:j + 1] - offsets[i], NOT_ALNUM)
+                start = own.hits(words)[0]
+                hit[i + words.doc[start]] = True
+            yield batch.filter(pa.array(~hit))
+    return fn
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of the benchmark."""
-    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("ta")).alias("doc_id"), "text")
-    gone = contamination(named, benchmark).where(F.size("starts") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.ta").alias("_ta")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ta")), "left_anti")
+    rest = docs
+    for block, last in _filed_blocks(docs, benchmark, size, windows_per_block):
+        rest = rest.mapInArrow(_clean(block), docs.schema)
+        rest = rest if last else stage(rest, "clean")
+    return rest

@@ -117,9 +117,9 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
 
     Rows that lose no line come back as they are, empty ones included.
     """
-    gone = duplicate_lines(docs).distinct().groupBy("doc_id", "ta").agg(F.collect_set("line_no").alias("_gone")) \
-        .withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("ta", "_ta")
-    joined = docs.join(gone, F.expr("doc_id <=> _doc_id") & (F.xxhash64("text") == F.col("_ta")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    return joined.withColumn("text", text).where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    gone = duplicate_lines(docs).distinct().groupBy("doc_id", "ta").agg(F.collect_set("line_no").alias("__llm_gone")) \
+        .withColumnRenamed("doc_id", "__llm_doc_id").withColumnRenamed("ta", "__llm_ta")
+    joined = docs.join(gone, F.expr("doc_id <=> __llm_doc_id") & (F.xxhash64("text") == F.col("__llm_ta")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__llm_gone", i)), "\n")
+    text = F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(rest)
+    return joined.withColumn("text", text).where(F.col("__llm_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

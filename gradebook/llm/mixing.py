@@ -15,7 +15,8 @@ the weights hold to less than one block.  No row is dropped.
 
 Defined results: a null source is a source of its own, before all others.  Null doc_id: ranked first in its source.
 Equal doc_ids get neighbouring numbers in no fixed order.  Empty documents: empty result.  A source missing from given
-``weights`` gets one unit; weights are whole numbers of at least 1.  Other columns pass through unread.
+``weights`` gets one unit; weights are whole numbers of at least 1.  Other columns pass through unread; one that bears
+the name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import stage
 BLOCK_DOCS = 8
 UNITS = 1000       # slots of a period, about
 BROADCAST_SOURCES = 10_000  # up to so many sources the period table is broadcast, beyond it is an ordinary join
+ADDED = ("units", "block", "slot", "release", "deadline", "position", "in_mix")
 DIGITS = 4         # hex digits of the bucket inside a source
 
 _SOURCE = "CASE WHEN source IS NULL THEN '' ELSE concat('=', source) END"
@@ -40,15 +42,15 @@ _ORDER = "md5(coalesce(CAST(doc_id AS STRING), ''))"
 def units(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """One row: ``u``, the sources in order with rows n and slots a of a period, and Q.  By default a source's weight goes with
     the square root of its rows, which lifts small sources without forgetting large ones."""
-    counts = docs.groupBy(F.expr(_SOURCE).alias("_source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(F.expr(_SOURCE).alias("__mix_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         raw = F.expr("greatest(1L, CAST(floor(sqrt(n)) AS BIGINT))")
     else:
         given = F.from_json(F.lit(json.dumps({"=" + k: int(v) for k, v in weights.items()})), "map<string,bigint>")
-        raw = F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.element_at(given, F.col("_source")), F.lit(1).cast("bigint")))
-    one = counts.select("_source", "n", raw.alias("r")).agg(F.array_sort(F.collect_list(F.struct("_source", "n", "r"))).alias("s"))
+        raw = F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.element_at(given, F.col("__mix_source")), F.lit(1).cast("bigint")))
+    one = counts.select("__mix_source", "n", raw.alias("r")).agg(F.array_sort(F.collect_list(F.struct("__mix_source", "n", "r"))).alias("s"))
     scale = f"{UNITS}L * x.r div aggregate(s, 0L, (t, y) -> t + y.r)" if weights is None else "x.r"
-    one = one.select(F.expr(f"transform(s, x -> named_struct('source', x._source, 'n', x.n, 'a', greatest(1L, {scale})))").alias("u"))
+    one = one.select(F.expr(f"transform(s, x -> named_struct('source', x.__mix_source, 'n', x.n, 'a', greatest(1L, {scale})))").alias("u"))
     return one.select("u", F.expr("aggregate(u, 0L, (t, y) -> t + y.a)").alias("q"))
 
 
@@ -63,26 +65,27 @@ def period(one: DataFrame) -> DataFrame:
             'slots', concat(acc.slots, array(named_struct('i', b.i, 'k', acc.used[b.i], 'slot', t, 'due', b.due)))))[0],
         acc -> acc.slots)"""
     rows = one.where("q > 0").select("u", "q", F.explode(F.expr(fold)).alias("x"))
-    return rows.select(F.expr("u[x.i].source").alias("_source"), F.expr("u[x.i].n").alias("_n"), F.expr("u[x.i].a").alias("_a"), F.col("q").alias("_q"),
-                       F.col("x.k").alias("_k"), F.col("x.slot").alias("_slot"))
+    return rows.select(F.expr("u[x.i].source").alias("__mix_source"), F.expr("u[x.i].n").alias("__mix_n"), F.expr("u[x.i].a").alias("__mix_a"), F.col("q").alias("__mix_q"),
+                       F.col("x.k").alias("__mix_k"), F.col("x.slot").alias("__mix_slot"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``docs`` with units, block, slot, release, deadline, position (order of the mix) and in_mix."""
-    rows = docs.withColumn("_source", F.expr(_SOURCE)).withColumn("_order", F.expr(_ORDER)).withColumn("_bucket", F.substring("_order", 1, DIGITS))
-    counts = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_in"))
-    before = counts.select("_source", "_bucket", (F.sum("_in").over(W.partitionBy("_source").orderBy("_bucket")) - F.col("_in")).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_order", "doc_id"))
+    rows = docs.withColumn("__mix_source", F.expr(_SOURCE)).withColumn("__mix_order", F.expr(_ORDER)).withColumn("__mix_bucket", F.substring("__mix_order", 1, DIGITS))
+    counts = rows.groupBy("__mix_source", "__mix_bucket").agg(F.count(F.lit(1)).alias("__mix_in"))
+    before = counts.select("__mix_source", "__mix_bucket", (F.sum("__mix_in").over(W.partitionBy("__mix_source").orderBy("__mix_bucket")) - F.col("__mix_in")).alias("__mix_before"))
+    rank = F.row_number().over(W.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_order", "doc_id"))
     slots = period(units(docs, weights))
-    numbered = rows.withColumn("_rank", rank).join(before, ["_source", "_bucket"]).withColumn("_number", F.col("_before") + F.col("_rank") - 1) \
-        .withColumn("block", F.expr(f"_number div {block_docs}"))
-    own = slots.groupBy("_source").agg(F.max("_a").alias("_a"), F.max("_q").alias("_q"), F.max("_n").alias("_n"),
-                                       F.array_sort(F.collect_list(F.struct("_k", "_slot"))).alias("_slots"))
-    slot = "(({0}) div _a) * _q + _slots[CAST(({0}) % _a AS INT)]._slot"
-    own = stage(own.withColumn("_end", F.min(F.expr(slot.format(f"(_n + {block_docs - 1}) div {block_docs}"))).over(W.partitionBy(F.lit(0)))), "period")
+    numbered = rows.withColumn("__mix_rank", rank).join(before, ["__mix_source", "__mix_bucket"]).withColumn("__mix_number", F.col("__mix_before") + F.col("__mix_rank") - 1) \
+        .withColumn("__mix_block", F.expr(f"__mix_number div {block_docs}"))
+    own = slots.groupBy("__mix_source").agg(F.max("__mix_a").alias("__mix_a"), F.max("__mix_q").alias("__mix_q"), F.max("__mix_n").alias("__mix_n"),
+                                       F.array_sort(F.collect_list(F.struct("__mix_k", "__mix_slot"))).alias("__mix_slots"))
+    slot = "(({0}) div __mix_a) * __mix_q + __mix_slots[CAST(({0}) % __mix_a AS INT)].__mix_slot"
+    own = stage(own.withColumn("__mix_end", F.min(F.expr(slot.format(f"(__mix_n + {block_docs - 1}) div {block_docs}"))).over(W.partitionBy(F.lit(0)))), "period")
     few = own.count() <= BROADCAST_SOURCES
-    placed = numbered.join(F.broadcast(own) if few else own, "_source").withColumn("slot", F.expr(slot.format("block")))
+    placed = numbered.join(F.broadcast(own) if few else own, "__mix_source").withColumn("__mix_place", F.expr(slot.format("__mix_block")))
+    own_columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]
     return placed.select(
-        *docs.columns, F.col("_a").alias("units"), "block", "slot", F.expr("block * _q div _a").alias("release"),
-        F.expr("((block + 1) * _q + _a - 1) div _a").alias("deadline"), F.expr(f"slot * {block_docs} + _number % {block_docs}").alias("position"),
-        (F.col("slot") < F.col("_end")).alias("in_mix"))
+        *own_columns, F.col("__mix_a").alias("units"), F.col("__mix_block").alias("block"), F.col("__mix_place").alias("slot"),
+        F.expr("__mix_block * __mix_q div __mix_a").alias("release"), F.expr("((__mix_block + 1) * __mix_q + __mix_a - 1) div __mix_a").alias("deadline"),
+        F.expr(f"__mix_place * {block_docs} + __mix_number % {block_docs}").alias("position"), (F.col("__mix_place") < F.col("__mix_end")).alias("in_mix"))

@@ -356,14 +356,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable, limit: int = FIT_ROWS, label
     return Model(lexicon, learn_weights(rows, lexicon))
 
 
+def _chances(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(score, matched clauses by kind) of each text."""
+    x = features(data, offsets, model.lexicon)
+    return 1 / (1 + np.exp(-np.clip(model.weights[0] + _design(x) @ model.weights[1:], -30, 30))), x
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and matched clauses by kind for every row."""
     def fn(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in pieces(offsets):
-                x = features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], model.lexicon)
-                p = 1 / (1 + np.exp(-np.clip(model.weights[0] + _design(x) @ model.weights[1:], -30, 30)))
+                p, x = _chances(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], model)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(p), *(pa.array(x[:, k].astype(np.int64)) for k in range(len(KINDS)))],
                                                  names=["doc_id", "score", *KINDS])
 
@@ -373,6 +378,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under ``threshold``."""
-    scored = score(docs.select(F.struct("doc_id", F.xxhash64("text").alias("ta")).alias("doc_id"), "text"), model)
-    gone = scored.where(F.col("score") >= threshold).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.ta").alias("_ta")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ta")), "left_anti")
+    def fn(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            p = [_chances(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], model)[0] for i, j in pieces(offsets)]
+            if p:
+                yield batch.filter(pa.array(np.concatenate(p) < threshold))
+
+    return docs.mapInArrow(fn, docs.schema)
