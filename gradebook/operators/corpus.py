@@ -1,19 +1,18 @@
 """Article corpus jobs (X1-X9, A35, S13-S16 helpers).
 
-Metadata fields come from Spark's JVM XPath functions on the raw XML string.  The ordered walk
-over direct ``sec`` / ``p`` / ``AbstractText`` children (X6) has no built-in -- ``from_xml`` loses
-the interleaving of sections and paragraphs -- so a small stdlib ElementTree helper runs in
-``mapInPandas`` (Arrow batches, one document per row, bounded by the document itself) and emits
-one row per element; title inheritance (W6) and same-title concatenation (X7) are Spark windows
-and aggregates over those rows.
+Each query parses an article once, in ``mapInPandas`` (stdlib ElementTree, one document per row): there is no
+built-in that keeps the order of sections and paragraphs, and the JVM's XPath functions abort a whole job on one
+malformed document.  A document that can't be parsed gives a row whose ``parse_error`` says why.  Title inheritance
+(W6) and same-title concatenation (X7) are Spark windows and aggregates over the element rows.
 """
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,162 +39,188 @@ def _canon(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def normalize_text(s: pd.Series) -> pd.Series:
-    """NFKD, whitespace runs to one space, strip (Python semantics: Unicode-aware whitespace)."""
+def _normalize_any(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else _canon(t))
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def normalize_text(c: Column) -> Column:
+    """NFKD, whitespace runs to one space, strip (Python semantics: Unicode-aware whitespace).
 
+    ASCII has no decompositions, so ASCII rows stay in the JVM; only the others are sent to Python."""
+    ascii_only = c.rlike(r"\A[\x00-\x7F]*\z")
+    plain = F.regexp_replace(F.regexp_replace(c, r"[\x09-\x0D\x1C-\x20]+", " "), r"\A | \z", "")
+    return F.when(ascii_only, plain).otherwise(_normalize_any(F.when(~ascii_only, c)))
 
-# Control characters cannot occur in XML text, so one can separate fields of a single XPath result.
-_SEP = "\u001f"
 
+# ---------------------------------------------------------------- parsing
+_TAG = re.compile(r"<[^<>]*>")
+_PREFIXED = re.compile(r"[\s</]([A-Za-z_][\w.-]*):[A-Za-z_]")
+_ENTITY = re.compile(r"&(?!(?:amp|lt|gt|quot|apos);)([A-Za-z][A-Za-z0-9]*);")
+_ROOT = re.compile(r"<[A-Za-z_][^\s/>]*")
 
-def _concat(parts: list[str]) -> str:
-    return "concat(" + f", '{_SEP}', ".join(parts) + ")"
 
+def _repaired(xml: str) -> str:
+    """Undeclared prefixes declared on the root element, named HTML entities as characters; the text is not touched."""
+    declared = set(re.findall(r"xmlns:([\w.-]+)\s*=", xml)) | {"xml", "xmlns"}
+    missing = sorted({p for t in _TAG.findall(xml) for p in _PREFIXED.findall(t)} - declared)
+    xml = _ENTITY.sub(lambda m: html.unescape(m.group(0)), xml)
+    return _ROOT.sub(lambda m: m.group(0) + "".join(f' xmlns:{p}="urn:{p}"' for p in missing), xml, count=1)
 
-# field order: pmid, pmc, doi, has_meta, has_title, title, has_license, has_lic_type, lic_type,
-#              has_url, url, has_copyright, copyright, has_body, has_abstract
-_URL = '//ext-link[@ext-link-type="uri"]/@*[name()="xlink:href"]'
-_PMC_FIELDS = _concat([
-    'string(//article-id[@pub-id-type="pmid"])', 'string(//article-id[@pub-id-type="pmc"])',
-    'string(//article-id[@pub-id-type="doi"])', "boolean(//article-meta)", "boolean(//article-title)",
-    "string(//article-title)", "boolean(//license)", "boolean(//license/@license-type)", "string(//license/@license-type)",
-    f"boolean({_URL})", f"string({_URL})", "boolean(//copyright-statement)", "string(//copyright-statement)",
-    "boolean(//body)", "boolean(//abstract)"])
-_PUBMED_FIELDS = _concat([
-    "string(//PMID)", 'string(//ArticleID[@IdType="pmc"])', 'string(//ArticleID[@IdType="doi"])', "'true'",
-    "boolean(//ArticleTitle)", "string(//ArticleTitle)", "'false'", "'false'", "''", "'false'", "''",
-    "boolean(//CopyrightInformation)", "string(//CopyrightInformation)", "'false'", "boolean(//Abstract)"])
 
+def parse_article(xml: str | None) -> tuple[ET.Element | None, str | None]:
+    """(root, None), or (None, why it can't be parsed)."""
+    if xml is None:
+        return None, "no document"
+    try:
+        return ET.fromstring(xml), None
+    except ET.ParseError:
+        try:
+            return ET.fromstring(_repaired(xml)), None
+        except ET.ParseError as e:
+            return None, str(e)
 
-def article_metadata(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Identifiers, title, licence, copyright, existence flags; per-database field names.
 
-    One XPath evaluation per document returns every field (joined by a control character that
-    XML text cannot contain), so each document is parsed once."""
-    x = F.col(xml_col)
-    pmc_db = F.col("db") == "pmc"
-    packed = F.when(pmc_db, F.xpath_string(x, F.lit(_PMC_FIELDS))).otherwise(F.xpath_string(x, F.lit(_PUBMED_FIELDS)))
-    a = articles.select("db", "year", "doc_id", F.split(packed, _SEP).alias("_f"))
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
-    def f(i: int) -> Column:
-        return F.element_at(F.col("_f"), i)
 
-    def flag(i: int) -> Column:
-        return f(i) == "true"
+def _find(root, name, **attributes):
+    for el in root.iter():
+        if _local(el.tag) == name and all(el.get(k.replace("_", "-")) == v for k, v in attributes.items()):
+            return el
+    return None
 
-    def na(i: int) -> Column:
-        return F.when(F.coalesce(f(i), F.lit("")) == "", F.lit(NA)).otherwise(_strip(f(i)))
 
-    copyright_pmc = F.when(flag(7) & flag(12), _strip(f(13))).otherwise(F.lit(NO_COPYRIGHT))
-    copyright_pm = F.when(flag(12), f(13)).otherwise(F.lit(NO_COPYRIGHT))
-    return a.select(
-        "db", "year", "doc_id", na(1).alias("pmid"), na(2).alias("pmc"), na(3).alias("doi"),
-        F.when(flag(4) & flag(5), _strip(f(6))).otherwise(F.lit(NA)).alias("article_title"),
-        F.when(flag(7) & flag(8), f(9)).otherwise(F.lit(UNKNOWN_LICENSE)).alias("license_type"),
-        F.when(flag(7) & flag(10), f(11)).otherwise(F.lit(NO_LICENSE_URL)).alias("license_url"),
-        F.when(pmc_db, copyright_pmc).otherwise(copyright_pm).alias("copyright_text"),
-        flag(15).alias("abstract_exists"),
-        flag(14).alias("body_exists"),
-    )
+def _all(root, name) -> list:
+    return [el for el in root.iter() if el is not root and _local(el.tag) == name]
 
 
-def article_key(meta: DataFrame) -> DataFrame:
-    """Pmc id for PMC articles, pmid for PubMed ones."""
-    return meta.withColumn("article_key", F.when(F.col("db") == "pmc", F.col("pmc")).otherwise(F.col("pmid")))
+def _remove(parent, child) -> None:
+    """Take an element out; the text that follows it stays, set off by a space."""
+    tail, at = child.tail, list(parent).index(child)
+    parent.remove(child)
+    if tail:
+        if at:
+            before = parent[at - 1]
+            before.tail = f"{before.tail or ''} {tail}"
+        else:
+            parent.text = f"{parent.text or ''} {tail}"
 
 
-# ---------------------------------------------------------------- element walk
-_ELEMENT_SCHEMA = ("db string, year int, doc_id bigint, portion string, position int, tag string, "
-                   "sec_id string, own_title string, text string")
+def _drop(root, names) -> None:
+    for parent in list(root.iter()):
+        for ch in list(parent):
+            if _local(ch.tag) in names:
+                _remove(parent, ch)
 
 
-_PREFIX = re.compile(r"(<|</|\s)([A-Za-z_][\w.-]*):(?=[A-Za-z_])")
+def _text(el) -> str:
+    return "".join(el.itertext())
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
+def _text_of(el) -> str:
+    parts = [t.strip() for t in el.itertext()]
+    return " ".join(p for p in parts if p)
 
 
-def _find(root, name):
-    for el in root.iter():
-        if _local(el.tag) == name:
-            return el
-    return None
+def _per_article(articles: DataFrame, xml: Column, schema: str, rows_of: Callable) -> DataFrame:
+    """One parse per document; ``rows_of(db, root)`` gives the rows, a document without root one row with parse_error."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for db, year, doc_id, text in zip(pdf["db"], pdf["year"], pdf["doc_id"], pdf["xml"]):
+                root, error = parse_article(text)
+                if root is None:
+                    rows.append({"db": db, "year": year, "doc_id": doc_id, "parse_error": error})
+                else:
+                    rows += [{"db": db, "year": year, "doc_id": doc_id, **r} for r in rows_of(db, root)]
+            out = pd.DataFrame(rows, columns=names).astype(object)
+            yield out.where(out.notna(), None)
+
+    return articles.select("db", "year", "doc_id", xml.alias("xml")).mapInPandas(fn, schema)
+
+
+# ---------------------------------------------------------------- metadata
+_ID_FIELDS = {"pmc": ("article-id", "pub_id_type", "article-title"), "pubmed": ("ArticleID", "IdType", "ArticleTitle")}
+
+
+def _metadata(db: str, root) -> Iterator[dict]:
+    tag, kind, title_tag = _ID_FIELDS["pmc" if db == "pmc" else "pubmed"]
+
+    def value(el) -> str:
+        return (_text(el).strip() or NA) if el is not None else NA
+
+    out = {"pmid": value(_find(root, tag, **{kind: "pmid"}) if db == "pmc" else _find(root, "PMID")),
+           "pmc": value(_find(root, tag, **{kind: "pmc"})), "doi": value(_find(root, tag, **{kind: "doi"})),
+           "license_type": UNKNOWN_LICENSE, "license_url": NO_LICENSE_URL, "copyright_text": NO_COPYRIGHT}
+    if db == "pmc":
+        lic = _find(root, "license")
+        if lic is not None:
+            out["license_type"] = lic.get("license-type", UNKNOWN_LICENSE)
+            link = _find(root, "ext-link", ext_link_type="uri")
+            if link is not None:
+                out["license_url"] = next((v for k, v in link.attrib.items() if k.endswith(("}href", "xlink:href"))), NO_LICENSE_URL)
+            notice = _find(root, "copyright-statement")
+            if notice is not None:
+                out["copyright_text"] = "".join(t.strip() for t in notice.itertext())
+    else:
+        notice = _find(root, "CopyrightInformation")
+        if notice is not None:
+            out["copyright_text"] = _text(notice)
+    title = _find(root, title_tag) if db != "pmc" or _find(root, "article-meta") is not None else None
+    out["article_title"] = _text(title).strip() if title is not None else NA
+    out["abstract_exists"] = _find(root, "abstract" if db == "pmc" else "Abstract") is not None
+    out["body_exists"] = db == "pmc" and _find(root, "body") is not None
+    yield out
+
+
+_METADATA_SCHEMA = ("db string, year int, doc_id bigint, pmid string, pmc string, doi string, article_title string, license_type string, "
+                    "license_url string, copyright_text string, abstract_exists boolean, body_exists boolean, parse_error string")
 
-def _drop(root, names):
-    for parent in list(root.iter()):
-        for ch in list(parent):
-            if _local(ch.tag) in names:
-                parent.remove(ch)
 
+def article_metadata(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """Identifiers, title, licence, copyright and existence flags; a document that can't be parsed has NULL fields,
+    no body, and its ``parse_error``."""
+    m = _per_article(articles, F.col(xml_col), _METADATA_SCHEMA, _metadata)
+    return m.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("abstract_exists", "body_exists")})
 
-def _text_of(el) -> str:
-    parts = [t.strip() for t in el.itertext()]
-    return " ".join(p for p in parts if p)
 
+def article_key(meta: DataFrame) -> DataFrame:
+    """Pmc id for PMC articles, pmid for PubMed ones."""
+    return meta.withColumn("article_key", F.when(F.col("db") == "pmc", F.col("pmc")).otherwise(F.col("pmid")))
 
-def _walk(db: str, xml: str):
-    """Yield (portion, position, tag, sec_id, own_title, text) for direct sec/p/AbstractText children."""
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        # undeclared prefixes (xlink:href without xmlns:xlink) are legal input for the reference's
-        # lenient parser; drop the prefixes and retry once
-        try:
-            root = ET.fromstring(_PREFIX.sub(r"\1\2_", xml))
-        except ET.ParseError:
-            return
+
+# ---------------------------------------------------------------- element walk
+_ELEMENT_SCHEMA = ("db string, year int, doc_id bigint, portion string, position int, tag string, own_title string, text string, parse_error string")
+
+
+def _elements(db: str, root) -> Iterator[dict]:
+    """Direct sec / p / AbstractText children of abstract and body, in order, without figures and tables."""
     _drop(root, {"table-wrap", "fig"})
     abstract = None
     for name in ("Abstract", "abstract", "AbstractText"):  # ElementTree nodes are falsy when childless
         abstract = _find(root, name)
         if abstract is not None:
             break
-    portions = [("abstract", abstract, ("sec", "p", "AbstractText"))]
-    body = _find(root, "body")
-    portions.append(("body", body, ("sec", "p")))
-    for portion, node, tags in portions:
+    for portion, node in (("abstract", abstract), ("body", _find(root, "body"))):
         if node is None:
             continue
-        for pos, el in enumerate(ch for ch in list(node) if _local(ch.tag) in tags):
-            tag = _local(el.tag)
-            own_title, sec_id = None, None
+        for pos, el in enumerate(ch for ch in list(node) if _local(ch.tag) in ("sec", "p", "AbstractText")):
+            tag, own_title = _local(el.tag), None
             if tag == "sec":
-                sec_id = el.get("id", NA)
-                t = _find(el, "title")
-                if t is not None:
-                    txt = _text_of(t)
-                    own_title = txt if txt else None
-                    for parent in el.iter():
-                        if t in list(parent):
-                            parent.remove(t)
-                            break
-            elif tag == "AbstractText":
-                sec_id = el.get("Label", NA)
-            yield portion, pos, tag, sec_id, own_title, _canon(_text_of(el))
+                title = _find(el, "title")
+                if title is not None:
+                    own_title = _text(title).strip() or None
+                    _remove(next(p for p in el.iter() if title in list(p)), title)
+            yield {"portion": portion, "position": pos, "tag": tag, "own_title": own_title, "text": _canon(_text_of(el))}
 
 
 def article_elements(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Ordered element rows per article, after X1 (JVM regex) and figure/table removal."""
-    src = articles.select("db", "year", "doc_id", clean_xrefs(F.col(xml_col)).alias("xml"))
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for db, year, doc_id, xml in zip(pdf["db"], pdf["year"], pdf["doc_id"], pdf["xml"]):
-                if xml is None:
-                    continue
-                for portion, pos, tag, sec_id, own_title, text in _walk(db, xml):
-                    rows.append((db, year, doc_id, portion, pos, tag, sec_id, own_title, text))
-            yield pd.DataFrame(rows, columns=["db", "year", "doc_id", "portion", "position", "tag", "sec_id", "own_title", "text"])
-
-    return src.mapInPandas(fn, _ELEMENT_SCHEMA)
+    """Ordered element rows per article, after X1 (JVM regex) and figure/table removal; one row with ``parse_error`` for a
+    document that can't be parsed."""
+    return _per_article(articles, clean_xrefs(F.col(xml_col)), _ELEMENT_SCHEMA, _elements)
 
 
 def article_sections(elements: DataFrame) -> DataFrame:
@@ -203,7 +228,7 @@ def article_sections(elements: DataFrame) -> DataFrame:
 
     The window is per (article, portion): bounded by one document."""
     w = Window.partitionBy("db", "doc_id", "portion").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    e = elements.withColumn("title", F.coalesce(F.last("own_title", ignorenulls=True).over(w), F.lit(DEFAULT_TITLE)))
+    e = elements.where(F.col("parse_error").isNull()).withColumn("title", F.coalesce(F.last("own_title", ignorenulls=True).over(w), F.lit(DEFAULT_TITLE)))
     g = e.groupBy("db", "year", "doc_id", "portion", "title").agg(
         F.min("position").alias("first_position"),
         F.array_sort(F.collect_list(F.struct("position", "text"))).alias("_parts"))
@@ -211,13 +236,34 @@ def article_sections(elements: DataFrame) -> DataFrame:
     return g.select("db", "year", "doc_id", "portion", "first_position", "title", F.array_join(texts, " ").alias("text"))
 
 
-def section_inventory(elements: DataFrame) -> DataFrame:
-    """Body sections (sec id, title or 'N/A'), 'blank' for paragraphs directly under body,
-    abstract sections (label) -- as rows; ``sections_map`` gives the last-wins id -> title map (K20)."""
-    e = elements.filter(F.col("tag").isin("sec", "AbstractText") | ((F.col("portion") == "body") & (F.col("tag") == "p")))
-    return e.select("db", "year", "doc_id", "portion", "position",
-                    F.when(F.col("tag") == "p", F.lit("blank")).otherwise(F.col("sec_id")).alias("sec_id"),
-                    F.when(F.col("tag") == "p", F.lit("blank")).otherwise(F.coalesce(F.col("own_title"), F.lit(NA))).alias("title"))
+_INVENTORY_SCHEMA = ("db string, year int, doc_id bigint, portion string, position int, sec_id string, title string, label string, "
+                     "nlm_category string, parse_error string")
+
+
+def _inventory(db: str, root) -> Iterator[dict]:
+    """All sections, nested ones too, in document order; then the paragraphs directly under the body as 'blank'."""
+    def of(sec) -> dict:
+        if db != "pmc":
+            return {"label": sec.get("Label", NA), "nlm_category": sec.get("NlmCategory", NA)}
+        title = _find(sec, "title")
+        return {"sec_id": sec.get("id", NA), "title": _text(title).strip() if title is not None else NA}
+
+    abstract = _find(root, "abstract" if db == "pmc" else "Abstract")
+    found = [("abstract", of(x)) for x in _all(abstract, "sec" if db == "pmc" else "AbstractText")] if abstract is not None else []
+    body = _find(root, "body") if db == "pmc" else None
+    if body is not None:
+        found += [("body", of(x)) for x in _all(body, "sec")]
+        found += [("body", {"sec_id": "blank", "title": "blank"}) for p in body if _local(p.tag) == "p"]
+    count: dict[str, int] = {}
+    for portion, fields in found:
+        count[portion] = count.get(portion, -1) + 1
+        yield {"portion": portion, "position": count[portion], **fields}
+
+
+def section_inventory(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """(sec_id, title) of every section of PMC abstracts and bodies, 'blank' for loose body paragraphs; (label, nlm_category)
+    of PubMed abstract texts.  ``sections_map`` gives the last-wins id -> title map (K20)."""
+    return _per_article(articles, F.col(xml_col), _INVENTORY_SCHEMA, _inventory)
 
 
 def sections_map(inventory: DataFrame) -> DataFrame:
@@ -230,6 +276,20 @@ def sections_map(inventory: DataFrame) -> DataFrame:
     return g.select("db", "doc_id", F.map_from_entries(entries).alias("body_sections"))
 
 
+def article_record(articles: DataFrame) -> DataFrame:
+    """One record per article: metadata, article key, and its abstract and body sections as arrays."""
+    inv = section_inventory(articles).where("parse_error IS NULL")
+    section = F.struct("position", "sec_id", "title", "label", "nlm_category")
+
+    def of(portion: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("portion") == portion, section)))
+        return F.transform(rows, lambda x: F.struct(x["sec_id"].alias("sec_id"), x["title"].alias("title"), x["label"].alias("label"),
+                                                    x["nlm_category"].alias("nlm_category"))).alias(f"{portion}_sections")
+
+    sections = inv.groupBy("db", "doc_id").agg(of("abstract"), of("body"))
+    return article_key(article_metadata(articles)).join(sections, ["db", "doc_id"], "left")
+
+
 def articles_per_year(articles: DataFrame) -> DataFrame:
     """A35."""
     return articles.groupBy("db", "year").agg(F.count("*").alias("n_articles"))

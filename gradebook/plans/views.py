@@ -6,6 +6,8 @@ definitions it needs.  Types are pinned (temperature and score DOUBLE) to match
 
 from __future__ import annotations
 
+from ..sources.fixtures import ARTICLE_XML
+
 
 def _sq(x: str) -> str:
     return f"((({x}) % 1000003) * (({x}) % 1000003) % 1000003)"
@@ -57,7 +59,7 @@ FROM (SELECT o.o_orderkey AS case_id, m.model, 'user' || CAST(e.eid AS VARCHAR)
 FROM (SELECT r.case_id, r.model, r.variant, p.pos AS truth_position, {_sq(_JH)} AS h
       FROM responses_t0 r CROSS JOIN (SELECT * FROM (VALUES (1),(2)) AS a(pos)) p
       WHERE r.model IN ('m0','m1') AND r.variant IN ('prompt1','prompt2')) q"""),
-    "questions": (("cases",), """SELECT c.case_id, lpad(CAST(c.case_id AS VARCHAR), 8, '0') AS case_key,
+    "questions": (("cases",), """SELECT c.case_id, CAST(c.case_id AS VARCHAR) AS case_key,
        CASE WHEN c.case_id % 50 = 0 THEN '' ELSE 'Case ' || o.o_orderpriority END AS case_text,
        'Which option fits customer ' || CAST(o.o_custkey AS VARCHAR) || '?' AS question,
        'A. alpha; B. beta; C. gamma; D. delta; E. epsilon.' AS options,
@@ -68,13 +70,7 @@ FROM cases c JOIN orders o ON o.o_orderkey = c.case_id"""),
        'START ' || u.text || ' END' || a.text AS text
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'"""),
-    "articles": ((), """SELECT CASE WHEN doc_id % 4 = 0 THEN 'pubmed' ELSE 'pmc' END AS db, CAST(2018 + doc_id % 5 AS INT) AS year, doc_id,
-       '<article><front><article-meta><article-id pub-id-type="pmid">' || CAST(doc_id + 1000 AS VARCHAR) || '</article-id>'
-       || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '<article-id pub-id-type="pmc">' || CAST(doc_id AS VARCHAR) || '</article-id>' END
-       || '<article-title>' || lang || ' ' || source || '</article-title></article-meta></front>'
-       || CASE WHEN doc_id % 13 = 0 THEN '' ELSE '<body><p>Lead [<xref>1</xref>-<xref>3</xref>] text</p><sec id="s1"><title>Methods</title><p>'
-       || replace(replace(replace(substring(text, 1, 200), '&', '&amp;'), '<', '&lt;'), chr(10), ' ')
-       || ' (<xref rid="r1">2</xref>)</p></sec><sec id="s2"><p>tail</p></sec><fig>f</fig></body>' END || '</article>' AS xml
+    "articles": ((), f"""SELECT CASE WHEN doc_id % 4 = 0 THEN 'pubmed' ELSE 'pmc' END AS db, CAST(2018 + doc_id % 5 AS INT) AS year, doc_id, {ARTICLE_XML} AS xml
 FROM documents"""),
 }
 
