@@ -4,17 +4,18 @@ A document's set holds its distinct five-word shingles over words ``[^\\x20\\x09
 fewer words make one shingle of all of them, no word an empty set, which links with nothing.  Two documents
 link when ``100 * |intersection| >= percent * |union|``; a class is a connected component of links.
 
-1. Every text becomes a signature of ``BANDS * ROWS`` 32-bit minima and a 128-bit key of its whole set.
+1. Every text becomes a signature of ``BANDS * ROWS`` 16-bit minima and a 128-bit key of its whole set.
    Texts with equal sets fall into one class at once (one aggregate), so a group of copies, however large,
    goes on as one representative.
-2. Representatives meet in band buckets.  Buckets over ``BLOCK`` members are cut into pairs of blocks, so a
-   task holds at most two blocks, whatever the bucket's size.  Inside a block pair numpy compares signatures
-   batch by batch; after each batch a pair is dropped when the posterior chance that its similarity reaches
-   the threshold is under ``MISS``.  Pairs stay in the task: only a spanning forest of the survivors, most
-   similar first, leaves it, at most one row per member.
-3. Forest pairs are verified on full shingle sets (``array_intersect``) and connected.
-4. Members of one bucket that are still in different classes are compared again, and now every surviving
-   pair between classes is verified, which makes the classes complete.
+2. Representatives meet in band buckets; of buckets with the same members one is kept.  Buckets over ``BLOCK`` members
+   are cut into pairs of blocks, so a task holds at most two blocks, whatever the bucket's size.  Inside a block pair
+   numpy compares signatures batch by batch; after each batch a pair is dropped when the posterior chance that its
+   similarity reaches the threshold is under ``MISS``.  A pair belongs to the first band it shares.  Surviving pairs
+   leave the task as one packed row for each block pair, most similar first.
+3. The survivors' full shingle sets are sent to their block pairs and verified there, pair by pair, except pairs that
+   links verified there already connect.  So at most one link a member leaves the task, and none between
+   classes is lost.
+4. Links are connected (``components``).
 
 Chances: at similarity 0.85 a pair shares no band with chance 7e-9, and is dropped wrongly with at most
 ``MISS`` per batch; at 0.8 no band is shared with chance 3e-6.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, MULTIPLIERS, _odd_constants, documents_schema, find_words, list_array, mix, pieces, shingles, stage, text_bytes
+from .common import LOWER, MULTIPLIERS, _odd_constants, documents_schema, find_words, mix, pieces, shingles, stage, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -43,7 +44,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32          # hashes compared before each posterior check
 MISS = 1e-7         # chance at which the posterior check gives a pair up
-BLOCK = 512         # members of a bucket compared in one task at once
+BLOCK = 256         # members of a bucket compared in one task at once, with as many others
+BROADCAST_IDS = 2_000_000  # up to so many survivors (8 bytes each) their ids are broadcast to pick their texts
 
 _A = (_odd_constants(HASHES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_odd_constants(HASHES, 13) >> np.uint64(32)).astype(np.uint32)
@@ -86,37 +88,35 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
     return (int(mix(values).sum(dtype=np.uint64)), int((mix(values ^ MULTIPLIERS[9]) * MULTIPLIERS[5]).sum(dtype=np.uint64)))
 
 
-def _signatures(batches):
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for i, j in pieces(offsets):
-            sets = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            n = np.array([len(s) for s in sets], np.int64)
-            sig = np.stack([signature(s) for s in sets])
-            key = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(key[:, 0]), pa.array(key[:, 1]),
-                 pa.array([x.tobytes() for x in sig], pa.binary()),
-                 list_array(pa.array(band_keys(sig).view(np.int64).ravel()), np.full(j - i, BANDS))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"])
+def _described(column: str, describe):
+    """mapInArrow function: doc_id, n_shingles, set key, and the bytes that ``describe`` makes of each set."""
+    def fn(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for i, j in pieces(offsets):
+                sets = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                key = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1]),
+                     pa.array([describe(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", column])
+    return fn
+
+
+def described(docs: DataFrame, column: str, describe) -> DataFrame:
+    schema = documents_schema(docs, [("n_shingles", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), (column, T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(_described(column, describe), schema)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    schema = documents_schema(docs, [("n_shingles", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()),
-                                     ("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", "text").mapInArrow(_signatures, schema)
+    return described(docs, "sig", lambda s: (signature(s) >> np.uint32(16)).astype(np.uint16).tobytes())
 
 
-def _sets(batches):
+def _bands(batches):
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for i, j in pieces(offsets):
-            sets = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            key = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(key[:, 0]), pa.array(key[:, 1]),
-                 list_array(pa.array(np.concatenate(sets).view(np.int64)), np.array([len(s) for s in sets]))],
-                names=["doc_id", "set_a", "set_b", "shingles"])
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        keys = band_keys(sig).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column("doc_id")), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))),
+                                          pa.array(keys.ravel())], names=["doc_id", "band", "bucket"])
 
 
 def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
@@ -134,14 +134,13 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def surviving_pairs(sig: np.ndarray, size: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray,
-                    least: dict[int, int], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of members ``left`` x ``right`` in different groups, the pairs that pass the length bound and every posterior check."""
-    mask = group[left][:, None] != group[right][None, :]
+def surviving_pairs(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least: dict[int, int],
+                    percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of members ``left`` x ``right``, the pairs that pass the length bound and every posterior check, with their matches."""
+    small, large = np.minimum(size[left][:, None], size[right]), np.maximum(size[left][:, None], size[right])
+    mask = 100 * small >= percent * large
     if left is right:
         mask &= np.triu(np.ones_like(mask), 1)
-    small, large = np.minimum(size[left][:, None], size[right]), np.maximum(size[left][:, None], size[right])
-    mask &= 100 * small >= percent * large
     a, b = np.nonzero(mask)
     a, b = left[a], right[b]
     found, done = np.zeros(len(a), np.int64), 0
@@ -155,128 +154,134 @@ def surviving_pairs(sig: np.ndarray, size: np.ndarray, group: np.ndarray, left:
     return a, b, found
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, found: np.ndarray, group: np.ndarray) -> list[int]:
-    """Numbers of the pairs in a spanning forest of the groups, most matches first."""
-    _, label = np.unique(group, return_inverse=True)
-    parent = list(range(int(label.max()) + 1)) if len(label) else []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for i in np.argsort(-found, kind="stable"):
-        x, y = root(label[a[i]]), root(label[b[i]])
-        if x != y:
-            parent[x] = y
-            kept.append(int(i))
-            if len(kept) == len(parent) - 1:
-                break
-    return kept
-
-
-def bucket_pairs(percent: int, forest: bool):
-    """Stream rows sorted by (bucket, block pair); yield the pairs (a, b, matches) of each."""
+def compare_buckets(percent: int):
+    """Rows sorted by block pair (gid) in; for each with surviving pairs one row out: gid, members, packed pairs."""
     least = least_matches(percent / 100)
 
-    def run(key, own, ids, group, size, sig, side):
-        if len(ids) < 2:
-            return None
+    def run(bucket, own, ids, size, sig, side, same):
         left = np.flatnonzero(side == 0)
-        right = left if key[1] == key[2] else np.flatnonzero(side == 1)
-        a, b, found = surviving_pairs(sig, size, group, left, right, least, percent)
+        right = left if same else np.flatnonzero(side == 1)
+        a, b, found = surviving_pairs(sig, size, left, right, least, percent)
         if len(a):  # a pair belongs to the first band it shares
-            first = np.argmax(own[a] == own[b], axis=1)
-            mine = own[a, first] == key[0]
+            mine = own[a, np.argmax(own[a] == own[b], axis=1)] == bucket
             a, b, found = a[mine], b[mine], found[mine]
-        if forest and len(a):
-            keep = _forest(len(ids), a, b, found, group)
-            a, b = a[keep], b[keep]
-        return (ids[a], ids[b]) if len(a) else None
+        if not len(a):
+            return None
+        order = np.argsort(-found, kind="stable")
+        members, places = np.unique(np.stack([a, b])[:, order], return_inverse=True)
+        return ids[members], places.reshape(2, -1).astype(np.int32)
 
     def flush(held):
-        keys = np.array([[r["bucket"], r["bi"], r["bj"]] for r in held], np.int64).reshape(-1, 3)
-        sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint32).reshape(len(held), HASHES)
+        gid, bucket = (np.array([r[c] for r in held], np.int64) for c in ("gid", "bucket"))
+        sig = np.frombuffer(b"".join(r["sig"] for r in held), np.uint16).reshape(len(held), HASHES)
         own = band_keys(sig).view(np.int64)
-        ids, group = np.array([r["doc_id"] for r in held]), np.array([r["comp"] for r in held])
-        size, side = np.array([r["n_shingles"] for r in held]), np.array([r["side"] for r in held])
-        cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+        ids, size, side = (np.array([r[c] for r in held], np.int64) for c in ("doc_id", "n_shingles", "side"))
+        same = np.array([r["bi"] == r["bj"] for r in held])
+        cuts = np.flatnonzero(gid[1:] != gid[:-1]) + 1
+        out = []
         for i, j in zip([0, *cuts], [*cuts, len(held)]):
-            got = run(keys[i], own[i:j], ids[i:j], group[i:j], size[i:j], sig[i:j], side[i:j])
+            got = run(bucket[i], own[i:j], ids[i:j], size[i:j], sig[i:j], side[i:j], same[i]) if j - i > 1 else None
             if got is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*got)), pa.array(np.maximum(*got))], names=["a", "b"])
+                out.append((gid[i], got[0], got[1].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())),
+                                          pa.array([x[2] for x in out], pa.binary())], names=["gid", "members", "pairs"])
 
     def fn(batches):
         held, last = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                key = (row["bucket"], row["bi"], row["bj"])
-                if key != last and len(held) >= 4 * BLOCK:
+                if row["gid"] != last and len(held) >= 4 * BLOCK:
                     yield from flush(held)
                     held = []
                 held.append(row)
-                last = key
+                last = row["gid"]
         if held:
             yield from flush(held)
 
     return fn
 
 
-def candidate_pairs(reps: DataFrame, comp: DataFrame | None, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of representatives that share a bucket, differ in class and pass the posterior checks."""
-    if comp is None:
-        members = reps.withColumn("comp", F.col("doc_id"))
-    else:
-        members = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "comp", F.coalesce("component", "doc_id"))
-    rows = members.select("doc_id", "comp", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    spread = placed.select("doc_id", "comp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select(
-        "doc_id", "comp", "bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
+    """Block pairs of buckets with the representatives of their surviving pairs and those pairs, packed."""
+    rows = reps.mapInArrow(_bands, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("bucket", T.LongType())]))
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.bit_xor(F.xxhash64("doc_id")).alias("who"),
+                                         F.min("band").alias("band")).where("n > 1")
+    # buckets of equal members meet the same pairs: the one of the first band stays
+    buckets = buckets.groupBy("n", "low", "who").agg(F.min(F.struct("band", "bucket")).alias("one")).select("one.bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.select("doc_id", "bucket").join(buckets, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = placed.select("doc_id", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("doc_id", "bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+                           F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")).withColumn("gid", F.xxhash64("bucket", "bi", "bj"))
     spread = spread.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj") \
-        .mapInArrow(bucket_pairs(percent, forest), schema).distinct()
+    schema = T.StructType([T.StructField("gid", T.LongType()), T.StructField("members", T.ArrayType(T.LongType())), T.StructField("pairs", T.BinaryType())])
+    return spread.repartition("gid").sortWithinPartitions("gid").mapInArrow(compare_buckets(percent), schema)
+
+
+def verify_groups(percent: int):
+    """Rows sorted by (gid, place) in, the packed pairs first; out: links that connect all pairs verified on full sets."""
+    def check(pairs, ids, sets):
+        parent = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in np.frombuffer(pairs, np.int32).reshape(2, -1).T.tolist():
+            x, y = root(a), root(b)
+            if x != y:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    parent[max(x, y)] = min(x, y)
+                    yield min(ids[a], ids[b]), max(ids[a], ids[b])
+
+    def fn(batches):
+        gid, pairs, ids, sets = None, None, {}, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["gid"] != gid:
+                    if pairs is not None:
+                        out += check(pairs, ids, sets)
+                    gid, pairs, ids, sets = row["gid"], None, {}, {}
+                if row["place"] < 0:
+                    pairs = row["bytes"]
+                else:
+                    ids[row["place"]], sets[row["place"]] = row["doc_id"], np.frombuffer(row["bytes"], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        out = list(check(pairs, ids, sets)) if pairs is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
+    return fn
 
-def verified_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    schema = documents_schema(docs, [("set_a", T.LongType()), ("set_b", T.LongType()), ("shingles", T.ArrayType(T.LongType()))])
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, schema) \
-        .join(reps.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    sets = stage(sets, "sets").dropDuplicates(["doc_id"])
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a") \
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either")) \
-        .where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
+
+def verified_links(groups: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of representatives whose full shingle sets reach the threshold; they connect all that do."""
+    members = groups.select("gid", F.posexplode("members").alias("place", "doc_id"))
+    ids = stage(members.select("doc_id").distinct(), "members")
+    few = ids.count() <= BROADCAST_IDS
+    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = described(some, "bytes", lambda s: s.tobytes()).drop("n_shingles")
+    named = members.join(reps.select("doc_id", "set_a", "set_b"), "doc_id").join(sets, ["doc_id", "set_a", "set_b"])
+    rows = named.select("gid", "place", "doc_id", "bytes").union(
+        groups.select("gid", F.lit(-1).alias("place"), F.lit(None).cast("long").alias("doc_id"), F.col("pairs").alias("bytes")))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    return rows.repartition("gid").sortWithinPartitions("gid", "place").mapInArrow(verify_groups(percent), schema)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_copies (rows with an equal set) for every row of ``docs``."""
-    signed = stage(signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "signatures")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = stage(signatures(texts), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    heads = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("set_a", "set_b")).alias("s")) \
-        .select("doc_id", "s.set_a", "s.set_b")
-    reps = stage(named.join(heads, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"]), "reps")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stage(candidate_pairs(reps, None, percent, True), "pairs_forest")
-    links = stage(verified_links(first, texts, reps, percent), "links_forest")
-    comp = components(links)
-    rest = stage(candidate_pairs(reps, comp, percent, False).join(first, ["a", "b"], "left_anti"), "pairs_rest")
-    more = stage(verified_links(rest, texts, reps, percent), "links_rest")
-    comp = components(links.union(more))
+    heads = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("set_a", "set_b")).alias("s")).select("doc_id", "s.set_a", "s.set_b")
+    reps = stage(named.join(heads, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]), "reps")
+    groups = stage(candidate_groups(reps, percent), "groups")
+    comp = components(verified_links(groups, texts, reps, percent))
     reached = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("set_a", "set_b", "n_copies", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("sig", "bands").join(reached, ["set_a", "set_b"], "left")
+    out = signed.drop("sig").join(reached, ["set_a", "set_b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
@@ -286,10 +291,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of each class' smallest doc_id; of rows equal in doc_id and text one stays."""
-    found = near_duplicates(docs, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    twice = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
-    twice = stage(twice, "twice")
-    single = rest.join(twice, docs["doc_id"] == F.col("_id"), "left_anti")
-    return single.union(rest.join(twice, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = stage(near_duplicates(docs, percent).select("doc_id", "kept"), "found")
+    gone = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("__llm_id")).distinct(), "gone")
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == F.col("__llm_id"), "left_anti")
+    twice = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__llm_id")).agg(F.count(F.lit(1)).alias("__llm_n"))
+    twice = stage(twice.where("__llm_n > 1").select("__llm_id"), "twice")
+    if not twice.take(1):
+        return rest
+    single = rest.join(twice, docs["doc_id"] == F.col("__llm_id"), "left_anti")
+    return single.union(rest.join(twice, docs["doc_id"] == F.col("__llm_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
