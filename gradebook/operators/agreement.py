@@ -1,8 +1,9 @@
 """Agreement operators (A16-A24): pairs, contingency cells, kappa family, ICC, rater agreement.
 
-Pairs are built by an equi-join on (group, case) with ``a < b`` on the paired label, so the
-fan-out is bounded by labels^2 per case (variants or models), never cases^2.  Every statistic
-is then reduced to small sufficient statistics (cells, marginals, sums) per group.
+Values that belong to one case are brought side by side by ONE conditional aggregate over the known labels
+(variants, models, raters), and pairs of labels are an explode of that row: one scan, one shuffle, no self-join, and a
+fan-out bounded by labels^2 per case.  Every statistic then comes from the cells (x, y, n) of a group, at most labels^2
+of them, as closed forms on one row.
 """
 
 from __future__ import annotations
@@ -18,14 +19,25 @@ def rater_average(ratings: DataFrame, keys=("model", "case_id", "metric"), value
     return ratings.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def pairs(df: DataFrame, on: Sequence[str], label: str, value: str, ordered: bool = False,
-          extra: Sequence[str] = ()) -> DataFrame:
-    """All unordered (or ordered) label pairs sharing the ``on`` key: (on..., a, b, x, y, extra_a..., extra_b...)."""
-    a = df.select(*on, F.col(label).alias("a"), F.col(value).alias("x"), *[F.col(e).alias(f"{e}_a") for e in extra])
-    b = df.select(*on, F.col(label).alias("b"), F.col(value).alias("y"), *[F.col(e).alias(f"{e}_b") for e in extra])
-    cond = (F.col("a") != F.col("b")) if ordered else (F.col("a") < F.col("b"))
-    # fact-to-fact self join: always shuffle on the case key (never broadcast one side of it)
-    return a.join(b.hint("merge"), list(on)).filter(cond)
+def side_by_side(df: DataFrame, on: Sequence[str], label: str, labels: Sequence, values: Sequence[str]) -> DataFrame:
+    """One row per ``on`` key with a struct of ``values`` for each label (NULL where the key has no such row)."""
+    row = F.struct(*values)
+    return df.groupBy(*on).agg(*[F.max(F.when(F.col(label) == v, row)).alias(f"_{i}") for i, v in enumerate(labels)])
+
+
+def pairs(df: DataFrame, on: Sequence[str], label: str, value: str, labels: Sequence, extra: Sequence[str] = ()) -> DataFrame:
+    """All unordered pairs of the given labels sharing the ``on`` key: (on..., a, b, x, y, extra_a..., extra_b...).
+
+    A (key, label) has one row; pairs come in the order of ``labels``."""
+    wide = side_by_side(df, on, label, labels, [value, *extra])
+    made = []
+    for i, a in enumerate(labels):
+        for j in range(i + 1, len(labels)):
+            p, q = F.col(f"_{i}"), F.col(f"_{j}")
+            both = F.struct(F.lit(a).alias("a"), F.lit(labels[j]).alias("b"), p[value].alias("x"), q[value].alias("y"),
+                            *[p[e].alias(f"{e}_a") for e in extra], *[q[e].alias(f"{e}_b") for e in extra])
+            made.append(F.when(p.isNotNull() & q.isNotNull(), both))
+    return wide.select(*on, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("_p")).select(*on, "_p.*")
 
 
 def contingency(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", complete: bool = True) -> DataFrame:
@@ -38,15 +50,6 @@ def contingency(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", c
     return p.groupBy(*keys, x, y).agg(F.count_if(both).alias("n")).filter(F.col("n") > 0)
 
 
-def zero_fill_cells(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Dense r x c table per group: observed x labels x observed y labels (bounded by labels^2)."""
-    xs = cells.select(*keys, x).distinct()
-    ys = cells.select(*keys, y).distinct()
-    grid = xs.join(ys, list(keys))
-    return (grid.join(cells, [*keys, x, y], "left")
-            .select(*keys, x, y, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
-
-
 def cell_arrays(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """One row per group holding its cells as ``cs: array<struct<x, y, n>>``.
 
@@ -69,12 +72,17 @@ def cohen_kappa(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y
     kappa = 1 - sum(w*O) / sum(w*E), E = row * col / n, w on the index of the label in the sorted
     union of observed labels (K10).  With 0/1 weights this equals (po - pe) / (1 - pe).  NULL when
     sum(w*E) = 0 (pe = 1)."""
-    keys = list(keys)
-    a = cell_arrays(cells, keys, x, y)
+    a = with_kappa(cell_arrays(cells, list(keys), x, y), weights, "kappa")
+    return a.select(*keys, F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)").alias("n"), "kappa")
+
+
+def with_kappa(a: DataFrame, weights: str | None, name: str) -> DataFrame:
+    """``a`` (a row per group with its cells ``cs``) with Cohen's kappa as column ``name``."""
     labs = "array_sort(array_distinct(concat(transform(cs, c -> c.x), transform(cs, c -> c.y))))"
+    kept = a.columns
     a = a.withColumn("labs", F.expr(labs))
     a = a.withColumns({
-        "n": F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)"),
+        "_n": F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)"),
         "rs": F.expr("transform(labs, l -> aggregate(filter(cs, c -> c.x = l), 0L, (acc, c) -> acc + c.n))"),
         "cl": F.expr("transform(labs, l -> aggregate(filter(cs, c -> c.y = l), 0L, (acc, c) -> acc + c.n))"),
         "wo": F.expr(f"aggregate(cs, 0.0D, (acc, c) -> acc + "
@@ -83,80 +91,93 @@ def cohen_kappa(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y
     a = a.withColumn("we_n", F.expr(
         "aggregate(sequence(1, size(labs)), 0.0D, (acc, i) -> acc + aggregate(sequence(1, size(labs)), 0.0D, "
         f"(acc2, j) -> acc2 + {_w_sql('i', 'j', weights)} * element_at(rs, i) * element_at(cl, j)))"))
-    we = F.col("we_n") / F.col("n")
-    return a.select(*keys, F.col("n").cast("bigint").alias("n"), F.when(we > 0, 1 - F.col("wo") / we).alias("kappa"))
+    we = F.col("we_n") / F.col("_n")
+    return a.select(*kept, F.when(we > 0, 1 - F.col("wo") / we).alias(name))
+
+
+def _icc(n: str, k: str, ms_t: str, ms_r: str, ms_e: str) -> tuple:
+    """ICC(2,1) and ICC(2,k) from mean squares of targets, raters and error; NULL under two targets or raters."""
+    kd, nd = f"CAST({k} AS DOUBLE)", f"CAST({n} AS DOUBLE)"
+    single = f"({ms_t} - {ms_e}) / ({ms_t} + ({kd} - 1) * {ms_e} + {kd} * ({ms_r} - {ms_e}) / {nd})"
+    average = f"({ms_t} - {ms_e}) / ({ms_t} + ({ms_r} - {ms_e}) / {nd})"
+    return tuple(F.expr(f"IF({n} >= 2 AND {k} >= 2, {e}, NULL)") for e in (single, average))
 
 
 def icc2(long: DataFrame, keys: Sequence[str], target: str = "case_id", rater: str = "evaluator", value: str = "score") -> DataFrame:
-    """ICC(2,1) and ICC(2,k), two-way random effects, absolute agreement, complete targets only.
+    """ICC(2,1) and ICC(2,k) for any number of raters, two-way random effects, absolute agreement, complete targets only.
 
-    One pass of sums per level (target, rater, group): SS_error = SS_total - SS_targets - SS_raters."""
+    Sums of squares are taken of values centred on their group's mean, so a large common level costs no digits."""
     keys = list(keys)
     v = long.filter(F.col(value).isNotNull()).select(*keys, target, rater, F.col(value).cast("double").alias("v"))
-    k_per_group = v.groupBy(*keys).agg(F.count_distinct(rater).alias("k"))
-    per_t = v.groupBy(*keys, target).agg(F.count("*").alias("m"), F.sum("v").alias("t"))
-    complete = per_t.join(k_per_group, keys).filter(F.col("m") == F.col("k")).select(*keys, target, "t", "k")
-    vc = v.join(complete.select(*keys, target), [*keys, target], "left_semi")
-    per_r = vc.groupBy(*keys, rater).agg(F.sum("v").alias("r"))
-    tot = vc.groupBy(*keys).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("nn"))
-    st = complete.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("st2"), F.count("*").alias("n"), F.max("k").alias("k"))
-    sr = per_r.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("sr2"))
-    j = st.join(sr, keys).join(tot, keys)
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    cf = F.col("s") * F.col("s") / F.col("nn")
-    ss_t = F.col("st2") / k - cf
-    ss_r = F.col("sr2") / n - cf
-    ss_tot = F.col("q") - cf
-    j = j.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"),
-                 (ss_t / (n - 1)).alias("ms_t"), (ss_r / (k - 1)).alias("ms_r"),
-                 ((ss_tot - ss_t - ss_r) / ((n - 1) * (k - 1))).alias("ms_e"))
-    ok = (F.col("n") >= 2) & (F.col("k") >= 2)
-    msr, msc, mse = F.col("ms_t"), F.col("ms_r"), F.col("ms_e")
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    return j.select(*keys, "n", "k",
-                    F.when(ok, (msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n)).alias("icc2_1"),
-                    F.when(ok, (msr - mse) / (msr + (msc - mse) / n)).alias("icc2_k"))
+    group = v.groupBy(*keys).agg(F.count_distinct(rater).alias("k"), F.avg("v").alias("g"))
+    per_t = v.join(group, keys).withColumn("v", F.col("v") - F.col("g")).groupBy(*keys, target, "k") \
+        .agg(F.count("*").alias("m"), F.sum("v").alias("t"), F.sum(F.col("v") * F.col("v")).alias("q"), F.collect_list(F.struct(rater, "v")).alias("vs"))
+    complete = per_t.filter(F.col("m") == F.col("k"))
+    per_r = complete.select(*keys, F.explode("vs").alias("x")).groupBy(*keys, F.col(f"x.{rater}").alias("r")).agg(F.sum("x.v").alias("s")) \
+        .groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("sr2"))
+    j = complete.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("st2"), F.sum("q").alias("q"), F.sum("t").alias("s"),
+                                    F.count("*").alias("n"), F.max("k").alias("k")).join(per_r, keys)
+    cf = "s * s / (n * k)"
+    j = j.withColumns({"ss_t": F.expr(f"st2 / k - {cf}"), "ss_r": F.expr(f"sr2 / n - {cf}"), "ss": F.expr(f"q - {cf}")})
+    j = j.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"), F.expr("ss_t / nullif(n - 1.0D, 0)").alias("ms_t"),
+                 F.expr("ss_r / nullif(k - 1.0D, 0)").alias("ms_r"), F.expr("(ss - ss_t - ss_r) / nullif((n - 1.0D) * (k - 1.0D), 0)").alias("ms_e"))
+    single, average = _icc("n", "k", "ms_t", "ms_r", "ms_e")
+    return j.select(*keys, "n", "k", single.alias("icc2_1"), average.alias("icc2_k"))
 
 
 def rater_pairs(ratings: DataFrame, keys: Sequence[str] = ("model", "metric"), r1: str = "user1", r2: str = "user2",
                 value: str = "score", target: str = "case_id") -> DataFrame:
-    """Complete (target) rows with both raters scored: (keys..., case_id, y1, y2)."""
-    a = ratings.filter((F.col("evaluator") == r1) & F.col(value).isNotNull()).select(*keys, target, F.col(value).alias("y1"))
-    b = ratings.filter((F.col("evaluator") == r2) & F.col(value).isNotNull()).select(*keys, target, F.col(value).alias("y2"))
-    return a.join(b, [*keys, target])
+    """Complete (target) rows with both raters scored: (keys..., case_id, y1, y2), by one conditional aggregate."""
+    on = list(dict.fromkeys([*keys, "metric", target]))
+    wide = ratings.groupBy(*on).agg(*[F.max(F.when(F.col("evaluator") == r, F.col(value))).alias(y) for r, y in ((r1, "y1"), (r2, "y2"))])
+    return wide.filter(F.col("y1").isNotNull() & F.col("y2").isNotNull())
+
+
+def rater_cells(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group with the cells ``cs`` (x, y, n) of two raters' scores: all that agreement measures need."""
+    cells = rp.groupBy(*keys, F.col("y1").cast("double").alias("x"), F.col("y2").cast("double").alias("y")).agg(F.count("*").alias("n"))
+    return cell_arrays(cells, keys)
+
+
+def _sum(term: str) -> str:
+    return f"aggregate(cs, 0.0D, (acc, c) -> acc + c.n * ({term}))"
 
 
 def rater_agreement(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact agreement share and mean absolute difference over complete pairs."""
-    return rp.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("y1") == F.col("y2")).cast("double")).alias("exact_agreement"),
-        F.avg(F.abs(F.col("y1") - F.col("y2"))).alias("mean_abs_difference"),
-    )
+    return _with_agreement(rater_cells(rp, keys)).select(*keys, "n", "exact_agreement", "mean_abs_difference")
+
+
+def _with_agreement(a: DataFrame) -> DataFrame:
+    a = a.withColumn("n", F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)"))
+    return a.withColumns({"exact_agreement": F.expr(f"{_sum('IF(c.x = c.y, 1.0D, 0.0D)')} / n"), "mean_abs_difference": F.expr(f"{_sum('abs(c.x - c.y)')} / n")})
+
+
+def with_icc_of_two(a: DataFrame) -> DataFrame:
+    """``a`` (rows with cells ``cs``) with n and the ICCs of two raters, from deviations of the grand mean."""
+    kept = a.columns
+    a = a.withColumn("_n", F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)"))
+    a = a.withColumns({"_x": F.expr(f"{_sum('c.x')} / _n"), "_y": F.expr(f"{_sum('c.y')} / _n")}).withColumn("_g", F.expr("(_x + _y) / 2"))
+    a = a.withColumns({
+        "_sst": F.expr(_sum("2 * power((c.x + c.y) / 2 - _g, 2)")), "_ssr": F.expr("_n * (power(_x - _g, 2) + power(_y - _g, 2))"),
+        "_sse": F.expr(_sum("power(c.x - (c.x + c.y) / 2 - (_x - _g), 2) + power(c.y - (c.x + c.y) / 2 - (_y - _g), 2)"))})
+    single, average = _icc("_n", "2", "(_sst / nullif(_n - 1, 0))", "_ssr", "(_sse / nullif(_n - 1, 0))")
+    return a.select(*kept, single.alias("icc2_1"), average.alias("icc2_k"))
 
 
 def agreement_table(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A20-A23 in one table: exact agreement, MAD, weighted kappas, ICC(2,1), ICC(2,k)."""
-    keys = list(keys)
-    ra = rater_agreement(rp, keys)
-    cells = contingency(rp.withColumnRenamed("y1", "x").withColumnRenamed("y2", "y"), keys)
-    kq = cohen_kappa(cells, keys, weights="quadratic").select(*keys, F.col("kappa").alias("quadratic_weighted_kappa"))
-    kl = cohen_kappa(cells, keys, weights="linear").select(*keys, F.col("kappa").alias("linear_weighted_kappa"))
-    target = F.col("case_id") if "metric" in keys else F.concat_ws("|", F.col("case_id").cast("string"), F.col("metric"))
-    long = rp.select(*keys, target.alias("case_id"), F.lit("user1").alias("evaluator"), F.col("y1").alias("score")).unionByName(
-        rp.select(*keys, target.alias("case_id"), F.lit("user2").alias("evaluator"), F.col("y2").alias("score")))
-    ic = icc2(long, keys).select(*keys, F.col("icc2_1").alias("icc2_1_single_rater"), F.col("icc2_k").alias("icc2_k_average_raters"))
-    return ra.join(kq, keys).join(kl, keys).join(ic, keys, "left")
+    """A20-A23 in one table, from one set of cells: exact agreement, MAD, weighted kappas, ICC(2,1), ICC(2,k)."""
+    a = _with_agreement(rater_cells(rp, list(keys)))
+    a = with_kappa(with_kappa(a, "quadratic", "quadratic_weighted_kappa"), "linear", "linear_weighted_kappa")
+    return with_icc_of_two(a).withColumnRenamed("icc2_1", "icc2_1_single_rater").withColumnRenamed("icc2_k", "icc2_k_average_raters").drop("cs")
 
 
 def gated_average(ratings: DataFrame, global_agreement: DataFrame, threshold: float = 0.75) -> DataFrame:
     """If every model's pooled quadratic kappa >= threshold, average the raters, else keep them.
 
-    The gate is one boolean from a one-row aggregate over the (one row per model) agreement
-    table; it is fetched as a scalar so the returned plan holds only the chosen branch."""
-    row = global_agreement.agg(F.bool_and(F.col("quadratic_weighted_kappa") >= threshold).alias("ok")).first()
-    can_average = bool(row["ok"]) if row is not None and row["ok"] is not None else False
-    cols = ["model", "case_id", "metric", "evaluator", "score"]
-    if can_average:
-        return rater_average(ratings).withColumn("evaluator", F.lit("average_user1_user2")).select(*cols)
-    return ratings.select(*cols)
+    The gate is a scalar subquery over the (one row per model) agreement table; both outcomes come from one aggregate."""
+    gate = global_agreement.agg(F.coalesce(F.bool_and(F.col("quadratic_weighted_kappa") >= threshold), F.lit(False)).alias("ok")).scalar()
+    both = ratings.groupBy("model", "case_id", "metric").agg(F.avg("score").alias("_avg"), F.collect_list(F.struct("evaluator", "score")).alias("_all"))
+    mean = F.array(F.struct(F.lit("average_user1_user2").alias("evaluator"), F.col("_avg").alias("score")))
+    return both.withColumn("_ok", gate).select("model", "case_id", "metric", F.explode(F.when(F.col("_ok"), mean).otherwise(F.col("_all"))).alias("_r")) \
+        .select("model", "case_id", "metric", "_r.evaluator", "_r.score")

@@ -2,8 +2,7 @@
 
 Rule: Spark reduces rows to small sufficient statistics (counts, cells, value histograms);
 the closed-form statistic then runs on those result rows as SQL expressions
-(``functions.stats``), identical to the DuckDB oracle.  Python appears only in the
-Stuart-Maxwell solve (a k x k system per pair, grouped map over <= k^2 cell rows).
+(``functions.stats``).
 """
 
 from __future__ import annotations
@@ -11,15 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_sf_sql, erfc_sql, lit, normal_two_sided_p_sql, wilson_sql
-
-MCNEMAR_EXACT_MAX = 1_000_000
-
+from ..functions.stats import binomial_half_tail_sql, chi2_sf_sql, erfc_sql, lit, normal_two_sided_p_sql, wilson_sql
 
 def wilson(df: DataFrame, k: str, n: str, prefix: str = "") -> DataFrame:
     lo, hi = wilson_sql(k, n)
@@ -27,24 +21,14 @@ def wilson(df: DataFrame, k: str, n: str, prefix: str = "") -> DataFrame:
 
 
 def mcnemar_p_spark_sql(b: str, c: str) -> str:
-    """Exact two-sided McNemar p (binomial, p=0.5) by a log-space term recurrence; corrected
-    chi-square(1) above MCNEMAR_EXACT_MAX discordant pairs."""
-    n = f"({b} + {c})"
-    k = f"least({b}, {c})"
-    step = f"IF(i = 0, acc.lp, acc.lp + ln({n} - i + 1) - ln(i))"
-    exact = (f"aggregate(sequence(0, CAST({k} AS INT)), named_struct('lp', -{n} * ln(2.0D), 's', 0.0D), "
-             f"(acc, i) -> named_struct('lp', {step}, 's', acc.s + exp({step})), acc -> least(1.0D, 2 * acc.s))")
-    x = f"(power(abs({b} - {c}) - 1, 2) / {n})"
-    return f"(CASE WHEN {n} > {MCNEMAR_EXACT_MAX} THEN {chi2_sf_sql(x, '1')} ELSE {exact} END)"
+    """Exact two-sided McNemar p (binomial, p = 0.5) at every size; no discordant pair gives 1."""
+    return f"(CASE WHEN {b} + {c} = 0 THEN 1.0D ELSE least(1.0D, 2 * {binomial_half_tail_sql(f'({b} + {c})', f'least({b}, {c})')}) END)"
 
 
 def mcnemar_p_duckdb_sql(b: str, c: str) -> str:
     n = f"({b} + {c})"
-    k = f"least({b}, {c})"
-    exact = (f"least(1.0, 2 * list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: "
-             f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0)))))")
-    x = f"(power(abs({b} - {c}) - 1, 2) / {n})"
-    return f"(CASE WHEN {n} > {MCNEMAR_EXACT_MAX} THEN {chi2_sf_sql(x, '1')} ELSE {exact} END)"
+    return (f"least(1.0, 2 * list_sum(list_transform(range(0, CAST(least({b}, {c}) AS BIGINT) + 1), lambda i: "
+            f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0)))))")
 
 
 def mcnemar_exact(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -54,10 +38,7 @@ def mcnemar_exact(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y")
         F.count_if(F.col(x) & ~F.col(y)).alias("n_10"),
         F.count_if(~F.col(x) & F.col(y)).alias("n_01"),
     )
-    return out.withColumns({
-        "p_value": F.expr(mcnemar_p_spark_sql("n_10", "n_01")),
-        "method": F.when(F.col("n_10") + F.col("n_01") > MCNEMAR_EXACT_MAX, "chi2_corrected").otherwise("exact"),
-    })
+    return out.withColumn("p_value", F.expr(mcnemar_p_spark_sql("n_10", "n_01")))
 
 
 def chi2_association(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", shift_zeros: bool = True) -> DataFrame:
@@ -85,45 +66,29 @@ def chi2_association(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str
             f"(acc2, j) -> acc2 + ({o} - {e}) * ({o} - {e}) / {e}))")
     out = a.select(*keys, F.expr(stat).alias("statistic"),
                    ((F.size("xs") - 1) * (F.size("ys") - 1)).cast("int").alias("df"))
-    return out.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df")))
+    return out.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df", "spark")))
 
 
 def stuart_maxwell(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """T4: marginal homogeneity X^2 = d' S^-1 d on k-1 labels (labels with zero marginals dropped).
 
-    Grouped map over the cell rows of one pair (<= k^2 rows): the only step needing a matrix solve."""
+    Works on the per-group cell array (at most labels^2 entries): the matrix [S | d] is reduced row by row (S is positive
+    semi-definite, so no pivoting); the statistic is the sum of squared reduced d over the pivots.  A pivot of zero
+    (labels that never change) makes it NULL.  Keys keep their types."""
+    from .agreement import cell_arrays
     keys = list(keys)
-    schema = ", ".join([f"{k} string" for k in keys] + ["statistic double", "df int"])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        labs = sorted(set(pdf[x]).union(set(pdf[y])))
-        ix = {v: i for i, v in enumerate(labs)}
-        m = np.zeros((len(labs), len(labs)))
-        for a, b, n in zip(pdf[x], pdf[y], pdf["n"]):
-            m[ix[a], ix[b]] += n
-        rows, cols = m.sum(axis=1), m.sum(axis=0)
-        keep = [i for i in range(len(labs)) if rows[i] + cols[i] > 0]
-        m = m[np.ix_(keep, keep)]
-        rows, cols = m.sum(axis=1), m.sum(axis=0)
-        kk = len(keep)
-        stat, dfree = (float("nan"), kk - 1)
-        if kk >= 2:
-            d = (rows - cols)[:-1]
-            s = -(m + m.T)
-            np.fill_diagonal(s, rows + cols - 2 * np.diag(m))
-            s = s[:-1, :-1]
-            try:
-                stat = float(d @ np.linalg.solve(s, d))
-            except np.linalg.LinAlgError:
-                stat = float("nan")
-        out = {k: [str(pdf[k].iloc[0])] for k in keys}
-        out.update({"statistic": [stat], "df": [dfree]})
-        return pd.DataFrame(out)
-
-    cast_cells = cells.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(x).cast("string").alias(x),
-                              F.col(y).cast("string").alias(y), "n")
-    res = cast_cells.groupBy(*keys).applyInPandas(solve, schema)
-    return res.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df")))
+    a = cell_arrays(cells.where("n > 0"), keys, x, y).withColumn("ls", F.expr("array_sort(array_distinct(concat(transform(cs, c -> c.x), transform(cs, c -> c.y))))"))
+    n = "aggregate(filter(cs, c -> {}), 0.0D, (s, c) -> s + c.n)".format
+    row, col = n("c.x = li"), n("c.y = li")
+    off = n("(c.x = li AND c.y = lj) OR (c.x = lj AND c.y = li)")
+    matrix = (f"transform(slice(ls, 1, size(ls) - 1), li -> concat(transform(slice(ls, 1, size(ls) - 1), lj -> "
+              f"IF(li = lj, {row} + {col} - 2 * {n('c.x = li AND c.y = li')}, -({off}))), array({row} - ({col}))))")
+    a = a.select(*keys, (F.size("ls") - 1).alias("df"), F.expr(f"IF(size(ls) < 2, array(array(0.0D)), {matrix})").alias("m"))
+    # step p: rows below lose their entry in column p; the last column carries d
+    step = ("named_struct('m', transform(acc.m, (r, i) -> IF(i <= p, r, transform(r, (v, j) -> v - acc.m[p][j] * r[p] / nullif(acc.m[p][p], 0.0D)))), "
+            "'s', acc.s + acc.m[p][size(acc.m)] * acc.m[p][size(acc.m)] / IF(acc.m[p][p] > 1e-9, acc.m[p][p], NULL))")
+    stat = f"IF(df < 1, NULL, aggregate(sequence(0, df - 1), named_struct('m', m, 's', 0.0D), (acc, p) -> {step}, acc -> acc.s))"
+    return a.select(*keys, F.expr(stat).alias("statistic"), "df").withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df", "spark")))
 
 
 def wilcoxon_signed_rank(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

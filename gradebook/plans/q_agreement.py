@@ -23,12 +23,16 @@ FROM ratings a JOIN ratings b ON a.model = b.model AND a.metric = b.metric AND a
 WHERE a.evaluator = 'user1' AND b.evaluator = 'user2' AND a.score IS NOT NULL AND b.score IS NOT NULL"""
 
 
+VARIANT_NAMES = sorted(v for _, v in fx.VARIANTS)
+MODEL_NAMES = sorted(m for _, m in fx.MODELS)
+
+
 def variant_pairs(spark, sf):
-    return A.pairs(graded_t0(spark, sf), ["model", "case_id"], "variant", "valid", extra=["correct", "truth"])
+    return A.pairs(graded_t0(spark, sf), ["model", "case_id"], "variant", "valid", VARIANT_NAMES, extra=["correct", "truth"])
 
 
 def model_pairs(spark, sf):
-    return A.pairs(graded_t0(spark, sf), ["variant", "case_id"], "model", "valid")
+    return A.pairs(graded_t0(spark, sf), ["variant", "case_id"], "model", "valid", MODEL_NAMES)
 
 
 @register("variant_pairs", views=("graded_t0",), sql=f"SELECT model, case_id, a, b, x, y FROM ({VARIANT_PAIRS_SQL}) p")
@@ -83,14 +87,15 @@ UNION ALL SELECT variant, b, a, n, kappa FROM kp
 UNION ALL SELECT variant, model, model, count(*), 1.0 FROM graded_t0 WHERE valid IS NOT NULL GROUP BY ALL""")
 def kappa_matrix(spark, sf):
     """A19 (K11): Cohen's kappa for every model pair within a variant, mirrored, diagonal 1."""
-    cells = A.contingency(model_pairs(spark, sf), ["variant", "a", "b"])
-    kp = A.cohen_kappa(cells, ["variant", "a", "b"])
-    diag = (graded_t0(spark, sf).groupBy("variant", "model")
-            .agg(F.count("valid").alias("n"))
-            .select("variant", F.col("model").alias("model_a"), F.col("model").alias("model_b"), "n", F.lit(1.0).alias("kappa")))
-    fwd = kp.select("variant", F.col("a").alias("model_a"), F.col("b").alias("model_b"), "n", "kappa")
-    bwd = kp.select("variant", F.col("b").alias("model_a"), F.col("a").alias("model_b"), "n", "kappa")
-    return fwd.unionByName(bwd).unionByName(diag)
+    wide = A.side_by_side(graded_t0(spark, sf), ["variant", "case_id"], "model", MODEL_NAMES, ["valid"])
+    made = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}")["valid"].alias("x"), F.col(f"_{j}")["valid"].alias("y"))
+            for i, a in enumerate(MODEL_NAMES) for j, b in enumerate(MODEL_NAMES) if i <= j]
+    cells = A.contingency(wide.select("variant", F.explode(F.array(*made)).alias("p")).select("variant", "p.*"), ["variant", "a", "b"])
+    # pairs of a model with itself come along as the diagonal: kappa 1 whatever the answers
+    kp = A.cohen_kappa(cells, ["variant", "a", "b"]).withColumn("kappa", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("kappa")))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("model_a"), F.col("b").alias("model_b")))).otherwise(F.array(
+        F.struct(F.col("a").alias("model_a"), F.col("b").alias("model_b")), F.struct(F.col("b").alias("model_a"), F.col("a").alias("model_b"))))
+    return kp.select("variant", F.explode(both).alias("m"), "n", "kappa").select("variant", "m.*", "n", "kappa")
 
 
 def rater_pairs(spark, sf):
@@ -114,11 +119,9 @@ SELECT kq.model, kq.metric, kq.n, kq.kappa AS quadratic_weighted_kappa, kl.kappa
 FROM kq JOIN kl ON kq.model = kl.model AND kq.metric = kl.metric""")
 def weighted_kappa(spark, sf):
     """Linear and quadratic weighted kappa on the label index."""
-    rp = rater_pairs(spark, sf)
-    cells = A.contingency(rp.withColumnRenamed("y1", "x").withColumnRenamed("y2", "y"), ["model", "metric"])
-    kq = A.cohen_kappa(cells, ["model", "metric"], weights="quadratic").withColumnRenamed("kappa", "quadratic_weighted_kappa")
-    kl = A.cohen_kappa(cells, ["model", "metric"], weights="linear").select("model", "metric", F.col("kappa").alias("linear_weighted_kappa"))
-    return kq.join(kl, ["model", "metric"])
+    a = A.rater_cells(rater_pairs(spark, sf), ["model", "metric"])
+    a = A.with_kappa(A.with_kappa(a, "quadratic", "quadratic_weighted_kappa"), "linear", "linear_weighted_kappa")
+    return a.select("model", "metric", F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)").alias("n"), "quadratic_weighted_kappa", "linear_weighted_kappa")
 
 
 @register("icc", views=("ratings",), doubles=("icc2_1", "icc2_k"), sql=f"""
@@ -128,7 +131,8 @@ lg AS (SELECT model, metric, case_id AS target, 'user1' AS rater, y1 AS v FROM r
 SELECT * FROM ic""")
 def icc(spark, sf):
     """ICC(2,1) and ICC(2,k) per (model, metric)."""
-    return A.icc2(fx.ratings(spark, sf), ["model", "metric"])
+    a = A.with_icc_of_two(A.rater_cells(rater_pairs(spark, sf), ["model", "metric"]))
+    return a.select("model", "metric", F.expr("aggregate(cs, 0L, (acc, c) -> acc + c.n)").alias("n"), F.lit(2).cast("bigint").alias("k"), "icc2_1", "icc2_k")
 
 
 _GLOBAL_DOUBLES = ("exact_agreement", "mean_abs_difference", "quadratic_weighted_kappa", "linear_weighted_kappa",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import wilson_sql
+from ..functions.stats import chi2_sf_sql, wilson_sql
 from ..operators import agreement as A
 from ..operators import inference as I
 from ..operators import summary as S
@@ -21,8 +21,7 @@ T_975_DF9 = I.student_t_quantile(0.975, 9)
 @register("mcnemar_exact", views=("graded_t0",), doubles=("p_value",), sql=f"""
 WITH s AS (SELECT model, a, b, count(*) AS n, count_if(correct_a AND NOT correct_b) AS n_10, count_if(NOT correct_a AND correct_b) AS n_01
            FROM ({VARIANT_PAIRS_SQL}) p GROUP BY ALL)
-SELECT model, a, b, n, n_10, n_01, {I.mcnemar_p_duckdb_sql('n_10', 'n_01')} AS p_value,
-       CASE WHEN n_10 + n_01 > {I.MCNEMAR_EXACT_MAX} THEN 'chi2_corrected' ELSE 'exact' END AS method FROM s""")
+SELECT model, a, b, n, n_10, n_01, {I.mcnemar_p_duckdb_sql('n_10', 'n_01')} AS p_value FROM s""")
 def mcnemar_exact(spark, sf):
     """Exact McNemar between prompt variants of a model on the correct flags."""
     p = variant_pairs(spark, sf)
@@ -39,9 +38,26 @@ def chi2_association(spark, sf):
     return I.chi2_association(cells, ["model", "a", "b"])
 
 
-@register("stuart_maxwell")
+@register("stuart_maxwell", views=("graded_t0",), doubles=("statistic", "p_value"), sql=f"""
+WITH RECURSIVE p AS ({VARIANT_PAIRS_SQL}),
+c AS (SELECT model, a, b, x, y, CAST(count(*) AS DOUBLE) AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+l AS (SELECT model, a, b, lab, row_number() OVER (PARTITION BY model, a, b ORDER BY lab) AS i, count(*) OVER (PARTITION BY model, a, b) AS k
+      FROM (SELECT model, a, b, x AS lab FROM c UNION SELECT model, a, b, y FROM c) u),
+d AS (SELECT l.model, l.a, l.b, l.i, l.k, (SELECT coalesce(sum(n), 0) FROM c WHERE c.model = l.model AND c.a = l.a AND c.b = l.b AND c.x = l.lab) AS r,
+      (SELECT coalesce(sum(n), 0) FROM c WHERE c.model = l.model AND c.a = l.a AND c.b = l.b AND c.y = l.lab) AS q, l.lab FROM l),
+e AS (SELECT f.model, f.a, f.b, f.i, g.i AS j, f.k, CASE WHEN f.i = g.i THEN f.r + f.q ELSE 0 END
+      - coalesce((SELECT sum(n) FROM c WHERE c.model = f.model AND c.a = f.a AND c.b = f.b AND c.x = f.lab AND c.y = g.lab), 0)
+      - coalesce((SELECT sum(n) FROM c WHERE c.model = f.model AND c.a = f.a AND c.b = f.b AND c.x = g.lab AND c.y = f.lab), 0) AS v
+      FROM d f JOIN d g ON f.model = g.model AND f.a = g.a AND f.b = g.b WHERE f.i < f.k AND g.i < g.k),
+z AS (SELECT model, a, b, i, j, k, v FROM e UNION ALL SELECT model, a, b, i, k, k, r - q FROM d WHERE i < k),
+s(model, a, b, p, k, m, t) AS (
+  SELECT model, a, b, 1, any_value(k), map_from_entries(list(row(i * 1000 + j, v))), CAST(0 AS DOUBLE) FROM z GROUP BY model, a, b
+  UNION ALL SELECT model, a, b, p + 1, k, map_from_entries(list_transform(map_entries(m), lambda x: row(x.key, CASE WHEN x.key // 1000 <= p THEN x.value
+      ELSE x.value - m[p * 1000 + x.key % 1000] * m[x.key // 1000 * 1000 + p] / m[p * 1000 + p] END))),
+    t + m[p * 1000 + k] * m[p * 1000 + k] / m[p * 1000 + p] FROM s WHERE p < k)
+SELECT model, a, b, t AS statistic, CAST(k - 1 AS INT) AS df, {chi2_sf_sql('t', '(k - 1)')} AS p_value FROM s WHERE p = k""")
 def stuart_maxwell(spark, sf):
-    """T4: Stuart-Maxwell marginal homogeneity between two variants (grouped k x k solve; no SQL oracle)."""
+    """T4: Stuart-Maxwell marginal homogeneity between two variants (elimination by higher-order functions)."""
     cells = A.contingency(variant_pairs(spark, sf), ["model", "a", "b"])
     return I.stuart_maxwell(cells, ["model", "a", "b"])
 
@@ -51,10 +67,10 @@ RATING_MODEL_PAIRS_SQL = f"""SELECT a.evaluator, a.metric, a.case_id, a.score AS
   ON a.evaluator = b.evaluator AND a.metric = b.metric AND a.case_id = b.case_id WHERE a.model = '{MODEL_A}' AND b.model = '{MODEL_B}'"""
 
 
-def rating_model_pairs(df):
-    a = df.filter(F.col("model") == MODEL_A).select("evaluator", "metric", "case_id", F.col("score").alias("x"))
-    b = df.filter(F.col("model") == MODEL_B).select("evaluator", "metric", "case_id", F.col("score").alias("y"))
-    return a.join(b, ["evaluator", "metric", "case_id"])
+def rating_model_pairs(df, keys=("evaluator", "metric")):
+    """Scores of the two compared models side by side, by one conditional aggregate."""
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("score")))
+    return df.filter(F.col("model").isin(MODEL_A, MODEL_B)).groupBy(*keys, "case_id").agg(of(MODEL_A).alias("x"), of(MODEL_B).alias("y"))
 
 
 @register("wilcoxon_signed_rank", views=("ratings",), doubles=_W_DOUBLES, tags=("bench",), sql=f"""
@@ -87,9 +103,7 @@ SELECT *, -log10(p_value_fdr_bh) AS neg_log10_p_adj FROM bh"""
 
 
 def _paired_spark(an, keys, min_pairs: int, null_all_zero: bool):
-    a = an.filter((F.col("model") == MODEL_A) & F.col("score").isNotNull()).select(*keys, "case_id", F.col("score").alias("x"))
-    b = an.filter((F.col("model") == MODEL_B) & F.col("score").isNotNull()).select(*keys, "case_id", F.col("score").alias("y"))
-    pr = a.join(b, [*keys, "case_id"])
+    pr = rating_model_pairs(an, keys).where("x IS NOT NULL AND y IS NOT NULL")
     st = pr.groupBy(*keys).agg(
         F.count("*").alias("n_pairs"), F.percentile("x", 0.5).alias("median_a"), F.percentile("y", 0.5).alias("median_b"),
         F.percentile(F.col("y") - F.col("x"), 0.5).alias("median_difference"),

@@ -24,7 +24,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NULL"
-        return repr(round(v, 9))
+        return repr(v)
     if hasattr(v, "item"):
         return norm(v.item())
     return str(v)
