@@ -11,8 +11,8 @@ small transducers are composed into one automaton:
 Each finished match emits one of ``KINDS``; a document's score is a logistic function of its matched clauses by kind.
 
 What counts as an insult is learned from labelled rows: words, and word beginnings of 3 to 8 bytes, that stand in
-toxic rows and hardly in others, chosen greedily by how many toxic rows they newly explain, so that the wording of a
-group of copies adds little.  Weights are a logistic regression over the kinds, drawn towards ``PRIOR``.
+toxic rows and hardly in others, chosen greedily by how many toxic rows they newly explain; forms of one
+term, and the wording of a group of copies, stand in the same rows and count once.  Weights are a logistic regression over the kinds, drawn towards ``PRIOR``.
 
 The fit reads at most ``FIT_ROWS`` labelled rows, the first by hash of doc_id; every document is scored, whole.
 
@@ -42,7 +42,8 @@ MIN_SUPPORT = 4           # toxic rows a term stands in
 MIN_SHARE = 0.004         # and their share of all toxic rows of the fit
 MAX_CLEAN = 0.02          # rate in other rows, against its rate in toxic rows
 TERMS = 512               # at most so many are chosen
-DEPTH = 3                 # times a toxic row is explained before it counts no more
+DEPTH = 10                # times a toxic row is explained before it counts no more
+SAME = 0.6                # overlap of rows from which two terms are taken as forms of one
 
 KINDS = ("insult", "aimed", "negated", "reported", "threat")
 PRIOR = {"insult": 4.0, "aimed": 5.0, "negated": 2.5, "reported": 2.5, "threat": 4.0}
@@ -303,7 +304,8 @@ def learn_lexicon(rows: DataFrame) -> np.ndarray:
             break
         chosen.append(best)
         times.update(rows_of[best])
-        order = [t for t in order if gain[t] >= least and t != best]
+        same = lambda t: len(rows_of[t] & rows_of[best]) >= SAME * len(rows_of[t] | rows_of[best])  # noqa: B023, E731
+        order = [t for t in order if gain[t] >= least and not same(t)]
     return np.sort(np.array(chosen, np.int64).view(np.uint64))
 
 
