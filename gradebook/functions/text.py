@@ -38,8 +38,3 @@ def safe_name(c: Column) -> Column:
 
 def format_ci(est: Column, lo: Column, hi: Column) -> Column:
     return F.format_string("%.3f [%.3f, %.3f]", est, lo, hi)
-
-
-def strip_prompt_echo(text: Column, marker: str) -> Column:
-    """Text after the last occurrence of ``marker`` (whole text if absent)."""
-    return F.substring_index(text, marker, -1)

@@ -23,7 +23,8 @@ def judge_recode(j: DataFrame) -> DataFrame:
 
 
 def judge_joined(j: DataFrame, graded: DataFrame, keys: Sequence[str] = ("model", "variant")) -> DataFrame:
-    """Both orders side by side + the model's correctness under that variant."""
+    """Both orders side by side + the model's correctness under that variant, aligned from both sides: within the judged
+    (model, variant) groups a graded case without any judgement stays, with NULL preferences."""
     keys = list(keys)
     r = judge_recode(j)
     wide = r.groupBy(*keys, "case_id").agg(
@@ -33,7 +34,8 @@ def judge_joined(j: DataFrame, graded: DataFrame, keys: Sequence[str] = ("model"
         F.max(F.when(F.col("truth_position") == 2, F.col("agreement"))).alias("agreement_2"),
     ).select(*keys, "case_id", (F.col("_p1") == 1).alias("preferred_1"), (F.col("_p2") == 1).alias("preferred_2"),
              "agreement_1", "agreement_2")
-    return wide.join(graded.select(*keys, "case_id", "correct"), [*keys, "case_id"], "left")
+    judged = graded.select(*keys, "case_id", "correct").join(j.select(*keys).distinct(), keys, "left_semi")
+    return wide.join(judged, [*keys, "case_id"], "full")
 
 
 def judge_filter(joined: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def skip_existing(candidates: DataFrame, landed: DataFrame) -> DataFrame:
-    """PMC candidates are skipped when the id is landed under pmc; PubMed candidates when it is
-    landed under pmc or pubmed.  Two anti joins on (db, id) / (id) -- no scan of the file tree."""
-    pmc = candidates.filter(F.col("db") == "pmc").join(
-        landed.filter(F.col("db") == "pmc").select("doc_id").distinct(), "doc_id", "left_anti")
-    pub = candidates.filter(F.col("db") != "pmc").join(landed.select("doc_id").distinct(), "doc_id", "left_anti")
-    return pmc.unionByName(pub)
+    """PMC candidates are skipped when their year and id are landed under pmc; all others (a NULL db too) when they are landed
+    under any database.  One anti join on (year, doc_id) -- no scan of the file tree."""
+    there = landed.select("year", "doc_id", (F.col("db") == "pmc").alias("_pmc")).alias("l")
+    same = (F.col("c.year") == F.col("l.year")) & (F.col("c.doc_id") == F.col("l.doc_id")) & (
+        F.col("l._pmc") | ~F.coalesce(F.col("c.db") == "pmc", F.lit(False)))
+    return candidates.alias("c").join(there, same, "left_anti")

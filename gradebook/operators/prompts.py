@@ -25,11 +25,6 @@ JUDGE_TAIL = ("Please state clearly which is the most clinical correct option be
 RUN_NAME = r"^(.*)_promptID_(\d+)_output_(\d+)\.json$"
 
 
-def prompt_table(spark) -> DataFrame:
-    """The template dimension (two rows) as a DataFrame."""
-    return spark.createDataFrame([(k, s, e) for k, (s, e) in PROMPTS.items()], "prompt_id string, start string, end string")
-
-
 def strip_option_letters(options: Column) -> Column:
     """X11: for each letter, the text after 'X. ' up to ';', trailing '.' dropped, joined by '; '."""
     parts = []
@@ -54,11 +49,11 @@ def build_prompts(questions: DataFrame, eliminate_letters: bool = False) -> Data
 
 
 def parse_run_name(df: DataFrame, col: str = "file_name") -> DataFrame:
-    """Model, prompt id and experiment id from '{model}_promptID_{p}_output_{n}.json'."""
+    """Model, prompt id and experiment id from '{model}_promptID_{p}_output_{n}.json'; another name gives '', '' and NULL."""
     return df.withColumns({
         "model": F.regexp_extract(col, RUN_NAME, 1),
         "prompt_id": F.regexp_extract(col, RUN_NAME, 2),
-        "experiment_id": F.regexp_extract(col, RUN_NAME, 3).cast("int"),
+        "experiment_id": F.regexp_extract(col, RUN_NAME, 3).try_cast("int"),
     })
 
 
@@ -68,22 +63,25 @@ def strip_prompt_echo(text: Column, marker: str) -> Column:
 
 
 def build_judge_prompts(answers: DataFrame, questions: DataFrame, truth_last: bool = False) -> DataFrame:
-    """Judge prompt with the reference explanation first (or last) and the model's answer."""
-    j = answers.join(questions.select("case_key", "case_text", "question", "options", "explanation"), "case_key")
+    """Judge prompt with the reference explanation first (or last) and the model's answer.  An answer without a
+    question stays, with a NULL prompt and ``has_question`` false."""
+    q = questions.select("case_key", "case_text", "question", "options", "explanation", F.lit(True).alias("_q"))
+    j = answers.join(q, "case_key", "left")
     e1, e2 = (F.col("answer"), F.col("explanation")) if truth_last else (F.col("explanation"), F.col("answer"))
     text = F.concat(F.lit(JUDGE_HEAD), F.lit(PAD), F.lit("Clinical case: "), F.col("case_text"), F.lit(". "), F.lit(PAD),
                     F.lit("Questions: "), F.col("question"), F.lit(PAD), F.lit("Options: "), F.col("options"), F.lit("."), F.lit(PAD),
                     F.lit("Explanation 1: "), e1, F.lit("."), F.lit("\n            \n            "),
                     F.lit("Explanation 2: "), e2, F.lit(". "), F.lit("\n            \n            "), F.lit(JUDGE_TAIL))
-    return j.select(*[c for c in answers.columns if c not in ("answer",)], F.lit("ESAP2" if truth_last else "ESAP1").alias("order_label"),
-                    text.alias("prompt"))
+    return j.select(*[c for c in answers.columns if c not in ("answer",)], F.lit("truth_last" if truth_last else "truth_first").alias("order_label"),
+                    text.alias("prompt"), F.coalesce("_q", F.lit(False)).alias("has_question"))
 
 
 def upsert_latest(log: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """Later write wins per key (append-only log + max_by; no rewrite of the whole map)."""
-    others = [c for c in log.columns if c not in keys]
-    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))
-    return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+    """Later write wins per key (append-only log, one aggregate; no rewrite of the whole map).  Of writes with equal
+    ``seq`` the one with the greatest values wins, so the result doesn't depend on the order of rows."""
+    others = [seq, *(c for c in log.columns if c not in keys and c != seq)]
+    latest = log.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r"))
+    return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in log.columns if c not in keys])
 
 
 def config_registry(runs: DataFrame, model: str = "model", order: Sequence[str] = ("experiment_id",)) -> DataFrame:

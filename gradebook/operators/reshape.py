@@ -16,9 +16,11 @@ def drop_empty_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def wide_by(df: DataFrame, index: Sequence[str], column: str, values: Sequence, value: str,
-            name=lambda v: str(v)) -> DataFrame:
-    """Pivot with a known value list (``first`` non-null per cell), one output column per value."""
-    aggs = [F.first(F.when(F.col(column) == F.lit(v), F.col(value)), ignorenulls=True).alias(name(v)) for v in values]
+            name=lambda v: str(v), order: str | None = None) -> DataFrame:
+    """Pivot with a known value list, one output column per value.  A cell given more than once takes its value in the least row of
+    ``order`` (say, the source file's name), or its least value: the same one whatever the order of rows."""
+    cell = lambda v: F.when((F.col(column) == F.lit(v)) & F.col(value).isNotNull(), F.col(value) if order is None else F.struct(order, value))
+    aggs = [(F.min(cell(v)) if order is None else F.min(cell(v))[value]).alias(name(v)) for v in values]
     return df.groupBy(*index).agg(*aggs)
 
 

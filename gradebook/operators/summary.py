@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import Z_975, wilson_sql
 from ..functions.text import CATEGORY_HALL_NONE, CATEGORY_MULTI, OPTIONS
@@ -130,18 +131,18 @@ def vote_frequency(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def zero_filled_counts(values: DataFrame, keys: Sequence[str], value: str, lo: int, hi: int) -> DataFrame:
-    """Count of each integer ``value`` in [lo, hi] per group, zero-filled.
+    """Count of each ``value`` per group, zero-filled over the whole numbers lo..hi; other values keep rows of their own.
 
     The (group, value) grid is generated from the distinct groups (few) by ``explode(sequence)``
     and joined to the counts on the full key; no cross join."""
+    kind = values.schema[value].dataType
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    grid = values.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(value))
-    return (grid.join(counts, [*keys, value], "left")
-            .select(*keys, F.col(value).cast("int").alias(value), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    grid = counts.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(lo), F.lit(hi)).cast(T.ArrayType(kind))).alias(value))
+    return grid.join(counts, [*keys, value], "full").select(*keys, value, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
 def correct_count_histogram(per_case: DataFrame, keys: Sequence[str], runs: int = 10) -> DataFrame:
-    return zero_filled_counts(per_case, keys, "n_correct", 0, runs)
+    return zero_filled_counts(per_case.withColumn("n_correct", F.col("n_correct").cast("int")), keys, "n_correct", 0, runs)
 
 
 def never_correct(per_case: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -246,8 +247,8 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def likert_percent(df: DataFrame, keys: Sequence[str], value: str = "score", levels=(1, 2, 3, 4, 5)) -> DataFrame:
-    """Percent of each Likert level within (keys); zero-filled over ``levels``."""
-    base = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("int"))
+    """Percent of each score within (keys), zero-filled over ``levels``; averaged scores between levels count as they are."""
+    base = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     counts = zero_filled_counts(base, keys, value, min(levels), max(levels))
     w_total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     return (counts.join(w_total, list(keys))

@@ -79,16 +79,16 @@ def filter_covariate(spark, sf):
 
 
 @register("completeness_check", views=("responses_t0",), sql="""
-SELECT g.model, g.variant, o.o_orderkey AS case_id, 'missing' AS problem
-FROM (SELECT DISTINCT model, variant FROM responses_t0) g CROSS JOIN orders o
-WHERE NOT EXISTS (SELECT 1 FROM responses_t0 r WHERE r.model = g.model AND r.variant = g.variant AND r.case_id = o.o_orderkey)
+WITH a AS (SELECT * FROM responses_t0 WHERE response <> 'NONE'), u AS (SELECT DISTINCT l_orderkey AS case_id FROM lineitem)
+SELECT g.model, g.variant, u.case_id, 'missing' AS problem FROM (SELECT DISTINCT model, variant FROM a) g CROSS JOIN u
+WHERE NOT EXISTS (SELECT 1 FROM a r WHERE r.model = g.model AND r.variant = g.variant AND r.case_id = u.case_id)
 UNION ALL
-SELECT DISTINCT r.model, r.variant, r.case_id, 'unexpected' FROM responses_t0 r
-WHERE r.case_id NOT IN (SELECT o_orderkey FROM orders)""")
+SELECT DISTINCT r.model, r.variant, r.case_id, 'unexpected' FROM a r WHERE r.case_id NOT IN (SELECT case_id FROM u)""")
 def completeness_check(spark, sf):
-    """Each sheet must hold every case of the case universe (all orders); list violations."""
-    universe = load_table(spark, sf, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("case_id"))
-    return G.completeness_check(fx.responses_t0(spark, sf), universe, ["model", "variant"])
+    """Each sheet must hold an answer for every case of the case universe (orders with line items); list violations."""
+    universe = load_table(spark, sf, "lineitem", ["l_orderkey"]).select(F.col("l_orderkey").alias("case_id")).distinct()
+    answered = fx.responses_t0(spark, sf).where("response <> 'NONE'")
+    return G.completeness_check(answered, universe, ["model", "variant"])
 
 
 @register("correct_in_all_variants", views=("graded_t0",), sql="""SELECT model, case_id FROM graded_t0

@@ -11,6 +11,7 @@ from ..operators import summary as S
 from ..sources import fixtures as fx
 from .catalog import register
 from .common import REP_KEYS, graded_m2, graded_rep, graded_t0
+from .q_summary import _likert_sql
 from .q_agreement import GATED_SQL, VARIANT_PAIRS_SQL, global_agreement_df, variant_pairs
 from .sqlkit import bh_ctes, chi2_ctes, kappa_ctes, wilcoxon_ctes
 
@@ -168,6 +169,13 @@ def describe_by_correctness(spark, sf):
     return S.describe(scores_with_correctness_df(spark, sf), ["model", "metric", "correctness_group"], "score")
 
 
+@register("likert_percent_by_correctness", views=("graded_t0", "ratings"), doubles=("score", "percent"),
+          sql=_likert_sql(f"({SCORES_CORR_SQL})", "correctness_group, model, metric"))
+def likert_percent_by_correctness(spark, sf):
+    """Percent of each averaged score per correctness group, model and metric; half points are levels of their own."""
+    return S.likert_percent(scores_with_correctness_df(spark, sf), ["correctness_group", "model", "metric"])
+
+
 @register("stratified_paired_tests", views=("graded_t0", "ratings"), doubles=_PT_DOUBLES,
           sql=_paired_sql(f"SELECT * FROM ({SCORES_CORR_SQL}) q WHERE correctness_group <> 'Unmatched'",
                           ["correctness_group", "metric"], 2, True))

@@ -9,13 +9,13 @@ from ..sources import fixtures as fx
 from .catalog import register
 from .common import graded_t0
 
-_JOINED_SQL = """SELECT w.model, w.variant, w.case_id, w.p1 = 1 AS preferred_1, w.p2 = 1 AS preferred_2, w.agreement_1, w.agreement_2, g.correct
+_JOINED_SQL = """SELECT coalesce(w.model, g.model) AS model, coalesce(w.variant, g.variant) AS variant, coalesce(w.case_id, g.case_id) AS case_id, w.p1 = 1 AS preferred_1, w.p2 = 1 AS preferred_2, w.agreement_1, w.agreement_2, g.correct
 FROM (SELECT model, variant, case_id,
         max(CASE WHEN truth_position = 1 THEN CAST(pt AS INT) END) AS p1, max(CASE WHEN truth_position = 2 THEN CAST(pt AS INT) END) AS p2,
         max(CASE WHEN truth_position = 1 THEN agreement END) AS agreement_1, max(CASE WHEN truth_position = 2 THEN agreement END) AS agreement_2
       FROM (SELECT *, CASE WHEN preferred = truth_position THEN true WHEN preferred = 3 - truth_position THEN false END AS pt FROM judgements) r
       GROUP BY model, variant, case_id) w
-LEFT JOIN graded_t0 g ON g.model = w.model AND g.variant = w.variant AND g.case_id = w.case_id"""
+FULL JOIN (SELECT * FROM graded_t0 WHERE (model, variant) IN (SELECT DISTINCT model, variant FROM judgements)) g ON g.model = w.model AND g.variant = w.variant AND g.case_id = w.case_id"""
 _FILTERED_SQL = f"""SELECT *, preferred_1 IS NOT NULL AND preferred_2 IS NOT NULL AS kept FROM ({_JOINED_SQL}) j WHERE NOT coalesce(correct, true)"""
 _OUTCOME_SQL = """CASE WHEN NOT kept THEN 'hall_none' WHEN NOT preferred_1 AND NOT preferred_2 THEN 'never'
   WHEN NOT preferred_1 AND preferred_2 THEN 'second' WHEN preferred_1 AND NOT preferred_2 THEN 'first' ELSE 'both' END"""

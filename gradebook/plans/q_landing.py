@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import functions as F
-
 from ..operators.landing import skip_existing
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
@@ -15,14 +13,13 @@ from ..streaming.landing_stream import CANDIDATE_SCHEMA, run_landing_stream
 from .catalog import register
 
 _SKIP_SQL = """WITH cand AS (SELECT db, year, doc_id FROM articles),
-landed AS (SELECT DISTINCT a.db, a.doc_id FROM articles a JOIN labels l ON l.doc_id = a.doc_id)
-SELECT c.db, c.year, c.doc_id FROM cand c WHERE c.db = 'pmc' AND c.doc_id NOT IN (SELECT doc_id FROM landed WHERE db = 'pmc')
-UNION ALL SELECT c.db, c.year, c.doc_id FROM cand c WHERE c.db <> 'pmc' AND c.doc_id NOT IN (SELECT doc_id FROM landed)"""
+landed AS (SELECT DISTINCT a.db, a.year, a.doc_id FROM articles a JOIN labels l ON l.doc_id = a.doc_id)
+SELECT c.db, c.year, c.doc_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM landed l WHERE l.year = c.year AND l.doc_id = c.doc_id AND (l.db = 'pmc' OR c.db <> 'pmc'))"""
 
 
 def _candidates_and_landed(spark, sf):
     arts = fx.articles(spark, sf).select("db", "year", "doc_id")
-    landed = arts.join(load_table(spark, sf, "labels", ["doc_id"]).distinct(), "doc_id", "left_semi").select("db", "doc_id")
+    landed = arts.join(load_table(spark, sf, "labels", ["doc_id"]).distinct(), "doc_id", "left_semi").select("db", "year", "doc_id")
     return arts, landed
 
 
@@ -39,8 +36,7 @@ def stream_landing_batch(spark, sf):
     base = os.path.join(checkpoint_dir(spark), "landing-" + uuid.uuid4().hex)
     src, out, ck = f"{base}/candidates", f"{base}/landed", f"{base}/_checkpoint"
     cand, landed = _candidates_and_landed(spark, sf)
-    landed.withColumn("year", F.lit(None).cast("int")).select("db", "year", "doc_id").write.parquet(out)
+    landed.write.partitionBy("db", "year").parquet(out)
     cand.write.parquet(src)
     run_landing_stream(spark, src, out, ck)
-    already = landed.select("db", "doc_id")
-    return spark.read.schema(CANDIDATE_SCHEMA).parquet(out).join(already, ["db", "doc_id"], "left_anti").select("db", "year", "doc_id")
+    return spark.read.schema(CANDIDATE_SCHEMA).parquet(out).join(landed, ["db", "year", "doc_id"], "left_anti").select("db", "year", "doc_id")

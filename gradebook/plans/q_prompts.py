@@ -9,7 +9,10 @@ from ..functions.text import safe_name as safe
 from ..operators import prompts as P
 from ..sources import fixtures as fx
 from .catalog import register
-from .q_agreement import prompt_agreement
+from ..functions.stats import wilson_sql
+from .q_agreement import VARIANT_PAIRS_SQL, prompt_agreement
+
+_CI = wilson_sql("n_agreements", "n_cases")
 
 
 def _sq(s: str) -> str:
@@ -67,12 +70,12 @@ def strip_prompt_echo(spark, sf):
 
 def _answers(spark, sf):
     g = P.parse_run_name(fx.generations(spark, sf))
-    return g.select("model", "prompt_id", "experiment_id", F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("case_key"),
+    return g.select("model", "prompt_id", "experiment_id", F.col("conv_id").cast("string").alias("case_key"),
                     "turn", P.strip_prompt_echo(F.col("text"), "END").alias("answer"))
 
 
 _ANSWERS_SQL = f"""SELECT regexp_extract(file_name, '{_RUN}', 1) AS model, regexp_extract(file_name, '{_RUN}', 2) AS prompt_id,
-  CAST(regexp_extract(file_name, '{_RUN}', 3) AS INT) AS experiment_id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS case_key, turn,
+  CAST(regexp_extract(file_name, '{_RUN}', 3) AS INT) AS experiment_id, CAST(conv_id AS VARCHAR) AS case_key, turn,
   string_split(text, 'END')[-1] AS answer FROM generations"""
 
 
@@ -80,12 +83,12 @@ def _judge_sql(truth_last: bool) -> str:
     pad = _sq(P.PAD)
     gap = _sq("\n            \n            ")
     e1, e2 = ("a.answer", "q.explanation") if truth_last else ("q.explanation", "a.answer")
-    label = "ESAP2" if truth_last else "ESAP1"
+    label = "truth_last" if truth_last else "truth_first"
     return f"""SELECT a.model, a.prompt_id, a.experiment_id, a.case_key, a.turn, '{label}' AS order_label,
   {_sq(P.JUDGE_HEAD)} || {pad} || 'Clinical case: ' || q.case_text || '. ' || {pad} || 'Questions: ' || q.question || {pad}
   || 'Options: ' || q.options || '.' || {pad} || 'Explanation 1: ' || {e1} || '.' || {gap} || 'Explanation 2: ' || {e2} || '. ' || {gap}
-  || {_sq(P.JUDGE_TAIL)} AS prompt
-FROM ({_ANSWERS_SQL}) a JOIN questions q ON q.case_key = a.case_key"""
+  || {_sq(P.JUDGE_TAIL)} AS prompt, q.case_key IS NOT NULL AS has_question
+FROM ({_ANSWERS_SQL}) a LEFT JOIN questions q ON q.case_key = a.case_key"""
 
 
 @register("build_judge_prompts", views=("generations", "questions"), sql=_judge_sql(False))
@@ -101,7 +104,7 @@ def build_judge_prompts_truth_last(spark, sf):
 
 
 @register("upsert_latest", views=("generations",), sql=f"""SELECT model, prompt_id, experiment_id, case_key,
-  max_by(turn, turn) AS turn, max_by(answer, turn) AS answer FROM ({_ANSWERS_SQL}) a GROUP BY ALL""")
+  max(turn) AS turn, max(row(turn, answer))[2] AS answer FROM ({_ANSWERS_SQL}) a GROUP BY ALL""")
 def upsert_latest(spark, sf):
     """Per (model, prompt, experiment, case) the latest written answer wins."""
     return P.upsert_latest(_answers(spark, sf), ["model", "prompt_id", "experiment_id", "case_key"], "turn")
@@ -116,7 +119,10 @@ def config_registry(spark, sf):
     return P.config_registry(runs, order=("experiment_id", "prompt_id"))
 
 
-@register("format_ci", views=("graded_t0",), sql=None)
+@register("format_ci", views=("graded_t0",), sql=f"""SELECT model, a, b, replace(model || ' vs ' || a || ' vs ' || b, ' ', '_') AS label,
+  printf('%.3f [%.3f, %.3f]', fixed_kappa, ci_low, ci_high) AS display
+FROM (SELECT model, a, b, (n_agreements / n_cases - 0.2) / 0.8 AS fixed_kappa, {_CI[0]} AS ci_low, {_CI[1]} AS ci_high
+      FROM (SELECT model, a, b, count(*) AS n_cases, count_if(x = y) AS n_agreements FROM ({VARIANT_PAIRS_SQL}) p GROUP BY ALL) s) t""")
 def format_ci(spark, sf):
     """Display string 'k [lo, hi]' and a file-safe label per variant pair."""
     pa = prompt_agreement(spark, sf)

@@ -74,4 +74,4 @@ def src_repetitions(spark, sf):
     wide = RS.wide_by(r.withColumn("rc", F.concat(F.lit("run"), F.col("run").cast("string"))),
                       ["temperature", "model", "case_id"], "rc", RUN_COLS, "response")
     long = RS.long_from(wide, ["temperature", "model", "case_id"], RUN_COLS, "run", "response")
-    return long.withColumn("run", F.regexp_extract("run", r"(\d+)$", 1).cast("int")).filter(F.col("response").isNotNull())
+    return long.withColumn("run", F.regexp_extract("run", r"(\d+)$", 1).cast("int"))

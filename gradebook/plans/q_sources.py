@@ -66,21 +66,22 @@ def src_questions(spark, sf):
 @register("src_generations", views=("generations",), sql=r"""SELECT regexp_extract(file_name, '^(.*)_promptID_(\d+)_output_(\d+)\.json$', 1) AS model,
   regexp_extract(file_name, '^(.*)_promptID_(\d+)_output_(\d+)\.json$', 2) AS prompt_id,
   CAST(regexp_extract(file_name, '^(.*)_promptID_(\d+)_output_(\d+)\.json$', 3) AS INT) AS experiment_id,
-  lpad(CAST(conv_id AS VARCHAR), 8, '0') || '_' || CAST(turn AS VARCHAR) AS case_key, text FROM generations""")
+  CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS case_key, text FROM generations""")
 def src_generations(spark, sf):
     """Generation maps case_key -> text; identity (model, prompt, experiment) from the file name."""
     root = _folder(spark, "generations")
     g = fx.generations(spark, sf).withColumn(
-        "case_key", F.concat(F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("_"), F.col("turn").cast("string")))
-    lines = g.groupBy("file_name").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("case_key", "text")))).alias("value"))
+        "case_key", F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")))
+    # one map a line with one entry each: a file holds any number of lines, and no file's texts meet in one row
+    lines = g.select("file_name", F.to_json(F.create_map("case_key", "text")).alias("value"))
     lines.select("value", F.col("file_name").alias("run")).write.partitionBy("run").text(root)
     return RD.read_generations(spark, root, wholetext=False)
 
 
-@register("src_articles", views=("articles",), sql="SELECT db, year, doc_id, xml || chr(10) AS xml FROM articles")
+@register("src_articles", views=("articles",), sql="SELECT db, year, doc_id, xml FROM articles")
 def src_articles(spark, sf):
-    """One XML document per file in db / year / id folders, read whole (file content as is,
-    including the line end the text writer appends)."""
+    """Articles packed by db and year, one JSON line each (a folder per document would be as many tiny files)."""
     root = _folder(spark, "articles")
-    fx.articles(spark, sf).write.partitionBy("db", "year", "doc_id").text(root)
-    return RD.read_articles(spark, root)
+    packed = fx.articles(spark, sf).select("db", "year", F.to_json(F.struct("doc_id", "xml")).alias("value"))
+    packed.write.partitionBy("db", "year").text(root)
+    return RD.read_packed_articles(spark, root)

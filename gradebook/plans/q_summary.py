@@ -204,12 +204,16 @@ def group_sizes(spark, sf):
     return S.group_sizes(fx.ratings(spark, sf), ["model", "evaluator"])
 
 
-@register("likert_percent", views=("ratings",), doubles=("percent",), sql="""
-WITH c AS (SELECT model, metric, CAST(score AS INT) AS score, count(*) AS n FROM ratings WHERE score IS NOT NULL GROUP BY ALL),
-g AS (SELECT DISTINCT model, metric FROM ratings WHERE score IS NOT NULL),
-z AS (SELECT g.model, g.metric, CAST(s.s AS INT) AS score, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-      FROM g CROSS JOIN range(1, 6) s(s) LEFT JOIN c ON c.model = g.model AND c.metric = g.metric AND c.score = s.s)
-SELECT model, metric, score, n, n * 100.0 / sum(n) OVER (PARTITION BY model, metric) AS percent FROM z""")
+def _likert_sql(src: str, keys: str) -> str:
+    on = " AND ".join(f"c.{k.strip()} = g.{k.strip()}" for k in keys.split(","))
+    ks = ", ".join(f"coalesce(g.{k.strip()}, c.{k.strip()}) AS {k.strip()}" for k in keys.split(","))
+    return f"""WITH c AS (SELECT {keys}, score, count(*) AS n FROM {src} s WHERE score IS NOT NULL GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT {keys} FROM c) k CROSS JOIN (SELECT CAST(i AS DOUBLE) AS level FROM range(1, 6) s(i)) l),
+z AS (SELECT {ks}, coalesce(g.level, c.score) AS score, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM g FULL JOIN c ON {on} AND c.score = g.level)
+SELECT {keys}, score, n, n * 100.0 / sum(n) OVER (PARTITION BY {keys}) AS percent FROM z"""
+
+
+@register("likert_percent", views=("ratings",), doubles=("score", "percent"), sql=_likert_sql("ratings", "model, metric"))
 def likert_percent(spark, sf):
     """Percent of each Likert level per (model, metric), zero-filled."""
     return S.likert_percent(fx.ratings(spark, sf), ["model", "metric"])

@@ -29,28 +29,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The folder shared by driver and executors, as the session names it (``spark.checkpoint.dir``).
 
-    Only when it is unset (local tests) do we create a scratch folder and register it.
-    """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    Where none is named, a local session (tests) gets a scratch folder; on a cluster that is an error, as a folder of one
+    machine would not be seen by the others."""
+    cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not cur:
-        try:
-            cur = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no SparkContext, or an older API
-            cur = None
-    if not cur:
-        cur = tempfile.mkdtemp(prefix="gradebook-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    try:
-        spark.sparkContext.setCheckpointDir(cur)
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        pass
-    return cur
-
-
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
-    spark = spark or df.sparkSession
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradebook-ckpt-"))
+        cur = spark.sparkContext.getCheckpointDir()
+    return cur.rstrip("/")

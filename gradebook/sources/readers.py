@@ -31,8 +31,7 @@ def read_repetition_sheets(spark: SparkSession, root: str, runs: int = 10) -> Da
     df = spark.read.schema(schema).option("header", "false").csv(root)
     long = df.unpivot(["case_id", "temperature", "model"], cols, "run_col", "response")
     return long.select("case_id", F.col("temperature").cast("double").alias("temperature"), "model",
-                       F.regexp_extract("run_col", r"(\d+)$", 1).cast("int").alias("run"), "response").filter(
-        F.col("response").isNotNull())
+                       F.regexp_extract("run_col", r"(\d+)$", 1).cast("int").alias("run"), "response")
 
 
 def read_json_maps(spark: SparkSession, root: str, value_type: T.DataType, wholetext: bool = True) -> DataFrame:
@@ -49,7 +48,7 @@ def read_json_maps(spark: SparkSession, root: str, value_type: T.DataType, whole
 def read_question_bank(spark: SparkSession, root: str, wholetext: bool = True) -> DataFrame:
     """Question bank map -> (case_key, case_id, fields...)."""
     e = read_json_maps(spark, root, QUESTION_TYPE, wholetext)
-    return e.select(F.col("key").alias("case_key"), F.col("key").cast("bigint").alias("case_id"),
+    return e.select(F.col("key").alias("case_key"), F.col("key").try_cast("bigint").alias("case_id"),
                     *[F.col(f"value.{f}").alias(f) for f in QUESTION_FIELDS])
 
 
@@ -60,7 +59,7 @@ def read_generations(spark: SparkSession, root: str, wholetext: bool = True) ->
     e = e.withColumn("file_name", name)
     return e.select(F.regexp_extract("file_name", RUN_NAME, 1).alias("model"),
                     F.regexp_extract("file_name", RUN_NAME, 2).alias("prompt_id"),
-                    F.regexp_extract("file_name", RUN_NAME, 3).cast("int").alias("experiment_id"),
+                    F.regexp_extract("file_name", RUN_NAME, 3).try_cast("int").alias("experiment_id"),
                     F.col("key").alias("case_key"), F.col("value").alias("text"))
 
 
@@ -87,10 +86,16 @@ def read_articles(spark: SparkSession, root: str) -> DataFrame:
     def pick(i: int) -> Column:
         return F.when(F.regexp_extract("p", flat, i) != "", F.regexp_extract("p", flat, i)).otherwise(F.regexp_extract("p", part, i))
 
-    return raw.select(pick(1).alias("db"), pick(2).cast("int").alias("year"), pick(3).cast("bigint").alias("doc_id"),
+    return raw.select(pick(1).alias("db"), pick(2).try_cast("int").alias("year"), pick(3).try_cast("bigint").alias("doc_id"),
                       F.col("value").alias("xml"))
 
 
+def read_packed_articles(spark: SparkSession, root: str) -> DataFrame:
+    """S13 at scale: JSON lines ``{doc_id, xml}`` under ``root/db=*/year=*/``; a line that is no such object gives a NULL xml."""
+    schema = "doc_id BIGINT, xml STRING, db STRING, year INT"
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(root).select("db", "year", "doc_id", "xml")
+
+
 def read_goals(spark: SparkSession, path: str) -> DataFrame:
     """Two-column CSV (case_key, goal) whose header row is ``,0``; empty goals kept as ''."""
     df = spark.read.schema("case_key STRING, goal STRING").option("header", "true").csv(path)

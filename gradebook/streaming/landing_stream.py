@@ -8,6 +8,7 @@ processes what is there and stops, and a restarted query resumes from its checkp
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.landing import skip_existing
@@ -19,12 +20,13 @@ def run_landing_stream(spark: SparkSession, source_dir: str, landed_dir: str, ch
     stream = spark.readStream.schema(CANDIDATE_SCHEMA).parquet(source_dir)
 
     def land(batch: DataFrame, epoch_id: int) -> None:
+        fresh = batch.dropDuplicates(["db", "year", "doc_id"])
         try:
-            landed = spark.read.schema(CANDIDATE_SCHEMA).parquet(landed_dir)
-        except Exception:  # first batch: nothing landed yet
-            landed = spark.createDataFrame([], CANDIDATE_SCHEMA)
-        fresh = skip_existing(batch.dropDuplicates(["db", "doc_id"]), landed)
-        fresh.write.mode("append").parquet(landed_dir)
+            fresh = skip_existing(fresh, spark.read.schema(CANDIDATE_SCHEMA).parquet(landed_dir))
+        except AnalysisException as e:  # any other failure to read must not pass for an empty table
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        fresh.write.mode("append").partitionBy("db", "year").parquet(landed_dir)
 
     q = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
