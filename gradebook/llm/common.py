@@ -15,19 +15,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 PIECE_BYTES = 1 << 20  # text handled at once; one longer document is a piece of its own
 
 _MASK = (1 << 64) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); an error where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return root.rstrip("/")
+    """The folder all executors share (``spark.checkpoint.dir``); on a cluster an error where the session names none."""
+    return checkpoint_dir(spark)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -38,6 +38,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(staged: DataFrame, rows: int) -> DataFrame:
+    """A staged table, marked for broadcast if it has at most ``rows`` rows; beyond, joins with it stay shuffles."""
+    return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

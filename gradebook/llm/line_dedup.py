@@ -27,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 MIN_CHARS = 20
 BLOCKS = 64
+SMALL_ROWS = 1_000_000   # up to so many narrow rows (under 100 bytes each) a side of a join is broadcast
 
 
 def _half_keys(norm: str = "norm") -> list[str]:
@@ -54,10 +55,10 @@ def _place(prefix: str = ""):
 
 
 def distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences by 128-bit line key, and one row for each distinct line: first place, length, half keys."""
+    """Occurrences by 128-bit line key, and one row for each distinct line: first place, half keys."""
     own = lines(docs).select("doc_id", "ta", "line_no", F.xxhash64("norm").alias("ha"), F.xxhash64(F.lit(1), F.col("norm")).alias("hb"),
-                             F.length("norm").alias("len"), *(F.expr(k).alias(f"k{i}") for i, k in enumerate(_half_keys())))
-    one = own.groupBy("ha", "hb").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), F.min("len").alias("len"),
+                             *(F.expr(k).alias(f"k{i}") for i, k in enumerate(_half_keys())))
+    one = own.groupBy("ha", "hb").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"),
                                       *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
     return own.select("doc_id", "ta", "line_no", "ha", "hb"), one
 
@@ -70,11 +71,13 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 def near_partners(docs: DataFrame, one: DataFrame) -> DataFrame:
     """(ha, hb, near): for each distinct line with a partner one edit away that stands earlier, the earliest such place."""
-    halves = one.select("ha", "hb", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).distinct()
-    some = stage(_shared(halves, "key").select("ha", "hb").distinct().join(one.select("ha", "hb", "first", "len"), ["ha", "hb"]), "half_members")
+    keys = F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key")
+    often = stage(one.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "half_keys")
+    some = one.select("ha", "hb", "first", keys).join(small(often, SMALL_ROWS), "key", "left_semi").select("ha", "hb", "first").distinct()
+    some = stage(some, "half_members")
     # the text of those lines, read at their first place
     wanted = some.select(F.col("first").alias("at"), F.col("first.ta").alias("at_ta"), F.col("first.line_no").alias("at_line"))
-    texts = lines(docs).join(wanted, F.expr("ta = at_ta AND line_no = at_line AND doc_id <=> at.doc_id"), "left_semi") \
+    texts = lines(docs).join(small(wanted, SMALL_ROWS), F.expr("ta = at_ta AND line_no = at_line AND doc_id <=> at.doc_id"), "left_semi") \
         .select(F.xxhash64("norm").alias("ha"), F.xxhash64(F.lit(1), F.col("norm")).alias("hb"), "norm", _place().alias("first")).dropDuplicates(["ha", "hb"])
     texts = stage(texts, "half_texts")
     sized = texts.select("*", F.explode(F.array(F.length("norm"), F.length("norm") - 1)).alias("m")) \
@@ -108,7 +111,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     one = stage(one, "lines")
     low = one.join(near_partners(docs, one), ["ha", "hb"], "left").where("n > 1 OR near IS NOT NULL") \
         .select("ha", "hb", F.least("first", F.coalesce("near", "first")).alias("low"), (F.coalesce(F.col("near") < F.col("first"), F.lit(False))).cast("int").alias("edits"))
-    met = own.join(low, ["ha", "hb"]).where(F.col("low") < _place())
+    met = own.join(small(stage(low, "dropped"), SMALL_ROWS), ["ha", "hb"]).where(F.col("low") < _place())
     return met.select("doc_id", "ta", "line_no", F.col("low.doc_id").alias("first_doc_id"), F.col("low.line_no").alias("first_line_no"), "edits")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 BLOCK_DOCS = 8
 UNITS = 1000       # slots of a period, about
@@ -82,8 +82,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_do
                                        F.array_sort(F.collect_list(F.struct("__mix_k", "__mix_slot"))).alias("__mix_slots"))
     slot = "(({0}) div __mix_a) * __mix_q + __mix_slots[CAST(({0}) % __mix_a AS INT)].__mix_slot"
     own = stage(own.withColumn("__mix_end", F.min(F.expr(slot.format(f"(__mix_n + {block_docs - 1}) div {block_docs}"))).over(W.partitionBy(F.lit(0)))), "period")
-    few = own.count() <= BROADCAST_SOURCES
-    placed = numbered.join(F.broadcast(own) if few else own, "__mix_source").withColumn("__mix_place", F.expr(slot.format("__mix_block")))
+    placed = numbered.join(small(own, BROADCAST_SOURCES), "__mix_source").withColumn("__mix_place", F.expr(slot.format("__mix_block")))
     own_columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]
     return placed.select(
         *own_columns, F.col("__mix_a").alias("units"), F.col("__mix_block").alias("block"), F.col("__mix_place").alias("slot"),

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, MULTIPLIERS, _odd_constants, documents_schema, find_words, mix, pieces, shingles, stage, text_bytes
+from .common import LOWER, MULTIPLIERS, _odd_constants, documents_schema, find_words, mix, pieces, shingles, small, stage, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -259,8 +259,7 @@ def verified_links(groups: DataFrame, docs: DataFrame, reps: DataFrame, percent:
     """Links (a, b) of representatives whose full shingle sets reach the threshold; they connect all that do."""
     members = groups.select("gid", F.posexplode("members").alias("place", "doc_id"))
     ids = stage(members.select("doc_id").distinct(), "members")
-    few = ids.count() <= BROADCAST_IDS
-    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    some = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
     sets = described(some, "bytes", lambda s: s.tobytes()).drop("n_shingles")
     named = members.join(reps.select("doc_id", "set_a", "set_b"), "doc_id").join(sets, ["doc_id", "set_a", "set_b"])
     rows = named.select("gid", "place", "doc_id", "bytes").union(
@@ -293,7 +292,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of each class' smallest doc_id; of rows equal in doc_id and text one stays."""
     found = stage(near_duplicates(docs, percent).select("doc_id", "kept"), "found")
     gone = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("__llm_id")).distinct(), "gone")
-    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == F.col("__llm_id"), "left_anti")
+    rest = docs.join(small(gone, BROADCAST_IDS), docs["doc_id"] == F.col("__llm_id"), "left_anti")
     twice = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__llm_id")).agg(F.count(F.lit(1)).alias("__llm_n"))
     twice = stage(twice.where("__llm_n > 1").select("__llm_id"), "twice")
     if not twice.take(1):
