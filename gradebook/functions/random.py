@@ -34,3 +34,18 @@ def uniform_sql(*parts: str, dialect: str = "spark") -> str:
 
 def uniform(*parts: str) -> Column:
     return F.expr(uniform_sql(*parts, dialect="spark"))
+
+
+def normal_sql(h: str, dialect: str = "spark") -> str:
+    """Standard normal by Box-Muller from the first two words of the md5 hex ``h``."""
+    def u(at: int) -> str:
+        if dialect == "duckdb":
+            return f"(CAST(('0x' || substr({h}, {at}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+        return f"(CAST(conv(substr({h}, {at}, 8), 16, 10) AS BIGINT) / 4294967296.0D)"
+    one = "1.1641532182693481E-10"  # 2^-33 keeps the logarithm finite
+    return f"(sqrt(-2 * ln({u(1)} + {one})) * cos(6.283185307179586E0 * {u(9)}))"
+
+
+def draw_sql(count: str, z: str) -> str:
+    """Poisson-like draw for a cell count from a normal z: the Cornish-Fisher count (both dialects)."""
+    return f"CAST(greatest(0, floor({count} + sqrt(CAST({count} AS DOUBLE)) * {z} + ({z} * {z} - 1) / 6 + 0.5)) AS BIGINT)"

@@ -108,20 +108,20 @@ def icc2(long: DataFrame, keys: Sequence[str], target: str = "case_id", rater: s
 
     Sums of squares are taken of values centred on their group's mean, so a large common level costs no digits."""
     keys = list(keys)
-    v = long.filter(F.col(value).isNotNull()).select(*keys, target, rater, F.col(value).cast("double").alias("v"))
-    group = v.groupBy(*keys).agg(F.count_distinct(rater).alias("k"), F.avg("v").alias("g"))
-    per_t = v.join(group, keys).withColumn("v", F.col("v") - F.col("g")).groupBy(*keys, target, "k") \
-        .agg(F.count("*").alias("m"), F.sum("v").alias("t"), F.sum(F.col("v") * F.col("v")).alias("q"), F.collect_list(F.struct(rater, "v")).alias("vs"))
-    complete = per_t.filter(F.col("m") == F.col("k"))
-    per_r = complete.select(*keys, F.explode("vs").alias("x")).groupBy(*keys, F.col(f"x.{rater}").alias("r")).agg(F.sum("x.v").alias("s")) \
-        .groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("sr2"))
-    j = complete.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t")).alias("st2"), F.sum("q").alias("q"), F.sum("t").alias("s"),
-                                    F.count("*").alias("n"), F.max("k").alias("k")).join(per_r, keys)
-    cf = "s * s / (n * k)"
-    j = j.withColumns({"ss_t": F.expr(f"st2 / k - {cf}"), "ss_r": F.expr(f"sr2 / n - {cf}"), "ss": F.expr(f"q - {cf}")})
-    j = j.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"), F.expr("ss_t / nullif(n - 1.0D, 0)").alias("ms_t"),
-                 F.expr("ss_r / nullif(k - 1.0D, 0)").alias("ms_r"), F.expr("(ss - ss_t - ss_r) / nullif((n - 1.0D) * (k - 1.0D), 0)").alias("ms_e"))
-    single, average = _icc("n", "k", "ms_t", "ms_r", "ms_e")
+    v = long.filter(F.col(value).isNotNull()).select(*keys, target, rater, F.col(value).cast("double").alias("_v"))
+    group = v.groupBy(*keys).agg(F.count_distinct(rater).alias("_k"), F.avg("_v").alias("_g"))
+    per_t = v.join(group, keys).withColumn("_v", F.col("_v") - F.col("_g")).groupBy(*keys, target, "_k") \
+        .agg(F.count("*").alias("_m"), F.sum("_v").alias("_t"), F.sum(F.col("_v") * F.col("_v")).alias("_q"), F.collect_list(F.struct(rater, "_v")).alias("_vs"))
+    complete = per_t.filter(F.col("_m") == F.col("_k"))
+    per_r = complete.select(*keys, F.explode("_vs").alias("_x")).groupBy(*keys, F.col(f"_x.{rater}").alias("_r")).agg(F.sum("_x._v").alias("_s")) \
+        .groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_s")).alias("_sr2"))
+    j = complete.groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_t")).alias("_st2"), F.sum("_q").alias("_q"), F.sum("_t").alias("_s"),
+                                    F.count("*").alias("n"), F.max("_k").alias("k")).join(per_r, keys)
+    cf = "_s * _s / (n * k)"
+    j = j.withColumns({"_sst": F.expr(f"_st2 / k - {cf}"), "_ssr": F.expr(f"_sr2 / n - {cf}"), "_ss": F.expr(f"_q - {cf}")})
+    j = j.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"), F.expr("_sst / nullif(n - 1.0D, 0)").alias("_mt"),
+                 F.expr("_ssr / nullif(k - 1.0D, 0)").alias("_mr"), F.expr("(_ss - _sst - _ssr) / nullif((n - 1.0D) * (k - 1.0D), 0)").alias("_me"))
+    single, average = _icc("n", "k", "_mt", "_mr", "_me")
     return j.select(*keys, "n", "k", single.alias("icc2_1"), average.alias("icc2_k"))
 
 

@@ -34,11 +34,11 @@ def strip_option_letters(options: Column) -> Column:
     return F.concat_ws("; ", *parts)
 
 
-def build_prompts(questions: DataFrame, eliminate_letters: bool = False) -> DataFrame:
+def build_prompts(questions: DataFrame, eliminate_letters: bool = False, templates: DataFrame | None = None) -> DataFrame:
     """One prompt per (template, case) with a non-empty case text.
 
-    The two templates are a literal array exploded per question row (Generate, no join)."""
-    tmpl = F.array(*[F.struct(F.lit(k).alias("prompt_id"), F.lit(s).alias("start"), F.lit(e).alias("end"))
+    Templates (the built-in ones, or rows prompt_id, start, end: a handful) are an array exploded per question row, no join."""
+    tmpl = templates.agg(F.collect_list(F.struct("prompt_id", "start", "end"))).scalar() if templates is not None else F.array(*[F.struct(F.lit(k).alias("prompt_id"), F.lit(s).alias("start"), F.lit(e).alias("end"))
                      for k, (s, e) in PROMPTS.items()])
     q = questions.filter(F.length("case_text") > 0)
     opts = strip_option_letters(F.col("options")) if eliminate_letters else F.col("options")

@@ -274,3 +274,21 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.count_if((F.col("_v") < lo_fence) | (F.col("_v") > hi_fence)).alias("n_outliers"),
     )
     return q.join(w, list(keys), "left")
+
+
+ID_RANGE = 100_000
+
+
+def case_order(per_case: DataFrame, keys: Sequence[str], by: str = "n_correct", unit: str = "case_id") -> DataFrame:
+    """``position`` of each case in the order of (``by``, ``unit``) within ``keys``; ``unit`` is a unique whole number.
+
+    Ranks are taken inside ranges of ``ID_RANGE`` ids, so a window holds at most so many rows whatever the group's size, and
+    offset by the running counts of the earlier ranges."""
+    keys = list(keys)
+    cut = per_case.withColumn("_cut", F.floor(F.col(unit) / ID_RANGE))
+    inside = F.row_number().over(Window.partitionBy(*keys, by, "_cut").orderBy(unit))
+    counts = cut.groupBy(*keys, by, "_cut").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(by, "_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = counts.select(*keys, by, "_cut", before.alias("_before"))
+    return cut.withColumn("_r", inside).join(offset, [*keys, by, "_cut"]).select(
+        *keys, unit, by, (F.col("_before") + F.col("_r")).cast("bigint").alias("position"))

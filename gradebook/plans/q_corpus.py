@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators.prompts import upsert_latest
 from ..sources import fixtures as fx
 from ..sources.tables import load_table
 from .catalog import register
@@ -190,3 +191,17 @@ def article_record(spark, sf):
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     return r.select("db", "doc_id", "article_key", "article_title", F.when(F.col("body_exists"), "valid").otherwise("invalid").alias("route"),
                     size("abstract_sections").alias("n_abstract_sections"), size("body_sections").alias("n_body_sections"))
+
+
+_SECTIONS = f"""SELECT db, doc_id, portion, title, coalesce(string_agg(text, ' ' ORDER BY position) FILTER (WHERE text <> ''), '') AS text
+FROM (SELECT *, coalesce(last_value(own_title IGNORE NULLS) OVER (PARTITION BY db, doc_id, portion ORDER BY position), {_sq(C.DEFAULT_TITLE)}) AS title
+      FROM ({_ELEMENTS_SQL}) e) t GROUP BY ALL"""
+
+
+@register("sections_upsert", views=("articles",), sql=f"""SELECT db, doc_id, portion, title, CASE WHEN db = 'pmc' THEN 2 ELSE 1 END AS seq,
+  CASE WHEN db = 'pmc' THEN text || ' (rev)' ELSE text END AS text FROM ({_SECTIONS}) s""")
+def sections_upsert(spark, sf):
+    """Cleaned sections written twice for PMC (a revised second write), the later write of each section wins."""
+    first = C.article_sections(C.article_elements(fx.articles(spark, sf))).select("db", "doc_id", "portion", "title", F.lit(1).alias("seq"), "text")
+    second = first.where("db = 'pmc'").withColumns({"seq": F.lit(2), "text": F.concat("text", F.lit(" (rev)"))})
+    return upsert_latest(first.unionByName(second), ["db", "doc_id", "portion", "title"], "seq")

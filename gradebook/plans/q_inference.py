@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from ..functions.stats import chi2_sf_sql, wilson_sql
 from ..operators import agreement as A
 from ..operators import inference as I
+from ..operators import resample as R
 from ..operators import summary as S
 from ..sources import fixtures as fx
 from .catalog import register
 from .common import REP_KEYS, graded_m2, graded_rep, graded_t0
 from .q_summary import _likert_sql
 from .q_agreement import GATED_SQL, VARIANT_PAIRS_SQL, global_agreement_df, variant_pairs
+from .resample_sql import B_MEDIAN, MEDIAN_SEED, MODEL_A, MODEL_B, median_diff_sql
 from .sqlkit import bh_ctes, chi2_ctes, kappa_ctes, wilcoxon_ctes
 
-MODEL_A, MODEL_B = "m0", "m1"
 T_975_DF9 = I.student_t_quantile(0.975, 9)
 
 
@@ -84,7 +85,7 @@ def wilcoxon_signed_rank(spark, sf):
 
 
 _PT_DOUBLES = ("median_a", "median_b", "median_difference", "mean_difference", "wilcoxon_statistic", "p_value_raw",
-               "rank_biserial", "p_value_fdr_bh", "neg_log10_p_adj")
+               "rank_biserial", "p_value_fdr_bh", "neg_log10_p_adj", "median_difference_95ci_low", "median_difference_95ci_high")
 
 
 def _paired_sql(analysis_sql: str, keys: list[str], min_pairs: int, null_all_zero: bool) -> str:
@@ -100,7 +101,14 @@ st AS (SELECT {K}, count(*) AS n_pairs, quantile_cont(x, 0.5) AS median_a, quant
 {wilcoxon_ctes('pr', keys, 'wx')},
 res AS (SELECT st.*, {s_expr} AS wilcoxon_statistic, {p_expr} AS p_value_raw, wx.rank_biserial FROM st JOIN wx USING ({K})),
 {bh_ctes('res', 'p_value_raw', 'bh', None, 0.05, 'p_value_fdr_bh', 'significant')}
-SELECT *, -log10(p_value_fdr_bh) AS neg_log10_p_adj FROM bh"""
+SELECT bh.*, -log10(p_value_fdr_bh) AS neg_log10_p_adj, i.ci_low AS median_difference_95ci_low, i.ci_high AS median_difference_95ci_high
+FROM bh JOIN ({median_diff_sql(analysis_sql, tuple(keys))}) i USING ({K})"""
+
+
+def median_diff_interval(an, keys):
+    """Bootstrap interval of the median paired difference (model B - model A) per key."""
+    d = rating_model_pairs(an, keys).withColumn("d", F.col("y") - F.col("x"))
+    return R.bootstrap_hist(d, list(keys), "d", B_MEDIAN, MEDIAN_SEED, stat="median")
 
 
 def _paired_spark(an, keys, min_pairs: int, null_all_zero: bool):
@@ -114,7 +122,8 @@ def _paired_spark(an, keys, min_pairs: int, null_all_zero: bool):
     pv = F.when(F.col("n") > 0, F.col("p_value")) if null_all_zero else F.col("p_value")
     res = st.join(wx.select(*keys, stat.alias("wilcoxon_statistic"), pv.alias("p_value_raw"), "rank_biserial"), list(keys))
     res = I.fdr_bh(res, "p_value_raw", out="p_value_fdr_bh", flag="significant")
-    return res.withColumn("neg_log10_p_adj", -F.log10("p_value_fdr_bh"))
+    ci = median_diff_interval(an, keys).select(*keys, F.col("ci_low").alias("median_difference_95ci_low"), F.col("ci_high").alias("median_difference_95ci_high"))
+    return res.withColumn("neg_log10_p_adj", -F.log10("p_value_fdr_bh")).join(ci, list(keys))
 
 
 @register("paired_tests", views=("ratings",), doubles=_PT_DOUBLES,

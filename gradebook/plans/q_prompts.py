@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.text import format_ci as fmt_ci
 from ..functions.text import safe_name as safe
 from ..operators import prompts as P
 from ..sources import fixtures as fx
+from ..sources.readers import read_prompt_templates
 from .catalog import register
+from .common import graded_t0
+from .q_sources import _folder
 from ..functions.stats import wilson_sql
 from .q_agreement import VARIANT_PAIRS_SQL, prompt_agreement
 
@@ -128,3 +133,20 @@ def format_ci(spark, sf):
     pa = prompt_agreement(spark, sf)
     return pa.select("model", "a", "b", safe(F.concat_ws(" vs ", "model", "a", "b")).alias("label"),
                      fmt_ci(F.col("fixed_kappa"), F.col("ci_low"), F.col("ci_high")).alias("display"))
+
+
+@register("build_prompts_from_files", views=("questions",), sql=_prompt_sql("q.options"))
+def build_prompts_from_files(spark, sf):
+    """S5 + X10: prompt templates read from JSON files, then applied to every question."""
+    root = _folder(spark, "templates")
+    text = json.dumps({k: {"start": s, "end": e} for k, (s, e) in P.PROMPTS.items()})
+    spark.range(1).select(F.lit(text).alias("value")).write.text(root)
+    return P.build_prompts(fx.questions(spark, sf), templates=read_prompt_templates(spark, root))
+
+
+@register("model_dim", views=("graded_t0",), sql="""SELECT 'hub/' || model AS repository, model, variant, count(*) AS n, count_if(correct) AS n_correct FROM graded_t0 GROUP BY ALL""")
+def model_dim(spark, sf):
+    """Results labelled with the repository of each model, from a dimension of the model labels."""
+    dim = F.create_map(*[F.lit(x) for _, m in fx.MODELS for x in (m, f"hub/{m}")])
+    return graded_t0(spark, sf).groupBy(F.element_at(dim, F.col("model")).alias("repository"), "model", "variant").agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))

@@ -8,7 +8,7 @@ from ..operators import reshape as RS
 from ..operators import summary as S
 from ..sources import fixtures as fx
 from .catalog import register
-from .common import REP_KEYS, graded_m2, graded_rep, graded_t0
+from .common import REP_KEYS, graded_m2, graded_rep, graded_t0, per_case_rep
 
 SHEETS = [(m, v) for _, m in fx.MODELS for _, v in fx.VARIANTS]
 METRICS = [f"metric{k}" for k in range(1, 6)]
@@ -75,3 +75,18 @@ def src_repetitions(spark, sf):
                       ["temperature", "model", "case_id"], "rc", RUN_COLS, "response")
     long = RS.long_from(wide, ["temperature", "model", "case_id"], RUN_COLS, "run", "response")
     return long.withColumn("run", F.regexp_extract("run", r"(\d+)$", 1).cast("int"))
+
+
+@register("variant_split", views=("graded_t0",), sql="SELECT case_id, " + ", ".join(
+    f"max(CASE WHEN model = '{m}' AND variant = 'prompt1' THEN valid END) AS {m}" for _, m in fx.MODELS) + " FROM graded_t0 GROUP BY case_id")
+def variant_split(spark, sf):
+    """The sheets of one variant, picked by column suffix, under their model's name."""
+    wide = wide_responses(spark, sf)
+    return wide.select("case_id", *[F.col(c).alias(c.removesuffix("_prompt1")) for c in wide.columns if c.endswith("_prompt1")])
+
+
+@register("case_order", views=("per_case_rep",), sql="""SELECT temperature, model, case_id, n_correct,
+  row_number() OVER (PARTITION BY temperature, model ORDER BY n_correct, case_id) AS position FROM per_case_rep""")
+def case_order(spark, sf):
+    """Cases in order of correctness, then id, within (temperature, model)."""
+    return S.case_order(per_case_rep(spark, sf), REP_KEYS)

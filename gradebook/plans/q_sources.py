@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import readers as RD
+from ..sources.tables import load_table
 from .catalog import register
+from .common import graded_t0
 
 ENTRIES_PER_MAP_LINE = 5000
 
@@ -85,3 +87,63 @@ def src_articles(spark, sf):
     packed = fx.articles(spark, sf).select("db", "year", F.to_json(F.struct("doc_id", "xml")).alias("value"))
     packed.write.partitionBy("db", "year").text(root)
     return RD.read_packed_articles(spark, root)
+
+
+_META = ["metric1", "metric2", "metric3", "metric4", "metric5"]
+
+
+@register("src_ratings", views=("ratings",), doubles=("score",), sql="SELECT case_id, model, evaluator, metric, score FROM ratings")
+def src_ratings(spark, sf):
+    """Rating sheets (case and five metrics) per model and evaluator, narrower sheets left out, cells coerced to numbers."""
+    root = _folder(spark, "ratings")
+    r = fx.ratings(spark, sf)
+    wide = r.groupBy("model", "evaluator", "case_id").agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in _META])
+    wide.select("case_id", *_META, "model", "evaluator").write.partitionBy("model", "evaluator").csv(root)
+    return RD.read_checked_rating_sheets(spark, root, _META).select("case_id", "model", "evaluator", "metric", "score")
+
+
+@register("src_judgements", views=("judgements",), doubles=("agreement",), sql="SELECT case_id, model, variant, truth_position, preferred, agreement FROM judgements")
+def src_judgements(spark, sf):
+    """Judgement sheets of both presentation orders, columns beyond the third dropped."""
+    root = _folder(spark, "judgements")
+    j = fx.judgements(spark, sf).withColumn("remark", F.lit("n/a"))
+    j.select("case_id", "preferred", "agreement", "remark", "model", "variant", "truth_position").write.partitionBy("model", "variant", "truth_position").csv(root)
+    return RD.read_judgement_sheets(spark, root)
+
+
+@register("src_answers", views=("responses_machine2",), sql="SELECT case_id, model, response AS answer FROM responses_machine2")
+def src_answers(spark, sf):
+    """Answers CSV with header, projected."""
+    root = _folder(spark, "answers")
+    a = fx.responses_machine2(spark, sf).select("case_id", "model", F.col("response").alias("answer"), F.lit("x").alias("note"))
+    a.write.option("header", "true").csv(root)
+    return RD.read_answers(spark, root)
+
+
+@register("src_goals", views=("questions",), sql="SELECT case_key, CASE WHEN case_text = '' THEN '' ELSE explanation END AS goal FROM questions")
+def src_goals(spark, sf):
+    """Goal table CSV with its header row, empty goals kept."""
+    root = _folder(spark, "goals")
+    goal = F.when(F.col("case_text") == "", F.lit(None)).otherwise(F.col("explanation"))
+    fx.questions(spark, sf).select("case_key", goal.alias("goal")).write.option("header", "true").csv(root)
+    return RD.read_goals(spark, root)
+
+
+@register("append_log", views=(), sql="SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+def append_log(spark, sf):
+    """Turns appended to a log role by role, each entry with its parameters as a struct, and read back."""
+    root = _folder(spark, "log")
+    c = load_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    entry = c.select("conv_id", "turn", "role", F.struct(F.length("text").alias("n_chars")).alias("parameters"))
+    RD.append_log(entry.where("role = 'user'"), root)
+    RD.append_log(entry.where("role <> 'user' OR role IS NULL"), root)
+    return spark.read.schema(entry.schema).parquet(root).select("conv_id", "turn", "role", "parameters.n_chars")
+
+
+@register("sink_tables", views=("graded_t0",), sql="SELECT model, variant, count(*) AS n, count_if(correct) AS n_correct FROM graded_t0 GROUP BY ALL")
+def sink_tables(spark, sf):
+    """A result table written as CSV with header and read back."""
+    root = _folder(spark, "result")
+    t = graded_t0(spark, sf).groupBy("model", "variant").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+    RD.write_table(t, root, "csv")
+    return spark.read.schema(t.schema).option("header", "true").csv(root)

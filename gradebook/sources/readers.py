@@ -75,6 +75,42 @@ def read_rating_sheets(spark: SparkSession, root: str, metrics: list[str]) -> Da
                        F.expr("try_cast(raw AS DOUBLE)").alias("score"), "source_file")
 
 
+def sheet_widths(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(file_path, n_columns) of delimited sheets: the widest line of each file."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    return raw.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.max(F.size(F.split("value", ",", -1))).alias("n_columns"))
+
+
+def read_checked_rating_sheets(spark: SparkSession, root: str, metrics: list[str], least: int = 6) -> DataFrame:
+    """S10 with its check: sheets of fewer than ``least`` columns are left out (``sheet_widths`` names them)."""
+    wide_enough = sheet_widths(spark, root).where(F.col("n_columns") >= least).select(F.element_at(F.split("file_path", "/"), -1).alias("source_file")).distinct()
+    return read_rating_sheets(spark, root, metrics).join(wide_enough, "source_file", "left_semi")
+
+
+def read_judgement_sheets(spark: SparkSession, root: str) -> DataFrame:
+    """``case_id,preferred,agreement[,...]`` under ``root/model=*/variant=*/truth_position=*/``; further columns are dropped."""
+    df = spark.read.schema("case_id STRING, preferred STRING, agreement STRING, _extra STRING").option("header", "false").csv(root)
+    return df.select(F.expr("try_cast(case_id AS BIGINT)").alias("case_id"), "model", "variant", F.col("truth_position").cast("int").alias("truth_position"),
+                     F.expr("try_cast(preferred AS INT)").alias("preferred"), F.expr("try_cast(agreement AS DOUBLE)").alias("agreement"))
+
+
+def read_answers(spark: SparkSession, root: str) -> DataFrame:
+    """Answers CSV with header, projected to case, model and answer."""
+    df = spark.read.schema("case_id STRING, model STRING, answer STRING, note STRING").option("header", "true").csv(root)
+    return df.select(F.expr("try_cast(case_id AS BIGINT)").alias("case_id"), "model", "answer")
+
+
+def read_prompt_templates(spark: SparkSession, root: str) -> DataFrame:
+    """JSON maps prompt_id -> {start, end}."""
+    pair = T.MapType(T.StringType(), T.StructType([T.StructField("start", T.StringType()), T.StructField("end", T.StringType())]))
+    return read_json_maps(spark, root, pair).select(F.col("key").alias("prompt_id"), "value.start", "value.end")
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Append-only log; one write adds files and never rewrites what is there."""
+    entries.write.mode("append").parquet(path)
+
+
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
     """One XML document per file under ``root/{db}/{year}/{id}.xml`` (or the equivalent
     ``db=/year=/doc_id=`` partition folders)."""

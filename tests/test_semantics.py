@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from gradebook.functions.random import uniform_sql
 from gradebook.operators import corpus as C
+from gradebook.operators import judging as J
 from gradebook.operators import grading as G
 from gradebook.operators import prompts as P
 from gradebook.operators import resample as R
 from gradebook.operators import summary as S
-from gradebook.operators.ranking import dense_index
+from gradebook.operators.ranking import hash_rank
 
 
 def test_grade_normalises_and_masks(spark):
@@ -54,16 +55,15 @@ def test_heatmap_buckets_small_counts(spark):
     assert {(r.bucket, r.n_correct) for r in h} == {(7, 0), (10, 10)}                      # K7
 
 
-def test_dense_index_matches_row_number(spark):
-    rows = [(g, int(i)) for g in ("a", "b", "c") for i in np.random.default_rng(5).permutation(500)]
-    df = spark.createDataFrame(rows, "g string, v long").repartition(7)
-    out = dense_index(df, ["g"], ["v"], target=37).collect()
-    assert all(r.idx == r.v for r in out)
-    h = df.withColumn("h", F.md5(F.col("v").cast("string")))
-    got = sorted((r.g, r.idx, r.h) for r in dense_index(h, ["g"], ["h", "v"], hex_key=True, target=3).collect())
-    for g in ("a", "b", "c"):
-        hs = sorted(r[2] for r in got if r[0] == g)
-        assert [r[2] for r in got if r[0] == g] == hs
+def test_hash_rank_numbers_every_group_in_hash_order(spark):
+    """Any key distribution: one group holds nearly all rows, and its keys are heavily skewed."""
+    rows = [("a" if i % 50 else "b", 2 ** (i % 40) * 1000 + i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = hash_rank(df, ["g"], ["v"], salt="s").collect()
+    for g in ("a", "b"):
+        mine = sorted((r.idx, r.v) for r in got if r.g == g)
+        want = sorted((v for k, v in rows if k == g), key=lambda v: hashlib.md5(f"s|{g}|{v}".encode()).hexdigest())
+        assert [v for _, v in mine] == want and [i for i, _ in mine] == list(range(len(want)))
 
 
 def test_permutation_preserves_run_label_counts(spark):
@@ -129,7 +129,7 @@ def test_article_sections_and_metadata(spark):
     m = C.article_metadata(df).first()
     assert (m.pmid, m.pmc, m.article_title, m.license_type, m.license_url, m.copyright_text) == (
         "77", "5", "T", "cc-by", "http://x/y", "(c) me")
-    inv = C.sections_map(C.section_inventory(C.article_elements(df))).first().body_sections
+    inv = C.sections_map(C.section_inventory(df)).first().body_sections
     assert inv["s1"] == "Methods" and inv["blank"] == "blank" and inv["s2"] == "N/A"   # K20 last wins
 
 
@@ -148,3 +148,36 @@ def test_upsert_latest(spark):
     df = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("j", 1, "only")], "key string, seq int, text string")
     got = {r.key: r.text for r in P.upsert_latest(df, ["key"], "seq").collect()}
     assert got == {"k": "new", "j": "only"}
+
+
+def test_article_walk_keeps_tails_nested_sections_and_errors(spark):
+    docs = [("pmc", 2020, 1, '<article><body><p>before <fig>f</fig>after the figure</p><sec id="a"><title>T</title>tail<sec id="b"><p>x</p></sec></sec></body></article>'),
+            ("pmc", 2020, 2, "<article><body><p>a&nbsp;b note:alpha … a:b</p></body></article>"),
+            ("pmc", 2020, 3, "<article><body><p>open<br></p></body></article>"), ("pmc", 2020, 4, None)]
+    df = spark.createDataFrame(docs, "db string, year int, doc_id long, xml string")
+    got = C.article_elements(df).collect()
+    texts = {(r.doc_id, r.position): r.text for r in got if r.parse_error is None}
+    assert texts[1, 0] == "before after the figure" and texts[1, 1] == "tail x" and texts[2, 0] == "a b note:alpha … a:b".replace("…", "...")
+    assert {r.doc_id for r in got if r.parse_error} == {3, 4} and {r.doc_id for r in C.article_metadata(df).where("parse_error IS NOT NULL").collect()} == {3, 4}
+    inv = [(r.sec_id, r.title) for r in C.section_inventory(df).where("doc_id = 1").orderBy("position").collect()]
+    assert inv == [("a", "T"), ("b", "N/A"), ("blank", "blank")]
+
+
+def test_wrong_case_without_judgement_reaches_hall_none(spark):
+    j = spark.createDataFrame([(1, "m", "v", 1, 1, 3.0), (1, "m", "v", 2, 1, 4.0)], "case_id long, model string, variant string, truth_position int, preferred int, agreement double")
+    g = spark.createDataFrame([(1, "m", "v", False), (2, "m", "v", False)], "case_id long, model string, variant string, correct boolean")
+    out = {r.outcome: r.n for r in J.judge_outcomes(J.judge_filter(J.judge_joined(j, g))).collect()}
+    assert out["hall_none"] == 1 and sum(out.values()) == 2
+
+
+def test_long_keys_stay_apart(spark):
+    df = spark.createDataFrame([(123456789, 1, "a"), (123456780, 1, "b")], "conv_id long, turn int, answer string")
+    got = P.upsert_latest(df.withColumn("case_key", F.col("conv_id").cast("string")), ["case_key"], "turn")
+    assert got.count() == 2
+
+
+def test_likert_levels_between_whole_points(spark):
+    from gradebook.operators import summary as S
+    df = spark.createDataFrame([("m", 4.5), ("m", 4.0), ("m", 6.0)], "model string, score double")
+    got = {r.score: (r.n, r.percent) for r in S.likert_percent(df, ["model"]).collect()}
+    assert got[4.5][0] == got[4.0][0] == got[6.0][0] == 1 and got[1.0][0] == 0 and sum(p for _, p in got.values()) == pytest.approx(100)

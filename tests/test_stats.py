@@ -153,3 +153,34 @@ def test_chi2_association_shift(spark):
 def test_student_t_quantile():
     assert I.student_t_quantile(0.975, 9) == pytest.approx(2.2621571627409915, rel=1e-9)
     assert I.student_t_quantile(0.975, 1) == pytest.approx(12.706204736174707, rel=1e-9)
+
+
+def test_mcnemar_is_one_exact_rule_at_every_size(spark):
+    """Against the incomplete beta's symmetric sum in whole numbers (small) and the normal limit (over 10^6 pairs)."""
+    from fractions import Fraction
+
+    def p(b, c):
+        return spark.sql(f"SELECT {I.mcnemar_p_spark_sql('b', 'c')} AS p FROM (SELECT {b}L AS b, {c}L AS c)").first().p
+
+    for b, c in [(0, 0), (0, 1), (3, 3), (1, 12), (20, 31), (400, 455), (0, 60)]:
+        n = b + c
+        want = min(Fraction(1), 2 * sum(Fraction(math.comb(n, i), 2 ** n) for i in range(min(b, c) + 1)))
+        assert p(b, c) == pytest.approx(float(want), rel=1e-11)
+    n, k = 4_000_000, 1_997_000
+    z = (n / 2 - k - 0.5) / math.sqrt(n / 4)
+    assert p(k, n - k) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+@pytest.mark.parametrize("x,df", [(3.2, 1), (10.0, 7), (120.0, 150), (250.0, 201), (9.0, 2)])
+def test_chi2_sf_two_independent_forms_without_df_cap(spark, x, df):
+    a = spark.sql(f"SELECT {chi2_sf_sql(repr(x) + 'D', str(df), 'spark')} AS p").first().p
+    assert a == pytest.approx(_duck(chi2_sf_sql(repr(x), str(df))), rel=1e-10)
+
+
+def test_icc_does_not_depend_on_the_common_level(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, i, r, float(v)) for i in range(40) for r, v in zip("ab", rng.integers(1, 6, 2))]
+    def icc(shift):
+        df = spark.createDataFrame([(g, i, r, v + shift) for g, i, r, v in rows], "g int, case_id int, evaluator string, score double")
+        return A.icc2(df, ["g"]).first().icc2_1
+    assert icc(1e8) == pytest.approx(icc(0.0), abs=1e-7)

@@ -8,9 +8,10 @@ def test_landing_stream_resumes(spark, tmp_path):
     first = spark.createDataFrame([("pmc", 2020, 1), ("pmc", 2020, 2), ("pubmed", 2021, 3)], CANDIDATE_SCHEMA)
     first.write.mode("append").parquet(src)
     run_landing_stream(spark, src, out, ck)
-    # second batch: one new id, one id already landed under pmc (skipped for pubmed too), one duplicate
-    second = spark.createDataFrame([("pmc", 2022, 4), ("pubmed", 2022, 1), ("pmc", 2020, 2)], CANDIDATE_SCHEMA)
+    # second batch: one new id, one id of the same year already landed under pmc (skipped for pubmed too), one duplicate,
+    # and a landed id in another year, which is another article folder
+    second = spark.createDataFrame([("pmc", 2022, 4), ("pubmed", 2020, 1), ("pmc", 2020, 2), ("pubmed", 2022, 1)], CANDIDATE_SCHEMA)
     second.write.mode("append").parquet(src)
     run_landing_stream(spark, src, out, ck)
     landed = sorted((r.db, r.doc_id) for r in spark.read.schema(CANDIDATE_SCHEMA).parquet(out).collect())
-    assert landed == [("pmc", 1), ("pmc", 2), ("pmc", 4), ("pubmed", 3)]
+    assert landed == [("pmc", 1), ("pmc", 2), ("pmc", 4), ("pubmed", 1), ("pubmed", 3)]
