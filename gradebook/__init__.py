@@ -8,6 +8,14 @@ driver inside an operator.  Sub-packages:
 * ``operators`` - grading, summaries, agreement, tests, resampling, judging, corpus and prompt jobs
 * ``plans``     - the named query catalogue (Spark builders + DuckDB oracle SQL)
 * ``streaming`` - Structured Streaming form of the landing job
+
+Functions that run in tasks are sent by value, so executors need no copy of the package on their path.
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__version__ = "0.2.0"
