@@ -29,10 +29,12 @@ log10(0.5 / 0.5).  Equal rows score equally and count each.  Other columns are n
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,12 +42,27 @@ from .common import LOWER, MULTIPLIERS, find_words, mix, pieces, stage, text_byt
 
 K = 5
 BEYOND = 0.01
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 PART_BYTES = 8 << 20      # text for each partition of the bigram table
 START, END = np.uint64(MULTIPLIERS[55]), np.uint64(MULTIPLIERS[56])
 WORDS, PAIRS = 0, 1
 
 
+ROWS_AT_ONCE = 4          # chunk rows (some MB each) that are sent to Python at once
+
+
+@contextmanager
+def few_rows_at_once(spark: SparkSession):
+    """Within it, stages hand Python ``ROWS_AT_ONCE`` rows a batch: a batch of the usual size would hold dozens of chunks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ------------------------------------------------------------------------------------------ packed arrays
 
 def pack(values: np.ndarray, differences: bool = False) -> bytes:
@@ -149,6 +166,8 @@ def _ask(word_parts: int, pair_parts: int):
                     n = np.bincount(where, weights=weight, minlength=len(keys)).astype(np.int64)
                     cut = split_sorted(keys, parts)
                     out += [(shift + p, row["chunk"], kind, pack(keys[a:b], True), pack(n[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+                del own, weight, values, keys, where, n
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=_ASK.names)
     return fn
 
@@ -311,14 +330,18 @@ def katz_scores(docs: DataFrame, learn, held) -> tuple[DataFrame, Model]:
     size = chunks.agg(F.sum("size").alias("s")).first()["s"] or 0
     pair_parts = max(4, -(-size // PART_BYTES))
     word_parts = max(2, -(-pair_parts // 6))
-    asked = chunks.mapInArrow(_ask(word_parts, pair_parts), _ASK)
-    answers = stage(asked.groupBy("part").applyInArrow(_count_table, _ANSWER), "counts")
+    spark = docs.sparkSession
+    with few_rows_at_once(spark):
+        asked = chunks.mapInArrow(_ask(word_parts, pair_parts), _ASK)
+        answers = stage(asked.groupBy("part").applyInArrow(_count_table, _ANSWER), "counts")
     stats = {WORDS: [0] * (K + 3), PAIRS: [0] * (K + 3)}
     for r in answers.select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect():
         stats[r["kind"]][r["pos"]] = r["n"]
     model = Model(stats[WORDS], stats[PAIRS])
     backoff_parts = word_parts * 2
-    scored = stage(chunks.groupBy("chunk").cogroup(answers.drop("stats").groupBy("chunk")).applyInArrow(_score(model, backoff_parts), _SCORED), "scored")
+    with few_rows_at_once(spark):
+        scored = chunks.groupBy("chunk").cogroup(answers.drop("stats").groupBy("chunk")).applyInArrow(_score(model, backoff_parts), _SCORED)
+        scored = stage(scored, "scored")
     alphas = scored.where("kind IN ('S', 'N')").groupBy("part").applyInArrow(_backoff_table, _ALPHA)
     done = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
                          T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
