@@ -9,8 +9,9 @@ next one's ``docs``.  All but the last return the columns of ``documents``.
 * decontamination: drops documents that hold a window of a ``benchmark`` item.
 * mixing: gives every document its place in the mix of sources; adds units, block, slot, release, deadline, position, in_mix.
 
-Rows that share a doc_id are decided on together, except equal rows, of which near_dup keeps one.  A null doc_id is
-compared with nothing and kept, unless it is toxic or contaminated by any row of null doc_id with the same text.
+toxicity, line_dedup and decontamination decide on each row by its own text; lines are compared in order of (doc_id, text hash,
+line).  near_dup drops every row of a doc_id that is no class' smallest, and of rows equal in doc_id and text keeps one; a null
+doc_id is compared with nothing there and kept.  Null and empty texts pass all stages.
 """
 
 from __future__ import annotations
