@@ -18,7 +18,7 @@ def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return repr(v)
     return str(v)
 
 
