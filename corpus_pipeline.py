@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next one's ``docs``.  All but the last return the columns of ``documents``.
 
 * toxicity: drops documents scored 0.5 or more by the model of ``labels``.
-* line_dedup: cuts lines that stand earlier in the corpus out of the texts; drops documents of which nothing is left.
+* line_dedup: cuts lines that stand earlier in the corpus out of the texts; drops documents of which nothing new is left.
 * near_dup: keeps one document of each near-duplicate class (similarity 0.8 of five-word shingles).
 * decontamination: drops documents that hold a window of a ``benchmark`` item.
 * mixing: gives every document its place in the mix of sources; adds units, block, slot, release, deadline, position, in_mix.

@@ -31,6 +31,7 @@ from .common import small, stage
 
 MIN_CHARS = 20
 BLOCKS = 64
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 SMALL_ROWS = 1_000_000   # up to so many narrow rows (under 100 bytes each) a side of a join is broadcast
 
 
@@ -115,14 +116,37 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "ta", "line_no", F.col("low.doc_id").alias("first_doc_id"), F.col("low.line_no").alias("first_line_no"), "edits")
 
 
+def _scraps(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, ta) of the documents that lost all lines that are compared, and whose every shorter line stands earlier in the corpus."""
+    ta, norm = F.xxhash64("text").alias("ta"), F.lower(F.trim("line")).alias("norm")
+    sized = docs.select("doc_id", ta, F.expr(f"size(filter(split(text, '\\n', -1), l -> length(lower(trim(l))) >= {MIN_CHARS}))").alias("n_long"))
+    lost = gone.select("__llm_doc_id", "__llm_ta", F.size("__llm_gone").alias("n_gone"))
+    whole = sized.join(lost, F.expr("doc_id <=> __llm_doc_id AND ta = __llm_ta AND n_long = n_gone")).select("__llm_doc_id", "__llm_ta").distinct()
+    whole = stage(whole, "all_long_gone")
+    short = docs.select("doc_id", ta, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(NOT_BLANK)) \
+        .select("doc_id", "ta", "line_no", norm).where(F.length("norm") < MIN_CHARS)
+    own = short.join(small(whole, SMALL_ROWS), F.expr("doc_id <=> __llm_doc_id AND ta = __llm_ta"), "left_semi") \
+        .groupBy("doc_id", "ta", "norm").agg(F.min("line_no").alias("line_no"))
+    own = stage(own, "short_left")
+    wanted = stage(own.select("norm").distinct(), "short_wanted")
+    low = short.join(small(wanted, SMALL_ROWS), "norm", "left_semi").groupBy("norm").agg(F.min(_place()).alias("low"))
+    met = own.join(small(stage(low, "short_first"), SMALL_ROWS), "norm")
+    return met.groupBy("doc_id", "ta").agg(F.min(F.col("low") < _place()).alias("earlier")).where("earlier").select("doc_id", "ta")
+
+
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with duplicate lines cut out of text; rows of which nothing but blanks is left are dropped.
+    """``docs`` with duplicate lines cut out of text; rows of which nothing new is left are dropped.
 
-    Rows that lose no line come back as they are, empty ones included.
+    Nothing new: every line left is blank, or has under ``MIN_CHARS`` characters and stands, letter for letter as
+    compared, earlier in the corpus.  Rows that lose no line come back as they are, empty ones included.
     """
     gone = duplicate_lines(docs).distinct().groupBy("doc_id", "ta").agg(F.collect_set("line_no").alias("__llm_gone")) \
         .withColumnRenamed("doc_id", "__llm_doc_id").withColumnRenamed("ta", "__llm_ta")
+    gone = stage(gone, "gone")
+    scraps = stage(_scraps(docs, gone), "scraps").withColumn("__llm_scrap", F.lit(True))
+    gone = gone.join(small(scraps, SMALL_ROWS), F.expr("__llm_doc_id <=> doc_id AND __llm_ta = ta"), "left").drop("doc_id", "ta")
     joined = docs.join(gone, F.expr("doc_id <=> __llm_doc_id") & (F.xxhash64("text") == F.col("__llm_ta")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__llm_gone", i)), "\n")
     text = F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(rest)
-    return joined.withColumn("text", text).where(F.col("__llm_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    kept = F.col("__llm_gone").isNull() | F.col("__llm_scrap").isNull() & F.col("text").rlike(NOT_BLANK)
+    return joined.withColumn("text", text).where(kept).select(*docs.columns)
