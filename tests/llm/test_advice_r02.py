@@ -3,7 +3,7 @@
 from brute import classes, contamination, dropped_lines
 
 import corpus_pipeline
-from gradebook.llm import line_dedup, toxicity
+from gradebook.llm import line_dedup, pii, toxicity
 from gradebook.llm.common import table
 from pyspark.sql import functions as F
 
@@ -48,3 +48,15 @@ def test_pipeline_drops_scraps(spark, sf):
     hit = {r[0] for r in contamination(list(texts.items()), items) if r[-1]}
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {d: t for d, t in texts.items() if d not in hit}
+
+
+# ---------------------------------------------------------------------------------------- personal data
+
+def test_neighbouring_numbers_come_back(spark, sf):
+    model = pii.fit(table(spark, "/root/testdata/sf0.1", "documents"))
+    rows = [(1, "call +1 (826) 555-4081 190.137.223.204 now"), (2, "at 170.106.47.218 +1 (843) 555-7672"), (3, "+1 (843) 555-7672 170.106.47.218"),
+            (4, "cards 7536784127813050 4845168114407329 here")]
+    found = pii.find_spans(frame(spark, rows), model)
+    got = {r["doc_id"]: {rows[r["doc_id"] - 1][1][x.s:x.e] for x in r["all"]} for r in found.select("doc_id", "all").collect()}
+    assert {"+1 (826) 555-4081", "190.137.223.204"} <= got[1] and {"+1 (843) 555-7672", "170.106.47.218"} <= got[2] & got[3]
+    assert {"7536784127813050", "4845168114407329"} <= got[4]
