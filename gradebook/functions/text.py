@@ -36,5 +36,13 @@ def safe_name(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"[ /.]", "_"), "()", "")
 
 
+def three_decimals(c: Column) -> Column:
+    """A number with three decimals, rounded from the number itself: 0.0375, which lies just below, gives 0.037.
+    (``format_string`` rounds the shortest decimal that stands for it; ``format_number`` does so below 0.001 only.)"""
+    tiny = F.concat(F.when(c < 0, "-").otherwise(""), F.when(F.abs(c) >= 0.0005, "0.001").otherwise("0.000"))
+    return F.when(F.abs(c) < 0.001, tiny).otherwise(F.replace(F.format_number(c, 3), F.lit(","), F.lit("")))
+
+
 def format_ci(est: Column, lo: Column, hi: Column) -> Column:
-    return F.format_string("%.3f [%.3f, %.3f]", est, lo, hi)
+    """``k [lo, hi]``; NULL where one of them is."""
+    return F.concat(three_decimals(est), F.lit(" ["), three_decimals(lo), F.lit(", "), three_decimals(hi), F.lit("]"))

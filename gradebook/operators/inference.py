@@ -91,13 +91,31 @@ def stuart_maxwell(cells: DataFrame, keys: Sequence[str], x: str = "x", y: str =
     return a.select(*keys, F.expr(stat).alias("statistic"), "df").withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df", "spark")))
 
 
-def wilcoxon_signed_rank(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+EXACT_PAIRS = 50   # fixed value: ``auto`` takes the exact null up to so many pairs
+
+
+def _signed_rank_cdf(steps: str, t: str) -> str:
+    """Spark text: P(sum <= t) of the sum of ``steps`` (an array of whole numbers), each taken with probability 1/2.
+
+    Entry s of the array is the probability of the sum s; a step k adds the array moved by k.  Sums over t are cut off at once,
+    as no later step lowers a sum, so the array has at most t + 1 entries."""
+    moved = "zip_with(concat(c, array_repeat(0.0D, k)), concat(array_repeat(0.0D, k), c), (p, q) -> (p + q) / 2)"
+    return f"aggregate({steps}, array(1.0D), (c, k) -> slice({moved}, 1, {t} + 1), c -> aggregate(c, 0.0D, (s, p) -> s + p))"
+
+
+def wilcoxon_signed_rank(p: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", method: str = "auto") -> DataFrame:
     """T5/T6 on paired values (y - x), zeros dropped (Wilcoxon's method), two-sided.
 
     Histogram form: counts per |d| with positive / negative split, average ranks from the
     cumulative count of smaller |d| (a window over the distinct |d| values of one group),
-    W+ / W-, T = min, tie-corrected normal z (no continuity correction), p = erfc(|z|/sqrt 2).
-    Groups whose differences are all zero give statistic 0 and p 1."""
+    W+ / W-, T = min, tie-corrected normal z (no continuity correction).
+
+    ``method``: ``approx`` takes p = erfc(|z|/sqrt 2); ``exact`` the distribution of the rank sum over all signs, by dynamic
+    programming (ties: over the signs of the average ranks at hand; time n * T, memory T a group, so for small
+    groups); ``auto`` is exact for at most ``EXACT_PAIRS`` pairs without ties and zeros, else approximate.  The column
+    ``method`` says which one a group got.  Groups whose differences are all zero give statistic 0 and p 1 (exact)."""
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError("method is auto, exact or approx")
     keys = list(keys)
     d = p.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, (F.col(y).cast("double") - F.col(x).cast("double")).alias("d"))
@@ -107,12 +125,15 @@ def wilcoxon_signed_rank(p: DataFrame, keys: Sequence[str], x: str = "x", y: str
     w = Window.partitionBy(*keys).orderBy("ad").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0)))
     h = h.withColumn("avg_rank", F.col("before") + (F.col("t") + 1) / 2.0)
+    # ranks in halves are whole numbers; only the exact method needs them
+    ranks = [F.collect_list(F.when(F.col("t") > 0, F.struct((2 * F.col("before") + F.col("t") + 1).cast("int").alias("r"), F.col("t").cast("int").alias("t")))).alias("_ranks")]
     g = h.groupBy(*keys).agg(
         F.sum("cnt").alias("n_pairs"),
         F.sum("t").alias("n"),
         F.sum(F.when(F.col("t") > 0, F.col("avg_rank") * F.col("pos")).otherwise(0.0)).alias("w_pos"),
         F.sum(F.when(F.col("t") > 0, F.col("avg_rank") * F.col("neg")).otherwise(0.0)).alias("w_neg"),
         F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_term"),
+        *(ranks if method == "exact" else []),
     )
     n = F.col("n").cast("double")
     g = g.withColumns({
@@ -121,11 +142,20 @@ def wilcoxon_signed_rank(p: DataFrame, keys: Sequence[str], x: str = "x", y: str
         "_var": n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_term") / 48.0,
     })
     g = g.withColumn("z", F.when((F.col("n") > 0) & (F.col("_var") > 0), (F.col("statistic") - F.col("_mean")) / F.sqrt("_var")))
+    untied = (F.col("tie_term") == 0) & (F.col("n") == F.col("n_pairs"))
+    chosen = {"exact": F.lit(True), "approx": F.lit(False), "auto": untied & (F.col("n_pairs") <= EXACT_PAIRS)}[method]
+    if method == "exact":
+        cdf = _signed_rank_cdf("flatten(transform(_ranks, x -> array_repeat(x.r, x.t)))", "CAST(2 * statistic AS INT)")
+    else:
+        cdf = _signed_rank_cdf("sequence(1, CAST(n AS INT))", "CAST(statistic AS INT)")
+    g = g.withColumn("method", F.when((F.col("n") == 0) | chosen, "exact").otherwise("approx"))
+    approx = F.expr(normal_two_sided_p_sql("z"))
+    exact = F.least(F.lit(1.0), 2 * F.expr(cdf)) if method != "approx" else approx
     g = g.withColumns({
-        "p_value": F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.expr(normal_two_sided_p_sql("z"))),
+        "p_value": F.when(F.col("n") == 0, F.lit(1.0)).when(F.col("method") == "exact", exact).otherwise(approx),
         "rank_biserial": F.when(F.col("n") > 0, (F.col("w_pos") - F.col("w_neg")) / (n * (n + 1) / 2.0)),
     })
-    return g.drop("_mean", "_var", "tie_term")
+    return g.drop("_mean", "_var", "tie_term", "_ranks")
 
 
 def fdr_bh(df: DataFrame, p_col: str = "p_value", family: Sequence[str] = (), alpha: float = 0.05,

@@ -84,6 +84,40 @@ def wilcoxon_signed_rank(spark, sf):
     return I.wilcoxon_signed_rank(rating_model_pairs(fx.ratings(spark, sf)), ["evaluator", "metric"])
 
 
+# exact null by trying all signs of the (doubled) ranks of a small group
+_BLOCK_PAIRS_SQL = f"SELECT evaluator, metric, case_id // 8 AS block, x, y FROM ({RATING_MODEL_PAIRS_SQL}) p"
+_SIGNS_SQL = f"""pr AS ({_BLOCK_PAIRS_SQL}),
+{wilcoxon_ctes('pr', ['evaluator', 'metric', 'block'], 'wx')},
+rk AS (SELECT evaluator, metric, block, CAST(2 * rank() OVER (PARTITION BY evaluator, metric, block ORDER BY abs(y - x))
+         + count(*) OVER (PARTITION BY evaluator, metric, block, abs(y - x)) - 1 AS BIGINT) AS r FROM pr WHERE x <> y),
+sg AS (SELECT evaluator, metric, block, list(r) AS rs FROM rk GROUP BY ALL),
+ex AS (SELECT wx.*, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * len(list_filter(list_transform(range(0, CAST(1 << n AS BIGINT)), lambda m:
+         list_sum(list_transform(range(1, n + 1), lambda i: ((m >> CAST(i - 1 AS INT)) & 1) * rs[i]))), lambda w: w <= 2 * statistic)) / power(2.0, n)) END AS p_exact
+       FROM wx LEFT JOIN sg USING (evaluator, metric, block))"""
+_BLOCK_COLUMNS = "evaluator, metric, block, n_pairs, n, statistic"
+
+
+def _block_pairs(spark, sf):
+    x = fx.ratings(spark, sf).withColumn("block", F.expr("case_id div 8"))
+    return rating_model_pairs(x, ("evaluator", "metric", "block"))
+
+
+@register("wilcoxon_small_groups", views=("ratings",), doubles=("statistic", "p_value"), sql=f"""
+WITH {_SIGNS_SQL} SELECT {_BLOCK_COLUMNS}, CASE WHEN method = 'exact' THEN p_exact ELSE p_value END AS p_value, method FROM ex""")
+def wilcoxon_small_groups(spark, sf):
+    """T5: the test within blocks of eight cases, exact where there are neither ties nor zeros, else by the normal approximation."""
+    out = I.wilcoxon_signed_rank(_block_pairs(spark, sf), ["evaluator", "metric", "block"], method="auto")
+    return out.select("evaluator", "metric", "block", "n_pairs", "n", "statistic", "p_value", "method")
+
+
+@register("wilcoxon_exact", views=("ratings",), doubles=("statistic", "p_value", "rank_biserial"), sql=f"""
+WITH {_SIGNS_SQL} SELECT {_BLOCK_COLUMNS}, p_exact AS p_value, 'exact' AS method, rank_biserial FROM ex""")
+def wilcoxon_exact(spark, sf):
+    """T5: the exact null, over the signs of average ranks, within blocks of eight cases."""
+    out = I.wilcoxon_signed_rank(_block_pairs(spark, sf), ["evaluator", "metric", "block"], method="exact")
+    return out.select("evaluator", "metric", "block", "n_pairs", "n", "statistic", "p_value", "method", "rank_biserial")
+
+
 _PT_DOUBLES = ("median_a", "median_b", "median_difference", "mean_difference", "wilcoxon_statistic", "p_value_raw",
                "rank_biserial", "p_value_fdr_bh", "neg_log10_p_adj", "median_difference_95ci_low", "median_difference_95ci_high")
 

@@ -37,7 +37,8 @@ def kappa_ctes(cells: str, keys: list[str], weights: str | None, out: str) -> st
 
 
 def wilcoxon_ctes(pairs: str, keys: list[str], out: str) -> str:
-    """``pairs(keys..., x, y)`` -> ``out(keys..., n_pairs, n, w_pos, w_neg, statistic, z, p_value, rank_biserial)``."""
+    """``pairs(keys..., x, y)`` -> ``out(keys..., n_pairs, n, w_pos, w_neg, statistic, z, p_value, rank_biserial, method)``; ``p_value`` is the normal one,
+    ``method`` says which one the automatic choice takes."""
     K = _k(keys)
     p = out
     z = "z"
@@ -55,7 +56,8 @@ def wilcoxon_ctes(pairs: str, keys: list[str], out: str) -> str:
           FROM {p}_g),
 {out} AS (SELECT {K}, n_pairs, n, w_pos, w_neg, statistic, z,
           CASE WHEN n = 0 THEN 1.0 ELSE {normal_two_sided_p_sql(z)} END AS p_value,
-          CASE WHEN n > 0 THEN (w_pos - w_neg) / (CAST(n AS DOUBLE) * (n + 1) / 2.0) END AS rank_biserial FROM {p}_z)"""
+          CASE WHEN n > 0 THEN (w_pos - w_neg) / (CAST(n AS DOUBLE) * (n + 1) / 2.0) END AS rank_biserial,
+          CASE WHEN n = 0 OR (n_pairs <= 50 AND n = n_pairs AND tie_term = 0) THEN 'exact' ELSE 'approx' END AS method FROM {p}_z)"""
 
 
 def icc_ctes(long: str, keys: list[str], out: str) -> str:

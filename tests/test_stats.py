@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradebook.functions.text import format_ci
 from gradebook.functions.stats import chi2_sf_sql, erfc_sql, wilson_sql
 from gradebook.operators import agreement as A
 from gradebook.operators import inference as I
@@ -117,6 +118,51 @@ def test_wilcoxon_all_zero(spark):
     assert (r.statistic, r.p_value) == (0.0, 1.0)
 
 
+def _signed(spark, ds):
+    return spark.createDataFrame([(1, 0.0, float(d)) for d in ds], "g int, x double, y double")
+
+
+@pytest.mark.parametrize("n,t,p", [(5, 0, 2 / 32), (5, 1, 4 / 32), (10, 8, 50 / 1024), (25, 89, 0.04826)])
+def test_wilcoxon_exact_without_ties(spark, n, t, p):
+    """Hand values: of 2^n signs, those whose rank sum is at most T (n = 25: 89 is the tabulated 5 % point)."""
+    minus, left = set(), t
+    for r in range(n, 0, -1):
+        if r <= left:
+            minus.add(r)
+            left -= r
+    ds = [-r if r in minus else r for r in range(1, n + 1)]
+    count = [1] + [0] * t
+    for r in range(1, n + 1):
+        count = [c + (count[s - r] if s >= r else 0) for s, c in enumerate(count)]
+    for method in ("auto", "exact"):
+        r = I.wilcoxon_signed_rank(_signed(spark, ds), ["g"], method=method).first()
+        assert (r.statistic, r.method) == (t, "exact")
+        assert r.p_value == pytest.approx(min(1, 2 * sum(count) / 2 ** n), rel=1e-12) and r.p_value == pytest.approx(p, abs=5e-4)
+    assert I.wilcoxon_signed_rank(_signed(spark, ds), ["g"], method="approx").first().method == "approx"
+
+
+def test_wilcoxon_exact_with_ties_counts_signs(spark):
+    ds = [1, 1, -1, 2, -2, 3, 3, 0, 4]
+    ranks = {1: 2, 2: 4.5, 3: 6.5, 4: 8}
+    rs = [ranks[abs(d)] for d in ds if d]
+    t = min(sum(ranks[d] for d in ds if d > 0), sum(ranks[-d] for d in ds if d < 0))
+    sums = [sum(r for i, r in enumerate(rs) if m >> i & 1) for m in range(2 ** len(rs))]
+    r = I.wilcoxon_signed_rank(_signed(spark, ds), ["g"], method="exact").first()
+    assert r.p_value == pytest.approx(min(1, 2 * sum(s <= t for s in sums) / len(sums)), rel=1e-12)
+    assert I.wilcoxon_signed_rank(_signed(spark, ds), ["g"]).first().method == "approx"       # ties and a zero
+    assert I.wilcoxon_signed_rank(_signed(spark, range(1, 52)), ["g"]).first().method == "approx"  # 51 pairs
+    big = I.wilcoxon_signed_rank(_signed(spark, [(-1) ** k * k for k in range(1, 201)]), ["g"], method="exact").first()
+    near = I.wilcoxon_signed_rank(_signed(spark, [(-1) ** k * k for k in range(1, 201)]), ["g"], method="approx").first()
+    assert big.p_value == pytest.approx(near.p_value, abs=2e-3)
+
+
+def test_display_rounds_the_number_itself(spark):
+    values = [s * (2 * k + 1) / 2000 for k in range(2500) for s in (1, -1)] + [0.0375, 0.0625, 0.00049999999, -0.0001, 0.0, 1234.5678]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r[0]: r[1] for r in df.select("i", format_ci(F.col("v"), F.col("v"), F.lit(1.0))).collect()}
+    assert got == {i: f"{v:.3f} [{v:.3f}, 1.000]" for i, v in enumerate(values)}
+
+
 def test_bh_known(spark):
     ps = [0.01, 0.04, 0.03, 0.005, None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
