@@ -158,3 +158,18 @@ def dropped_lines(docs, least):
                 out[d, no] = near
             seen.append((d, no, norm))
     return out
+
+
+def cut_texts(docs, least):
+    """doc_id -> text after the line stage, over (doc_id, text) with distinct ids: lines that repeat are cut, documents left with
+    blank lines or short lines that stand earlier are dropped."""
+    docs = sorted(docs, key=lambda x: x[0])
+    gone, short, out = dropped_lines(docs, least), set(), {}
+    for d, text in docs:
+        lines = text.split("\n") if text is not None else []
+        left = [x for k, x in enumerate(lines) if (d, k) not in gone]
+        norms = {x.strip(" ").lower() for x in left if x.strip(" \t\n\v\f\r")}
+        if len(left) == len(lines) or not all(x in short for x in norms):
+            out[d] = "\n".join(left) if text is not None else None
+        short |= {x for x in norms if len(x) < least}
+    return out

@@ -1,11 +1,7 @@
 """Cases of the second review: what the first versions left undone."""
 
-from brute import classes, contamination, dropped_lines
-
-import corpus_pipeline
-from gradebook.llm import line_dedup, pii, toxicity
+from gradebook.llm import line_dedup, pii
 from gradebook.llm.common import table
-from pyspark.sql import functions as F
 
 
 def frame(spark, rows):
@@ -14,20 +10,6 @@ def frame(spark, rows):
 
 # ---------------------------------------------------------------------------------------- lines
 
-def cut_texts(docs):
-    """doc_id -> text after line removal, over (doc_id, text) with distinct ids."""
-    docs = sorted(docs, key=lambda x: x[0])
-    gone, short, out = dropped_lines(docs, line_dedup.MIN_CHARS), set(), {}
-    for d, text in docs:
-        lines = text.split("\n") if text is not None else []
-        left = [x for k, x in enumerate(lines) if (d, k) not in gone]
-        norms = {x.strip(" ").lower() for x in left if x.strip(" \t\n\v\f\r")}
-        if len(left) == len(lines) or not all(x in short for x in norms):
-            out[d] = "\n".join(left) if text is not None else None
-        short |= {x for x in norms if len(x) < line_dedup.MIN_CHARS}
-    return out
-
-
 def test_exact_copy_with_a_short_line_does_not_survive(spark):
     long = "this line stands in many documents of the corpus"
     docs = [(1, f"{long}\nThe end.\nanother line that is long enough"), (2, f"{long}\nThe end.\nanother line that is long enough"),
@@ -37,19 +19,6 @@ def test_exact_copy_with_a_short_line_does_not_survive(spark):
     assert got == {1: docs[0][1], 4: "The end!", 5: "The end.\nnew\nnew", 6: "The end.", 7: "The end.\n", None: "The end?"}
 
 
-def test_pipeline_drops_scraps(spark, sf):
-    docs = table(spark, sf, "documents")
-    model = toxicity.fit(docs, table(spark, sf, "labels"), F.lit(True))
-    toxic = {r["doc_id"] for r in toxicity.score(docs, model).where("score >= 0.5").collect()}
-    texts = cut_texts([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in toxic])
-    comp, _ = classes(list(texts.items()), 80)
-    texts = {d: t for d, t in texts.items() if comp[d] == d}
-    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
-    hit = {r[0] for r in contamination(list(texts.items()), items) if r[-1]}
-    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got == {d: t for d, t in texts.items() if d not in hit}
-
-
 # ---------------------------------------------------------------------------------------- personal data
 
 def test_neighbouring_numbers_come_back(spark, sf):

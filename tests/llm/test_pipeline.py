@@ -1,6 +1,6 @@
 """The pipeline against a brute-force version of its stages on a small table, and its registration."""
 
-from brute import classes, contamination, dropped_lines, low_words
+from brute import classes, contamination, cut_texts
 
 import __spark_entry__
 import corpus_pipeline
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dup", "decontamination", "mixing"]
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -20,12 +20,7 @@ def test_pipeline_equals_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     model = toxicity.fit(docs, table(spark, sf, "labels"), F.lit(True))
     toxic = {r["doc_id"] for r in toxicity.score(docs, model).where("score >= 0.5").collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in toxic}
-    gone = dropped_lines(list(texts.items()), line_dedup.MIN_CHARS)
-    for d in {d for d, _ in gone}:
-        texts[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if (d, k) not in gone)
-        if not low_words(texts[d]):
-            del texts[d]
+    texts = cut_texts([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in toxic], line_dedup.MIN_CHARS)
     comp, _ = classes(list(texts.items()), 80)
     texts = {d: t for d, t in texts.items() if comp[d] == d}
     items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
