@@ -1,6 +1,6 @@
 """Article corpus jobs (X1-X9, A35, S13-S16 helpers).
 
-Each query parses an article once, in ``mapInPandas`` (stdlib ElementTree, one document per row): there is no
+An article is parsed once, in ``mapInPandas`` (stdlib ElementTree, one document per row): there is no
 built-in that keeps the order of sections and paragraphs, and the JVM's XPath functions abort a whole job on one
 malformed document.  A document that can't be parsed gives a row whose ``parse_error`` says why.  Title inheritance
 (W6) and same-title concatenation (X7) are Spark windows and aggregates over the element rows.
@@ -85,10 +85,20 @@ def _local(tag: str) -> str:
 
 
 def _find(root, name, **attributes):
+    return _pick((el for el in root.iter() if _local(el.tag) == name), attributes)
+
+
+def _pick(elements, attributes: dict):
+    """The first element that has the attributes."""
+    return next((el for el in elements if all(el.get(k.replace("_", "-")) == v for k, v in attributes.items())), None)
+
+
+def _by_name(root) -> dict[str, list]:
+    """All elements by local name, in document order: one walk for any number of look-ups."""
+    out: dict[str, list] = {}
     for el in root.iter():
-        if _local(el.tag) == name and all(el.get(k.replace("_", "-")) == v for k, v in attributes.items()):
-            return el
-    return None
+        out.setdefault(_local(el.tag), []).append(el)
+    return out
 
 
 def _all(root, name) -> list:
@@ -125,7 +135,7 @@ def _text_of(el) -> str:
 
 def _per_article(articles: DataFrame, xml: Column, schema: str, rows_of: Callable) -> DataFrame:
     """One parse per document; ``rows_of(db, root)`` gives the rows, a document without root one row with parse_error."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = [f.split()[0] for f in re.sub(r"<[^ ]*>", "", schema).split(", ")]  # nested types are written without spaces
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,6 +158,10 @@ _ID_FIELDS = {"pmc": ("article-id", "pub_id_type", "article-title"), "pubmed": (
 
 def _metadata(db: str, root) -> Iterator[dict]:
     tag, kind, title_tag = _ID_FIELDS["pmc" if db == "pmc" else "pubmed"]
+    names = _by_name(root)
+
+    def _find(_, name, **attributes):
+        return _pick(names.get(name, ()), attributes)
 
     def value(el) -> str:
         return (_text(el).strip() or NA) if el is not None else NA
@@ -276,18 +290,29 @@ def sections_map(inventory: DataFrame) -> DataFrame:
     return g.select("db", "doc_id", F.map_from_entries(entries).alias("body_sections"))
 
 
-def article_record(articles: DataFrame) -> DataFrame:
-    """One record per article: metadata, article key, and its abstract and body sections as arrays."""
-    inv = section_inventory(articles).where("parse_error IS NULL")
-    section = F.struct("position", "sec_id", "title", "label", "nlm_category")
+_SECTIONS_TYPE = "array<struct<sec_id:string,title:string,label:string,nlm_category:string>>"
+_RECORD_SCHEMA = _METADATA_SCHEMA.replace("parse_error string", f"abstract_sections {_SECTIONS_TYPE}, body_sections {_SECTIONS_TYPE}, parse_error string")
+
+
+def _record(db: str, root) -> Iterator[dict]:
+    fields = next(_metadata(db, root))
+    for portion in ("abstract", "body"):
+        fields[f"{portion}_sections"] = []
+    for row in _inventory(db, root):
+        fields[f"{row['portion']}_sections"].append({k: row.get(k) for k in ("sec_id", "title", "label", "nlm_category")})
+    yield fields
 
-    def of(portion: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("portion") == portion, section)))
-        return F.transform(rows, lambda x: F.struct(x["sec_id"].alias("sec_id"), x["title"].alias("title"), x["label"].alias("label"),
-                                                    x["nlm_category"].alias("nlm_category"))).alias(f"{portion}_sections")
 
-    sections = inv.groupBy("db", "doc_id").agg(of("abstract"), of("body"))
-    return article_key(article_metadata(articles)).join(sections, ["db", "doc_id"], "left")
+def article_record(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """One record per article, from one parse: metadata, article key, its abstract and body sections as arrays (lossless), and
+    ``body_titles``, the last-wins map of section id to title (K20), empty without a body."""
+    r = _per_article(articles, F.col(xml_col), _RECORD_SCHEMA, _record)
+    r = r.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("abstract_exists", "body_exists")})
+    r = r.withColumns({c: F.coalesce(c, F.array().cast(_SECTIONS_TYPE)) for c in ("abstract_sections", "body_sections")})
+    later = lambda i: F.slice("body_sections", i + 2, F.size("body_sections"))
+    last = F.filter("body_sections", lambda x, i: ~F.exists(later(i), lambda y: y["sec_id"] == x["sec_id"]))
+    entries = F.transform(last, lambda x: F.struct(x["sec_id"], x["title"]))
+    return article_key(r).withColumn("body_titles", F.map_from_entries(entries))
 
 
 def articles_per_year(articles: DataFrame) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators.landing import append_metadata, metadata_table
 from ..operators.prompts import upsert_latest
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.tables import load_table
+from ..streaming.landing_stream import SECTION_KEY, current_sections, run_metadata_stream, run_sections_stream
 from .catalog import register
 
 # Fixed value: the literature query the corpus was searched with (one term per year is derived from it).
@@ -188,7 +192,7 @@ FROM m LEFT JOIN g ON m.db = g.db AND m.doc_id = g.doc_id""")
 def article_record(spark, sf):
     """The assembled record of each article with its abstract and body sections, and the table it goes to."""
     r = C.article_record(fx.articles(spark, sf))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    size = lambda c: F.size(c).cast("bigint")
     return r.select("db", "doc_id", "article_key", "article_title", F.when(F.col("body_exists"), "valid").otherwise("invalid").alias("route"),
                     size("abstract_sections").alias("n_abstract_sections"), size("body_sections").alias("n_body_sections"))
 
@@ -202,6 +206,69 @@ FROM (SELECT *, coalesce(last_value(own_title IGNORE NULLS) OVER (PARTITION BY d
   CASE WHEN db = 'pmc' THEN text || ' (rev)' ELSE text END AS text FROM ({_SECTIONS}) s""")
 def sections_upsert(spark, sf):
     """Cleaned sections written twice for PMC (a revised second write), the later write of each section wins."""
-    first = C.article_sections(C.article_elements(fx.articles(spark, sf))).select("db", "doc_id", "portion", "title", F.lit(1).alias("seq"), "text")
-    second = first.where("db = 'pmc'").withColumns({"seq": F.lit(2), "text": F.concat("text", F.lit(" (rev)"))})
+    first, second = _section_writes(spark, sf)
     return upsert_latest(first.unionByName(second), ["db", "doc_id", "portion", "title"], "seq")
+
+
+def _section_writes(spark, sf):
+    first = C.article_sections(C.article_elements(fx.articles(spark, sf))).select("db", "doc_id", "portion", "title", F.lit(1).alias("seq"), "text")
+    return first, first.where("db = 'pmc'").withColumns({"seq": F.lit(2), "text": F.concat("text", F.lit(" (rev)"))})
+
+
+# the record of each article, the route it takes, and the run that lands it: articles with labels come first
+_LANDED_SQL = f"""{_INVENTORY_SQL}, m AS ({_META_SQL}),
+bt AS (SELECT db, doc_id, '{{' || string_agg({_JSON_PAIR}, ',' ORDER BY p) || '}}' AS body_titles
+      FROM (SELECT db, doc_id, sec_id, arg_max(title, position) AS title, max(position) AS p FROM r WHERE portion = 'body' GROUP BY ALL) x GROUP BY ALL),
+n AS (SELECT db, doc_id, count(*) AS n FROM r WHERE portion = 'abstract' GROUP BY ALL)
+SELECT CASE WHEN m.body_exists THEN 'valid' ELSE 'invalid' END AS route, CASE WHEN l.doc_id IS NULL THEN {{late}} ELSE {{early}} END AS run_id, m.db, m.year, m.doc_id,
+  CASE WHEN m.db = 'pmc' THEN pmc ELSE pmid END AS article_key, pmid, pmc, doi, article_title, license_type, license_url, copyright_text, abstract_exists,
+  coalesce(n.n, 0) AS n_abstract_sections, body_exists, coalesce(body_titles, '{{{{}}}}') AS body_titles
+FROM m LEFT JOIN bt ON bt.db = m.db AND bt.doc_id = m.doc_id LEFT JOIN n ON n.db = m.db AND n.doc_id = m.doc_id
+LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = m.doc_id"""
+
+
+def _landed_sql(early: str, late: str) -> str:
+    return _LANDED_SQL.replace("{early}", early).replace("{late}", late).replace("{{}}", "{}")
+
+
+def _landed_rows(df):
+    return df.select("route", "run_id", "db", "year", "doc_id", "article_key", "pmid", "pmc", "doi", "article_title", "license_type", "license_url", "copyright_text",
+                     "abstract_exists", F.size("abstract_sections").cast("bigint").alias("n_abstract_sections"), "body_exists", F.to_json("body_titles").alias("body_titles"))
+
+
+def _two_parts(spark, sf):
+    """Articles with labels, and all articles."""
+    arts = fx.articles(spark, sf)
+    return arts.join(load_table(spark, sf, "labels", ["doc_id"]).distinct(), "doc_id", "left_semi").select(*arts.columns), arts
+
+
+@register("metadata_append", views=("articles",), sql=_landed_sql("'first'", "'second'"))
+def metadata_append(spark, sf):
+    """A run over some articles, then a run over all that is started twice; the records of both tables, with the run that landed them."""
+    table = f"{checkpoint_dir(spark)}/metadata-{uuid.uuid4().hex}"
+    some, everything = _two_parts(spark, sf)
+    append_metadata(C.article_record(some), table, "first")
+    for _ in range(2):
+        append_metadata(C.article_record(everything), table, "second")
+    return _landed_rows(metadata_table(spark, table, C.article_record(everything).schema))
+
+
+@register("stream_metadata_append", views=("articles",), sql=_landed_sql("'batch-0'", "'batch-1'"))
+def stream_metadata_append(spark, sf):
+    """2.11/S15: the same append as a stream that is started twice, from its checkpoint."""
+    base = f"{checkpoint_dir(spark)}/metadata-stream-{uuid.uuid4().hex}"
+    for part in _two_parts(spark, sf):
+        part.write.mode("append").parquet(f"{base}/in")
+        run_metadata_stream(spark, f"{base}/in", f"{base}/out", f"{base}/_checkpoint")
+    return _landed_rows(metadata_table(spark, f"{base}/out", C.article_record(part).schema))
+
+
+@register("stream_sections_upsert", views=("articles",), sql=f"""SELECT db, doc_id, portion, title, CASE WHEN db = 'pmc' THEN 2 ELSE 1 END AS seq,
+  CASE WHEN db = 'pmc' THEN text || ' (rev)' ELSE text END AS text FROM ({_SECTIONS}) s""")
+def stream_sections_upsert(spark, sf):
+    """2.11/S16: section writes as a stream, the latest of each key held in the state store; stopped and resumed between the two writes."""
+    base = f"{checkpoint_dir(spark)}/sections-stream-{uuid.uuid4().hex}"
+    for part in _section_writes(spark, sf):
+        part.select(*SECTION_KEY, "seq", "text").write.mode("append").parquet(f"{base}/in")
+        run_sections_stream(spark, f"{base}/in", f"{base}/changes", f"{base}/_checkpoint")
+    return current_sections(spark, f"{base}/changes")

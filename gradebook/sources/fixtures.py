@@ -41,18 +41,13 @@ def _response(code: Column, tk: Column, mid: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the (narrow, pre-fan-out) source over at least the default parallelism.
+    """Round-robin the source over at least the default parallelism.
 
-    A small source file is a single scan task; the fan-out views multiply its rows 20-180x, so
-    the generation and the map-side partial aggregation must not stay in that one task.  On a
-    cluster the source already has many splits and this is a no-op."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no SparkContext (e.g. a remote session): leave the source as it is
-        return df
-    return df.repartition(target)
+    A small source file is a single scan task; the fan-out views multiply its rows 20-180x and the article jobs parse each
+    text, so that work must not stay in that one task.  On a cluster the source already has many splits and this is a no-op.
+    Results don't depend on it."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +197,7 @@ END"""
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    d = spread(load_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
     return d.select(
         F.when(F.col("doc_id") % 4 == 0, "pubmed").otherwise("pmc").alias("db"),
         (F.lit(2018) + F.col("doc_id") % 5).cast("int").alias("year"),
