@@ -20,7 +20,7 @@ from gradebook.session import local_session  # noqa: E402
 HEADLINE = [
     "accuracy_table", "response_distribution_rep", "plurality_vote", "consistency", "kappa_matrix",
     "wilcoxon_signed_rank", "boot_mean_consistency", "article_metadata", "article_sections",
-    "global_agreement", "dominance", "clean_xrefs",
+    "global_agreement", "dominance", "clean_xrefs", "permuted_consistency",
 ]
 
 

@@ -38,3 +38,14 @@ def test_scan_is_pruned(spark):
 def test_agreement_reads_its_table_once(spark, name):
     plan = _plan(REG[name].run(spark, SF))
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+# most scans a plan may hold: the fact table once, and the two of the case numbers for permutations
+SCANS = {"permuted_consistency": 3, "observed_vs_random": 3, "pooled_random_baseline": 3, "boot_mean_difference": 3, "boot_mean_consistency": 1,
+         "boot_mean_accuracy": 1, "boot_kappa_matrix": 1, "article_record": 1}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_scans(spark, name):
+    plan = _plan(REG[name].run(spark, SF))
+    assert plan.count("FileScan") <= SCANS[name]

@@ -13,7 +13,7 @@ from gradebook.operators import grading as G
 from gradebook.operators import prompts as P
 from gradebook.operators import resample as R
 from gradebook.operators import summary as S
-from gradebook.operators.ranking import hash_rank
+from gradebook.operators.ranking import bijection, hash_rank
 
 
 def test_grade_normalises_and_masks(spark):
@@ -66,14 +66,57 @@ def test_hash_rank_numbers_every_group_in_hash_order(spark):
         assert [v for _, v in mine] == want and [i for i, _ in mine] == list(range(len(want)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 120, 121, 122, 1000, 4097])
+def test_bijection_of_every_size(spark, n):
+    df = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "g")).withColumn("n", F.lit(n).cast("long"))
+    got = bijection(df, "id", "n", ["g"], 5, "to").collect()
+    for g in range(3):
+        assert sorted(r.to for r in got if r.g == g) == list(range(n))
+    if n >= 120:
+        images = [tuple(r.to for r in sorted(got, key=lambda r: r.id) if r.g == g) for g in range(3)]
+        assert len(set(images)) == 3 and all(sum(a == b for a, b in zip(x, y)) < 12 for x in images for y in images if x is not y)
+
+
+def test_bijection_spreads_neighbours_evenly(spark):
+    """Over 400 keys, where a number and its neighbour go is uniform, alone and together (chi-square, 99.99 % point)."""
+    n, groups = 101, 400 * 25
+    df = spark.range(groups).select(F.col("id").alias("g"), F.explode(F.array(F.lit(40).cast("long"), F.lit(41).cast("long"))).alias("x"), F.lit(n).cast("long").alias("n"))
+    rows = bijection(df, "x", "n", ["g"], 1, "to").groupBy("g").agg(F.max(F.when(F.col("x") == 40, F.col("to"))).alias("p"), F.max(F.when(F.col("x") == 41, F.col("to"))).alias("q")).collect()
+    alone, together = np.zeros(n), np.zeros(n)
+    for r in rows:
+        alone[r.p] += 1
+        together[(r.p - r.q) % n] += 1
+    assert together[0] == 0
+    assert ((alone - groups / n) ** 2 / (groups / n)).sum() < 160
+    assert ((together[1:] - groups / (n - 1)) ** 2 / (groups / (n - 1))).sum() < 160
+
+
 def test_permutation_preserves_run_label_counts(spark):
-    rows = [("m", r, c, "ABCDE"[(c * r) % 5]) for r in (1, 2, 3) for c in range(200)]
+    rows = [("m", r, 7 * c * c, "ABCDE"[(c * r) % 5]) for r in (1, 2, 3) for c in range(200) if (r, c) != (2, 9)]
     df = spark.createDataFrame(rows, "model string, run int, case_id long, response string")
     p = R.permute_within(df, ["model", "run"], "case_id", "response", seed=9)
     before = sorted(df.groupBy("run", "response").count().collect())
     after = sorted(p.groupBy("run", "response").count().collect())
     assert before == after and p.count() == df.count()
-    assert p.select("run", "case_id").distinct().count() == 600
+    assert p.select("run", "no").distinct().count() == 599 and p.agg(F.min("no"), F.max("no")).first()[:] == (0, 199)
+    numbers = {r.case_id: r.no for r in R.unit_numbers(df.select("case_id").distinct(), "case_id").collect()}
+    both = R.permute_within(df, ["model", "run"], "case_id", "response", seed=9, observed=True).collect()
+    assert sorted((r.run, r.no, r.response) for r in both if r.side == "a") == sorted((r, numbers[c], x) for _, r, c, x in rows)
+    assert sorted((r.run, r.no, r.response) for r in both if r.side == "b") == sorted((r.run, r.no, r.response) for r in p.collect())
+
+
+def test_permuted_consistency_agrees_with_plain_permutation(spark):
+    """Ten runs of the same skewed answers: the mean consistency after permuting is that of independent shuffles."""
+    rng = np.random.default_rng(2)
+    answers = rng.choice(list("ABCDE"), 1500, p=[.45, .25, .15, .1, .05])
+    rows = [("m", r, c, str(answers[c])) for r in range(10) for c in range(1500)]
+    df = spark.createDataFrame(rows, "model string, run int, case_id long, response string")
+    got = S.mean_consistency(S.consistency(R.permute_within(df, ["model", "run"], "case_id", "response", 3), ["model"], case_key="no"), ["model"]).first().mean_consistency
+    plain = []
+    for _ in range(60):
+        m = np.array([rng.permutation(answers) for _ in range(10)])
+        plain.append(np.mean([max((m[:, c] == x).sum() for x in "ABCDE") / 10 for c in range(1500)]))
+    assert abs(got - np.mean(plain)) < 5 * np.std(plain)
 
 
 def test_bootstrap_exact_matches_bruteforce(spark):
