@@ -165,13 +165,28 @@ def with_icc_of_two(a: DataFrame) -> DataFrame:
     return a.select(*kept, single.alias("icc2_1"), average.alias("icc2_k"))
 
 
-def agreement_table(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A20-A23 in one table, from one set of cells: exact agreement, MAD, weighted kappas, ICC(2,1), ICC(2,k)."""
-    a = _with_agreement(rater_cells(rp, list(keys)))
+def _agreement_measures(a: DataFrame) -> DataFrame:
+    a = _with_agreement(a)
     a = with_kappa(with_kappa(a, "quadratic", "quadratic_weighted_kappa"), "linear", "linear_weighted_kappa")
     return with_icc_of_two(a).withColumnRenamed("icc2_1", "icc2_1_single_rater").withColumnRenamed("icc2_k", "icc2_k_average_raters").drop("cs")
 
 
+def agreement_table(rp: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A20-A23 in one table, from one set of cells: exact agreement, MAD, weighted kappas, ICC(2,1), ICC(2,k)."""
+    return _agreement_measures(rater_cells(rp, list(keys)))
+
+
+def agreement_levels(rp: DataFrame, keys: Sequence[str], pooled: Sequence[str]) -> DataFrame:
+    """A22 and A23 in one pass, by GROUPING SETS: ``agreement_table`` by ``keys`` and, with NULL in the other keys and ``is_pooled`` true,
+    by the keys in ``pooled``."""
+    keys = list(keys)
+    c = rp.select(*keys, F.col("y1").cast("double").alias("x"), F.col("y2").cast("double").alias("y"))
+    over = [k for k in keys if k not in pooled]
+    sets = [[*keys, "x", "y"], [*pooled, "x", "y"]]
+    cells = c.groupingSets(sets, *keys, "x", "y").agg(F.count("*").alias("n"), (F.grouping(over[0]) == 1).alias("is_pooled"))
+    return _agreement_measures(cell_arrays(cells, [*keys, "is_pooled"]))
+
+
 def gated_average(ratings: DataFrame, global_agreement: DataFrame, threshold: float = 0.75) -> DataFrame:
     """If every model's pooled quadratic kappa >= threshold, average the raters, else keep them.
 

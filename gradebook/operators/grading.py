@@ -54,22 +54,17 @@ def exclude_cases(df: DataFrame, excluded: DataFrame, key: str = "case_id") -> D
 def completeness_check(responses: DataFrame, case_set: DataFrame, group_keys: list[str]) -> DataFrame:
     """Violations of "each sheet holds exactly the case set" as rows (keys..., case_id, problem).
 
-    ``unexpected``: a sheet row whose case is not in the case set (anti join).
-    ``missing``: a case of the set absent from a sheet.  Only cases seen in fewer sheets than
-    exist are expanded, by exploding the (small, bounded by #sheets) list of sheet keys, so no
-    sheets x cases grid is built when the data are complete.
+    ``unexpected``: a sheet row whose case is not in the case set; ``missing``: a case of the set absent from a sheet.
+    Sheets and case set are brought together by one aggregate by case, which holds the sheets that have it (at most the number of
+    sheets); the list of all sheets, one entry a sheet, is a scalar subquery.  No sheets x cases grid is built.
     """
-    present = responses.select(*group_keys, "case_id").distinct()
-    unexpected = present.join(case_set.select("case_id"), "case_id", "left_anti").withColumn("problem", F.lit("unexpected"))
-    sheets = present.select(F.struct(*group_keys).alias("g")).distinct()
-    # the sheet list is metadata (one entry per sheet): two scalar subqueries, no join
-    sheet_list = sheets.agg(F.collect_list("g").alias("gs")).scalar()
-    n_sheets = sheets.agg(F.count("*")).scalar()
-    seen = present.groupBy("case_id").agg(F.count("*").alias("n_seen"))
-    short = (case_set.select("case_id").distinct().join(seen, "case_id", "left")
-             .filter(F.coalesce(F.col("n_seen"), F.lit(0)) < n_sheets)
-             .withColumn("gs", sheet_list))
-    grid = short.select("case_id", F.explode("gs").alias("g")).select("case_id", *[F.col(f"g.{k}").alias(k) for k in group_keys])
-    missing = grid.join(present, group_keys + ["case_id"], "left_anti").withColumn("problem", F.lit("missing"))
-    cols = [*group_keys, "case_id", "problem"]
-    return missing.select(*cols).unionByName(unexpected.select(*cols))
+    of = F.struct(*group_keys)
+    sheets = responses.select(of.alias("g")).distinct().agg(F.collect_list("g").alias("gs")).scalar()
+    both = responses.select("case_id", of.alias("g"), F.lit(False).alias("_set")).unionByName(
+        case_set.select("case_id", F.lit(True).alias("_set")), allowMissingColumns=True)
+    seen = both.groupBy("case_id").agg(F.collect_set("g").alias("gs"), F.bool_or("_set").alias("_set"))
+    seen = seen.withColumn("_absent", F.array_except(sheets, F.col("gs")))
+    missing = F.transform("_absent", lambda g: F.struct(g.alias("g"), F.lit("missing").alias("problem")))
+    unexpected = F.transform("gs", lambda g: F.struct(g.alias("g"), F.lit("unexpected").alias("problem")))
+    rows = seen.select("case_id", F.explode(F.when(F.col("_set"), missing).otherwise(unexpected)).alias("v"))
+    return rows.select(*[F.col(f"v.g.{k}").alias(k) for k in group_keys], "case_id", "v.problem")

@@ -51,13 +51,11 @@ def _outcome() -> F.Column:
 
 
 def judge_outcomes(filtered: DataFrame, keys: Sequence[str] = ("model", "variant")) -> DataFrame:
-    """A31 (K21): zero-filled counts of the five outcomes and their percent of the group."""
+    """A31 (K21): counts of the five outcomes, zero included, and their percent of the group: one aggregate, unfolded to rows."""
     keys = list(keys)
-    c = filtered.withColumn("outcome", _outcome()).groupBy(*keys, "outcome").agg(F.count("*").alias("n"))
-    grid = filtered.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(o) for o in OUTCOMES])).alias("outcome"))
-    z = grid.join(c, [*keys, "outcome"], "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
-    tot = z.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    return z.join(tot, keys).withColumn("percent", F.col("n") * 100.0 / F.col("_t")).drop("_t")
+    c = filtered.withColumn("outcome", _outcome()).groupBy(*keys).agg(F.count("*").alias("_t"), *[F.count_if(F.col("outcome") == o).alias(f"_{o}") for o in OUTCOMES])
+    rows = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(f"_{o}").alias("n"), (F.col(f"_{o}") * 100.0 / F.col("_t")).alias("percent")) for o in OUTCOMES])
+    return c.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
 
 
 def judge_agreement_levels(filtered: DataFrame, keys: Sequence[str] = ("model", "variant")) -> DataFrame:

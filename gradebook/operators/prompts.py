@@ -90,3 +90,8 @@ def config_registry(runs: DataFrame, model: str = "model", order: Sequence[str]
     The window is per model over its distinct run configurations (a handful)."""
     w = Window.partitionBy(model).orderBy(*order)
     return runs.withColumn("config_id", (F.row_number().over(w) - 1).cast("int"))
+
+
+def with_repository(df: DataFrame, dim: DataFrame, label: str = "model") -> DataFrame:
+    """``df`` with the ``repository`` of each model label, from the dimension (label, repository); a label it lacks stays, with NULL."""
+    return df.join(dim.select(label, "repository"), label, "left").select("repository", *df.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.stats import Z_975, wilson_sql
 from ..functions.text import CATEGORY_HALL_NONE, CATEGORY_MULTI, OPTIONS
+from .ranking import CUTS, order_rank, with_bucket
 
 # The distribution's always-present columns (sheet labels) in display order.
 DISTRIBUTION_LABELS = ("CHECK", CATEGORY_MULTI, CATEGORY_HALL_NONE) + OPTIONS
@@ -149,21 +150,29 @@ def never_correct(per_case: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_case.groupBy(*keys).agg(F.count_if(F.col("n_correct") == 0).alias("n_never_correct"))
 
 
-def always_correct_or_wrong(per_case: DataFrame, votes: DataFrame, keys: Sequence[str], runs: int = 10,
-                            case_key: str = "case_id") -> DataFrame:
-    """Cases correct in every run vs. consistent (same label every run) but wrong."""
-    j = per_case.join(votes.select(*keys, case_key, "n_vote"), [*keys, case_key], "left")
-    return j.groupBy(*keys).agg(
+def case_summary(graded: DataFrame, keys: Sequence[str], case_key: str = "case_id", label: str = "response") -> DataFrame:
+    """Correct count and plurality of each (keys, case) from one scan: n_correct, n_runs, top_n, tie, n_vote (NULL on a tie)."""
+    k = [*keys, case_key]
+    counts = graded.groupBy(*k, label).agg(F.count("*").alias("_n"), F.count_if("correct").alias("_c"))
+    answered = F.when(F.col(label).isNotNull(), F.col("_n"))
+    out = counts.groupBy(*k).agg(F.sum("_c").alias("n_correct"), F.sum("_n").alias("n_runs"), F.coalesce(F.max(answered), F.lit(0)).alias("top_n"),
+                                 F.collect_list(answered).alias("_ns"))
+    tie = F.size(F.filter("_ns", lambda n: n == F.col("top_n"))) > 1
+    return out.withColumn("tie", tie).withColumn("n_vote", F.when(~F.col("tie"), F.col("top_n"))).drop("_ns")
+
+
+def always_correct_or_wrong(cases: DataFrame, keys: Sequence[str], runs: int = 10) -> DataFrame:
+    """Of ``case_summary`` rows: cases correct in every run, and consistent (same label every run) but wrong."""
+    return cases.groupBy(*keys).agg(
         F.count_if(F.col("n_correct") == runs).alias("n_correct_all"),
         (F.count_if(F.col("n_vote") == runs) - F.count_if(F.col("n_correct") == runs)).alias("n_consistently_wrong"),
     )
 
 
 def dominance(per_case: DataFrame, group: Sequence[str], competitor: str = "model", case_key: str = "case_id") -> DataFrame:
-    """Per (group, competitor): cases where its correct count is >= the best over competitors."""
-    best = per_case.groupBy(*group, case_key).agg(F.max("n_correct").alias("best"))
-    return (per_case.join(best, [*group, case_key])
-            .groupBy(*group, competitor).agg(F.count_if(F.col("n_correct") >= F.col("best")).alias("best_or_tied_cases")))
+    """Per (group, competitor): cases where its correct count is >= the best over competitors (a window of the competitors of one case)."""
+    best = F.max("n_correct").over(Window.partitionBy(*group, case_key))
+    return per_case.withColumn("_best", best).groupBy(*group, competitor).agg(F.count_if(F.col("n_correct") >= F.col("_best")).alias("best_or_tied_cases"))
 
 
 def by_level(per_case: DataFrame, keys: Sequence[str], level_col: str, levels: Sequence, value: str = "n_correct",
@@ -205,23 +214,17 @@ def first_best_level(per_case: DataFrame, keys: Sequence[str], level_col: str, l
     return wide.groupBy(*keys).agg(F.count_if(F.col("v0") >= F.greatest(*rest)).alias("n_first_best"))
 
 
-def consistency_correctness_heatmap(votes: DataFrame, per_case: DataFrame, keys: Sequence[str], runs: int = 10,
-                                    case_key: str = "case_id") -> DataFrame:
-    """Zero-filled cells (bucket of majority count x correct count); ties excluded.
+def consistency_correctness_heatmap(cases: DataFrame, keys: Sequence[str], runs: int = 10) -> DataFrame:
+    """Zero-filled cells (bucket of majority count x correct count) of ``case_summary`` rows; ties excluded.
 
-    Buckets: runs, runs-1, runs-2, and '<=runs-3' (small counts land in the last bucket)."""
-    j = votes.filter(~F.col("tie")).select(*keys, case_key, "n_vote").join(per_case.select(*keys, case_key, "n_correct"), [*keys, case_key])
-    bucket = F.when(F.col("n_vote") >= runs - 2, F.col("n_vote")).otherwise(F.lit(runs - 3)).cast("int")
-    cells = j.groupBy(*keys, bucket.alias("bucket"), "n_correct").agg(F.count("*").alias("n"))
-    grid = (votes.select(*keys).distinct()
-            .select(*keys, F.explode(F.sequence(F.lit(runs - 3), F.lit(runs))).alias("bucket"))
-            .select(*keys, "bucket", F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("n_correct")))
-    out = grid.join(cells, [*keys, "bucket", "n_correct"], "left").select(
-        *keys, F.col("bucket").cast("int").alias("bucket"),
-        F.when(F.col("bucket") == runs - 3, F.lit(f"<={(runs - 3) / runs:.1f}")).otherwise(
-            F.format_string("%.1f", F.col("bucket") / F.lit(float(runs)))).alias("bucket_label"),
-        F.col("n_correct").cast("int").alias("n_correct"), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
-    return out
+    Buckets: runs, runs-1, runs-2, and '<=runs-3' (small counts land in the last bucket).  The cells of a group are one row of
+    conditional counts, unfolded."""
+    bucket = F.when(F.col("n_vote") >= runs - 2, F.col("n_vote")).otherwise(F.lit(runs - 3))
+    cells = [(b, c) for b in range(runs - 3, runs + 1) for c in range(runs + 1)]
+    counted = cases.groupBy(*keys).agg(*[F.count_if(F.col("n_vote").isNotNull() & (bucket == b) & (F.col("n_correct") == c)).alias(f"_{b}_{c}") for b, c in cells])
+    label = lambda b: f"<={b / runs:.1f}" if b == runs - 3 else f"{b / runs:.1f}"
+    rows = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(label(b)).alias("bucket_label"), F.lit(c).alias("n_correct"), F.col(f"_{b}_{c}").alias("n")) for b, c in cells])
+    return counted.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -263,32 +266,70 @@ def median_iqr(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Box-plot numbers: quartiles and whiskers (last data point within 1.5 IQR of the box)."""
-    q = median_iqr(df, keys, value)
-    j = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).join(q, list(keys))
-    lo_fence = F.col("q1") - 1.5 * F.col("iqr")
-    hi_fence = F.col("q3") + 1.5 * F.col("iqr")
-    w = j.groupBy(*keys).agg(
-        F.min(F.when(F.col("_v") >= lo_fence, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(F.col("_v") <= hi_fence, F.col("_v"))).alias("whisker_high"),
-        F.count_if((F.col("_v") < lo_fence) | (F.col("_v") > hi_fence)).alias("n_outliers"),
-    )
-    return q.join(w, list(keys), "left")
+    """Box-plot numbers: quartiles and whiskers (last data point within 1.5 IQR of the box), from one value histogram of each group
+    (memory: the distinct values of a group, as for the exact percentile)."""
+    keys = list(keys)
+    h = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    q = h.groupBy(*keys).agg(*[F.percentile("_v", p, F.col("_n")).alias(c) for c, p in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))],
+                             F.sum("_n").alias("n"), F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_n").alias("n"))).alias("_vs"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({"_lo": F.col("q1") - 1.5 * F.col("iqr"), "_hi": F.col("q3") + 1.5 * F.col("iqr")})
+    values = lambda keep: F.transform(F.filter("_vs", keep), lambda x: x["v"])
+    outside = F.filter("_vs", lambda x: (x["v"] < F.col("_lo")) | (x["v"] > F.col("_hi")))
+    return q.select(*keys, "median", "q1", "q3", "n", "iqr", F.array_min(values(lambda x: x["v"] >= F.col("_lo"))).alias("whisker_low"),
+                    F.array_max(values(lambda x: x["v"] <= F.col("_hi"))).alias("whisker_high"),
+                    F.aggregate(outside, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n_outliers"))
 
 
-ID_RANGE = 100_000
+def case_order(per_case: DataFrame, keys: Sequence[str], by: str = "n_correct", unit: str = "case_id") -> DataFrame:
+    """``position`` of each case in the order of (``by``, ``unit``) within ``keys``; ``unit`` is unique, of any type and distribution."""
+    return order_rank(per_case.select(*keys, unit, by), keys, [by, unit], "position")
 
 
-def case_order(per_case: DataFrame, keys: Sequence[str], by: str = "n_correct", unit: str = "case_id") -> DataFrame:
-    """``position`` of each case in the order of (``by``, ``unit``) within ``keys``; ``unit`` is a unique whole number.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], cuts: int = CUTS) -> DataFrame:
+    """(keys..., p0, p1, ...): percentiles of a continuous ``value``, exact with linear interpolation, equal to ``percentile``.
 
-    Ranks are taken inside ranges of ``ID_RANGE`` ids, so a window holds at most so many rows whatever the group's size, and
-    offset by the running counts of the earlier ranges."""
+    ``percentile`` holds a map of all distinct values of a group in one task.  Here equal values are counted first; the counts of
+    the buckets between ``cuts`` sampled points say in which bucket each order statistic lies, and only rows of
+    those buckets are sorted and counted through.  No task holds more than about 1/``cuts`` of the distinct values.
+    Rows without a value don't count; a group without one has no row."""
     keys = list(keys)
-    cut = per_case.withColumn("_cut", F.floor(F.col(unit) / ID_RANGE))
-    inside = F.row_number().over(Window.partitionBy(*keys, by, "_cut").orderBy(unit))
-    counts = cut.groupBy(*keys, by, "_cut").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(by, "_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = counts.select(*keys, by, "_cut", before.alias("_before"))
-    return cut.withColumn("_r", inside).join(offset, [*keys, by, "_cut"]).select(
-        *keys, unit, by, (F.col("_before") + F.col("_r")).cast("bigint").alias("position"))
+    h = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    b = with_bucket(h, ["_v"], cuts)
+    per = b.groupBy(*keys, "_bk").agg(F.sum("_n").alias("_c"))
+    group = Window.partitionBy(*keys)
+    per = per.withColumns({"_before": F.coalesce(F.sum("_c").over(group.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                           "_all": F.sum("_c").over(group)})
+    wanted = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_all") - 1) * F.lit(float(q))
+        wanted += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), at(pos).cast("bigint").alias("p"), pos.alias("pos")) for side, at in ((0, F.floor), (1, F.ceil))]
+    inside = F.filter(F.array(*wanted), lambda t: (t["p"] >= F.col("_before")) & (t["p"] < F.col("_before") + F.col("_c")))
+    per = per.withColumn("_ts", inside).where(F.size("_ts") > 0)
+    per = per.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_bk").alias("_kb"), "_before", "_ts")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)] + [F.col("_bk") == F.col("_kb")]
+    rows = b.join(per, same)
+    run = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_at", F.col("_before") + run)
+    hit = F.filter("_ts", lambda t: (t["p"] >= F.col("_at")) & (t["p"] < F.col("_at") + F.col("_n")))
+    hits = rows.select(*keys, "_v", F.explode(hit).alias("_t"))
+
+    def pick(i: int, side: int, what: str = "_v") -> Column:
+        return F.max(F.when((F.col("_t.i") == i) & (F.col("_t.side") == side), F.col(what)))
+
+    out = []
+    for i in range(len(qs)):
+        lo, hi, pos = pick(i, 0), pick(i, 1), pick(i, 0, "_t.pos")
+        out.append(F.when(F.ceil(pos) == F.floor(pos), lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi).alias(f"p{i}"))
+    return hits.groupBy(*keys).agg(*out)
+
+
+def describe_continuous(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``describe`` of a value with any number of distinct values: its percentiles come from ``exact_percentiles``."""
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    plain = df.groupBy(*keys).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
+                                  F.min(v).alias("minimum"), F.max(v).alias("maximum"))
+    ps = exact_percentiles(df, keys, value, (0.5, 0.25, 0.75)).select(
+        *[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("p0").alias("median"), F.col("p1").alias("q1"), F.col("p2").alias("q3"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
+    return plain.join(ps, same, "left").select(*keys, "n", "missing", "mean", "sd", "median", "q1", "q3", "minimum", "maximum")

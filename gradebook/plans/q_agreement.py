@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import wilson_sql
 from ..operators import agreement as A
+from ..operators import summary as S
 from ..sources import fixtures as fx
 from .catalog import register
 from .common import graded_t0
+from .q_summary import _DESC_DOUBLES, _describe_sql
 from .sqlkit import icc_ctes, kappa_ctes
 
 VARIANT_PAIRS_SQL = """SELECT a.model, a.case_id, a.variant AS a, b.variant AS b, a.valid AS x, b.valid AS y,
@@ -175,3 +177,26 @@ UNION ALL SELECT model, case_id, metric, evaluator, score FROM ratings WHERE NOT
 def gated_average(spark, sf):
     """Average the raters only if every model reaches the pooled-kappa threshold."""
     return A.gated_average(fx.ratings(spark, sf), global_agreement_df(spark, sf))
+
+
+@register("agreement_levels", views=("ratings",), doubles=("exact_agreement", "mean_abs_difference", "quadratic_weighted_kappa", "linear_weighted_kappa"), sql=f"""
+WITH rp AS (SELECT model, metric, y1, y2, false AS is_pooled FROM ({RATER_PAIRS_SQL}) a UNION ALL SELECT model, NULL, y1, y2, true FROM ({RATER_PAIRS_SQL}) b),
+ky AS (SELECT model, coalesce(metric, '') AS metric, is_pooled, y1, y2 FROM rp),
+cells AS (SELECT model, metric, is_pooled, y1 AS x, y2 AS y, count(*) AS n FROM ky GROUP BY ALL),
+{kappa_ctes('cells', ['model', 'metric', 'is_pooled'], 'quadratic', 'kq')},
+{kappa_ctes('cells', ['model', 'metric', 'is_pooled'], 'linear', 'kl')},
+ra AS (SELECT model, metric, is_pooled, count(*) AS n, avg(CAST(y1 = y2 AS DOUBLE)) AS exact_agreement, avg(abs(y1 - y2)) AS mean_abs_difference FROM ky GROUP BY ALL)
+SELECT ra.model, nullif(ra.metric, '') AS metric, ra.is_pooled, ra.n, exact_agreement, mean_abs_difference, kq.kappa AS quadratic_weighted_kappa, kl.kappa AS linear_weighted_kappa
+FROM ra JOIN kq USING (model, metric, is_pooled) JOIN kl USING (model, metric, is_pooled)""")
+def agreement_levels(spark, sf):
+    """A22 and A23 in one pass: agreement by (model, metric) and pooled over the metrics of a model."""
+    t = A.agreement_levels(rater_pairs(spark, sf), ["model", "metric"], ["model"])
+    return t.select("model", "metric", "is_pooled", "n", "exact_agreement", "mean_abs_difference", "quadratic_weighted_kappa", "linear_weighted_kappa")
+
+
+@register("describe_analysis", views=("ratings",), doubles=_DESC_DOUBLES, sql=_describe_sql(f"({GATED_SQL})", "evaluator, model, metric"))
+def describe_analysis(spark, sf):
+    """Statistics of the analysis scores per (evaluator, model, metric): averaged over raters where the gate allows it,
+    else each rater's own."""
+    an = A.gated_average(fx.ratings(spark, sf), global_agreement_df(spark, sf))
+    return S.describe(an, ["evaluator", "model", "metric"], "score")

@@ -147,6 +147,7 @@ def build_prompts_from_files(spark, sf):
 @register("model_dim", views=("graded_t0",), sql="""SELECT 'hub/' || model AS repository, model, variant, count(*) AS n, count_if(correct) AS n_correct FROM graded_t0 GROUP BY ALL""")
 def model_dim(spark, sf):
     """Results labelled with the repository of each model, from a dimension of the model labels."""
-    dim = F.create_map(*[F.lit(x) for _, m in fx.MODELS for x in (m, f"hub/{m}")])
-    return graded_t0(spark, sf).groupBy(F.element_at(dim, F.col("model")).alias("repository"), "model", "variant").agg(
-        F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+    labels = ", ".join(f"('{m}', 'hub/{m}')" for _, m in fx.MODELS)
+    dim = spark.sql(f"SELECT * FROM VALUES {labels} AS t(model, repository)")
+    counts = graded_t0(spark, sf).groupBy("model", "variant").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+    return P.with_repository(counts, dim)

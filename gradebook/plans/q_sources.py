@@ -147,3 +147,12 @@ def sink_tables(spark, sf):
     t = graded_t0(spark, sf).groupBy("model", "variant").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
     RD.write_table(t, root, "csv")
     return spark.read.schema(t.schema).option("header", "true").csv(root)
+
+
+@register("concatenated_json", views=(), sql="SELECT conv_id, turn, role, text, true AS ok FROM conversations")
+def concatenated_json(spark, sf):
+    """Turns written as indented JSON objects one behind the other, and read back by brace depth."""
+    root = _folder(spark, "concatenated")
+    c = load_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    RD.write_concatenated_json(c, root)
+    return RD.read_concatenated_json(spark, root, c.schema).select("conv_id", "turn", "role", "text", "ok")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import summary as S
 from ..sources import fixtures as fx
+from ..sources.tables import load_table
 from .catalog import register
 from .common import REP_KEYS, TEMPS, graded_rep, graded_t0, per_case_rep, votes_rep
 
@@ -96,7 +98,7 @@ def never_correct(spark, sf):
 FROM per_case_rep p LEFT JOIN votes_rep v USING (temperature, model, case_id) GROUP BY ALL""")
 def always_correct_or_wrong(spark, sf):
     """A10: correct in all runs vs. same wrong answer in all runs."""
-    return S.always_correct_or_wrong(per_case_rep(spark, sf), votes_rep(spark, sf), REP_KEYS)
+    return S.always_correct_or_wrong(S.case_summary(graded_rep(spark, sf), REP_KEYS), REP_KEYS)
 
 
 @register("dominance", views=("per_case_rep",), sql="""SELECT p.temperature, p.model, count_if(p.n_correct >= b.best) AS best_or_tied_cases
@@ -159,7 +161,7 @@ SELECT grid.temperature, grid.model, grid.bucket,
 FROM grid LEFT JOIN cells USING (temperature, model, bucket, n_correct)""")
 def consistency_correctness_heatmap(spark, sf):
     """Majority-count bucket x correct-count cells, zero-filled."""
-    return S.consistency_correctness_heatmap(votes_rep(spark, sf), per_case_rep(spark, sf), REP_KEYS)
+    return S.consistency_correctness_heatmap(S.case_summary(graded_rep(spark, sf), REP_KEYS), REP_KEYS)
 
 
 _DESC_DOUBLES = ("mean", "sd", "median", "q1", "q3", "minimum", "maximum")
@@ -180,16 +182,6 @@ def describe_by_file(spark, sf):
     return S.describe(r, ["source_file", "model", "evaluator", "metric"], "score")
 
 
-_AVG_SQL = "(SELECT model, case_id, metric, avg(score) AS score FROM ratings GROUP BY ALL)"
-
-
-@register("describe_analysis", views=("ratings",), doubles=_DESC_DOUBLES, sql=_describe_sql(_AVG_SQL, "model, metric"))
-def describe_analysis(spark, sf):
-    """Statistics of the rater-averaged score per (model, metric)."""
-    from ..operators.agreement import rater_average
-    return S.describe(rater_average(fx.ratings(spark, sf)), ["model", "metric"], "score")
-
-
 @register("describe_runs", views=("graded_rep",), doubles=_DESC_DOUBLES,
           sql=_describe_sql("(SELECT temperature, model, run, CAST(count_if(correct) AS DOUBLE) / count(*) AS acc FROM graded_rep GROUP BY ALL)",
                             "temperature, model", "acc"))
@@ -240,3 +232,30 @@ SELECT q.*, w.whisker_low, w.whisker_high, w.n_outliers FROM q LEFT JOIN (
 def box_stats(spark, sf):
     """Box-plot numbers of correct counts per (temperature, model)."""
     return S.box_stats(per_case_rep(spark, sf), REP_KEYS, "n_correct")
+
+
+_BY_STATUS = "SELECT o_orderstatus, o_orderpriority, o_totalprice FROM orders"
+
+
+@register("describe_continuous", views=(), doubles=_DESC_DOUBLES, sql=_describe_sql(f"({_BY_STATUS})", "o_orderpriority", "o_totalprice"))
+def describe_continuous(spark, sf):
+    """A25/A30 on a value with as many levels as rows: exact percentiles by distributed selection."""
+    return S.describe_continuous(load_table(spark, sf, "orders", ["o_orderpriority", "o_totalprice"]), ["o_orderpriority"], "o_totalprice")
+
+
+@register("totals_check", views=("per_case_rep",), sql="""SELECT temperature, model, CAST(sum(n) AS BIGINT) AS total, CAST(any_value(n_cases) AS BIGINT) AS n_cases, sum(n) = any_value(n_cases) AS agrees
+FROM (SELECT temperature, model, n_correct, count(*) AS n, (SELECT count(*) FROM orders) AS n_cases FROM per_case_rep GROUP BY ALL) h GROUP BY ALL""")
+def totals_check(spark, sf):
+    """The counts of A8 must add up to the number of cases in each group."""
+    h = S.correct_count_histogram(per_case_rep(spark, sf), REP_KEYS)
+    n = load_table(spark, sf, "orders", ["o_orderkey"]).agg(F.count("*")).scalar()
+    return h.groupBy(*REP_KEYS).agg(F.sum("n").alias("total")).withColumn("n_cases", n).withColumn("agrees", F.col("total") == F.col("n_cases"))
+
+
+@register("accuracy_ordered", views=("graded_t0",), sql="""SELECT model, count_if(correct) AS n_correct, count(*) AS n_rows, variant,
+  row_number() OVER (ORDER BY model, variant) AS place FROM graded_t0 GROUP BY model, variant ORDER BY model, variant""")
+def accuracy_ordered(spark, sf):
+    """A result table in order, columns by name and rows by (model, variant); ``place`` is the row's place (result rows only)."""
+    t = S.accuracy_table(graded_t0(spark, sf), ["model", "variant"]).select("n_correct", "model", "variant", "n_rows")
+    t = t.select(*sorted(t.columns)).orderBy("model", "variant")
+    return t.withColumn("place", F.row_number().over(Window.orderBy("model", "variant")).cast("bigint"))

@@ -1,4 +1,4 @@
-"""Readers for the reference's input layouts (S1-S6, S10-S13, S19) and the table sink.
+"""Readers for the input layouts (S1-S6, S10-S13, S17, S19) and the table sinks.
 
 Every reader has an explicit schema (no inference), reads a directory (many files = many
 tasks) and takes identity (model, variant, temperature, db, year, ...) from partition folders
@@ -7,6 +7,9 @@ or from ``_metadata.file_name``; nothing is read through the driver.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,22 +72,29 @@ def read_rating_sheets(spark: SparkSession, root: str, metrics: list[str]) -> Da
     cols = ["case_id"] + metrics
     schema = ", ".join(f"`{c}` STRING" for c in cols) + ", `_extra` STRING"
     df = spark.read.schema(schema).option("header", "false").option("enforceSchema", "true").csv(root)
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
-    long = df.unpivot(["case_id", "model", "evaluator", "source_file"], metrics, "metric", "raw")
+    df = df.withColumns({"source_file": F.col("_metadata.file_name"), "file_path": F.col("_metadata.file_path")})
+    long = df.unpivot(["case_id", "model", "evaluator", "source_file", "file_path"], metrics, "metric", "raw")
     return long.select(F.expr("try_cast(case_id AS BIGINT)").alias("case_id"), "model", "evaluator", "metric",
-                       F.expr("try_cast(raw AS DOUBLE)").alias("score"), "source_file")
+                       F.expr("try_cast(raw AS DOUBLE)").alias("score"), "source_file", "file_path")
 
 
 def sheet_widths(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(file_path, n_columns) of delimited sheets: the widest line of each file."""
+    """(file_path, n_columns) of delimited sheets: the widest line of each file; commas inside quotes don't part columns."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
-    return raw.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.max(F.size(F.split("value", ",", -1))).alias("n_columns"))
+    line = F.regexp_replace("value", r'"(?:[^"\\]|\\.|"")*"', "")
+    return raw.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.max(F.size(F.split(line, ",", -1))).alias("n_columns"))
+
+
+def narrow_sheets(spark: SparkSession, root: str, least: int = 6) -> DataFrame:
+    """The sheets that ``read_checked_rating_sheets`` leaves out, (file_path, n_columns), to be reported."""
+    return sheet_widths(spark, root).where(F.col("n_columns") < least)
 
 
 def read_checked_rating_sheets(spark: SparkSession, root: str, metrics: list[str], least: int = 6) -> DataFrame:
-    """S10 with its check: sheets of fewer than ``least`` columns are left out (``sheet_widths`` names them)."""
-    wide_enough = sheet_widths(spark, root).where(F.col("n_columns") >= least).select(F.element_at(F.split("file_path", "/"), -1).alias("source_file")).distinct()
-    return read_rating_sheets(spark, root, metrics).join(wide_enough, "source_file", "left_semi")
+    """S10 with its check: sheets of fewer than ``least`` columns are left out (``narrow_sheets`` names them).  Files are told apart by
+    their whole path: files of one name in different folders are different sheets."""
+    wide_enough = sheet_widths(spark, root).where(F.col("n_columns") >= least).select("file_path")
+    return read_rating_sheets(spark, root, metrics).join(wide_enough, "file_path", "left_semi").drop("file_path")
 
 
 def read_judgement_sheets(spark: SparkSession, root: str) -> DataFrame:
@@ -132,6 +142,57 @@ def read_packed_articles(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(root).select("db", "year", "doc_id", "xml")
 
 
+def write_concatenated_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Each row as an indented JSON object, one behind the other, without an array around them and without commas."""
+    whole = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(whole.alias("value")).write.mode(mode).text(path)
+
+
+def split_concatenated(text: str) -> list[str]:
+    """The top-level objects of concatenated JSON, cut at brace depth; braces inside strings don't count.  What is behind the last
+    closed object (a cut-off one) comes as a last piece."""
+    out, start, depth = [], None, 0
+    for m in _STRUCTURE.finditer(text):
+        c = m.group()
+        if c == "{":
+            if depth == 0:
+                start = m.start()
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                out.append(text[start:m.end()])
+                start = None
+    return out if start is None else [*out, text[start:]]
+
+
+#: a whole string (closed or cut off), or a brace
+_STRUCTURE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', re.S)
+
+
+def read_concatenated_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Objects written one behind the other, with or without white space between and inside them: (file_path, place, ok, columns of
+    ``schema``).  An object that is cut off or doesn't parse has ``ok`` false and NULL columns.  A file is read by one task."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+
+    def cut(batches):
+        for batch in batches:
+            files, places, objects = [], [], []
+            for file, text in zip(batch.column("file_path").to_pylist(), batch.column("value").to_pylist()):
+                for place, piece in enumerate(split_concatenated(text)):
+                    files.append(file)
+                    places.append(place)
+                    objects.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(places, pa.int32()), pa.array(objects, pa.string())], names=["file_path", "place", "object"])
+
+    pieces = raw.mapInArrow(cut, "file_path string, place int, object string")
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    checked = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = pieces.withColumn("_o", F.from_json("object", checked))
+    ok = F.col("_o").isNotNull() & F.col("_o._corrupt_record").isNull()
+    return parsed.select("file_path", "place", ok.alias("ok"), *[F.when(ok, F.col("_o")[f.name]).alias(f.name) for f in kind.fields])
+
+
 def read_goals(spark: SparkSession, path: str) -> DataFrame:
     """Two-column CSV (case_key, goal) whose header row is ``,0``; empty goals kept as ''."""
     df = spark.read.schema("case_key STRING, goal STRING").option("header", "true").csv(path)

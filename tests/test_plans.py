@@ -12,8 +12,8 @@ PYTHON_OK = {"normalize_text", "article_elements", "article_sections", "section_
              "article_record", "metadata_append_split", "sections_upsert"}
 # agreement queries read their fact table once and never join it to itself
 ONE_SCAN = ["global_agreement", "icc", "weighted_kappa", "rater_agreement", "kappa_matrix", "variant_pairs", "contingency", "prompt_agreement",
-            "mcnemar_exact", "chi2_association", "stuart_maxwell", "wilcoxon_signed_rank"]
-SKIP = {"src_responses", "src_repetition_sheets", "src_questions", "src_generations", "src_articles", "stream_landing_batch", "metadata_append", "stream_metadata_append", "stream_sections_upsert", "src_ratings", "src_judgements", "src_answers", "src_goals", "append_log",
+            "mcnemar_exact", "chi2_association", "stuart_maxwell", "wilcoxon_signed_rank", "wilcoxon_exact", "wilcoxon_small_groups", "agreement_levels"]
+SKIP = {"src_responses", "src_repetition_sheets", "src_questions", "src_generations", "src_articles", "stream_landing_batch", "concatenated_json", "metadata_append", "stream_metadata_append", "stream_sections_upsert", "src_ratings", "src_judgements", "src_answers", "src_goals", "append_log",
         "sink_tables", "build_prompts_from_files"}
 
 
@@ -42,7 +42,8 @@ def test_agreement_reads_its_table_once(spark, name):
 
 # most scans a plan may hold: the fact table once, and the two of the case numbers for permutations
 SCANS = {"permuted_consistency": 3, "observed_vs_random": 3, "pooled_random_baseline": 3, "boot_mean_difference": 3, "boot_mean_consistency": 1,
-         "boot_mean_accuracy": 1, "boot_kappa_matrix": 1, "article_record": 1}
+         "boot_mean_accuracy": 1, "boot_kappa_matrix": 1, "article_record": 1, "dominance": 1,
+         "always_correct_or_wrong": 1, "consistency_correctness_heatmap": 1, "box_stats": 1, "completeness_check": 3, "judge_outcomes": 3, "agreement_levels": 1}
 
 
 @pytest.mark.parametrize("name", sorted(SCANS))

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from gradebook.sources import readers as RD
 
 
@@ -44,3 +46,33 @@ def test_articles_flat_layout_and_sink(spark, tmp_path):
     out = str(tmp_path / "sink")
     RD.write_table(RD.read_articles(spark, str(tmp_path / "arts")), out, fmt="csv")
     assert any(f.endswith(".csv") for f in os.listdir(out))
+
+
+def test_narrow_sheet_of_the_same_file_name_is_left_out(spark, tmp_path):
+    for model, line in (("a", "1,2,3,4"), ("b", '1,"x, y",3,4,5,5')):
+        folder = tmp_path / f"model={model}" / "evaluator=e"
+        folder.mkdir(parents=True)
+        (folder / "sheet.csv").write_text(line + "\n")
+    (tmp_path / "model=c" / "evaluator=e").mkdir(parents=True)
+    (tmp_path / "model=c" / "evaluator=e" / "sheet.csv").write_text('1,"a, b",2,"c,""d"", e",3\n')
+    got = RD.read_checked_rating_sheets(spark, str(tmp_path), ["m1", "m2", "m3", "m4", "m5"]).collect()
+    assert {r.model for r in got} == {"b"} and len(got) == 5
+    assert sorted((r.file_path.split("model=")[1][0], r.n_columns) for r in RD.narrow_sheets(spark, str(tmp_path)).collect()) == [("a", 4), ("c", 5)]
+
+
+@pytest.mark.parametrize("text,want", [('{"a":1}{"a":2}', ["{\"a\":1}", '{"a":2}']), ('\n{"a": {"b": "}{"}}\n\n {"a":"\\\\"}', ['{"a": {"b": "}{"}}', '{"a":"\\\\"}']),
+                                       ('{"a":"\\"}{"} {"a":', ['{"a":"\\"}{"}', '{"a":']), ("", []), (" \n", []), ('{"a":"cut off {', ['{"a":"cut off {'])])
+def test_concatenated_objects_are_cut_at_brace_depth(text, want):
+    assert RD.split_concatenated(text) == want
+
+
+def test_concatenated_json_round_trip(spark, tmp_path):
+    rows = [(1, 'a "quoted" } { \\ text\n', [1, 2]), (2, None, []), (3, "é😀", None)]
+    df = spark.createDataFrame(rows, "id long, t string, xs array<int>").coalesce(1)
+    RD.write_concatenated_json(df, str(tmp_path / "out"))
+    got = RD.read_concatenated_json(spark, str(tmp_path / "out"), df.schema).orderBy("place").collect()
+    assert [(r.id, r.t, r.xs) for r in got] == rows and all(r.ok for r in got)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"id": 1}{"id": "no"}{"id": 3, ')
+    bad = RD.read_concatenated_json(spark, str(tmp_path / "bad"), "id long").orderBy("place").collect()
+    assert [(r.id, r.ok) for r in bad] == [(1, True), (None, False), (None, False)]

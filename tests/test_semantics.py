@@ -13,7 +13,8 @@ from gradebook.operators import grading as G
 from gradebook.operators import prompts as P
 from gradebook.operators import resample as R
 from gradebook.operators import summary as S
-from gradebook.operators.ranking import bijection, hash_rank
+from gradebook.operators import agreement as A
+from gradebook.operators.ranking import bijection, hash_rank, order_rank, with_bucket
 
 
 def test_grade_normalises_and_masks(spark):
@@ -49,10 +50,67 @@ def test_consistency_denominator(spark):
 
 
 def test_heatmap_buckets_small_counts(spark):
-    votes = spark.createDataFrame([("g", 1, 2, False), ("g", 2, 10, False)], "g string, case_id long, n_vote long, tie boolean")
-    pc = spark.createDataFrame([("g", 1, 0), ("g", 2, 10)], "g string, case_id long, n_correct long")
-    h = S.consistency_correctness_heatmap(votes, pc, ["g"]).filter("n > 0").collect()
-    assert {(r.bucket, r.n_correct) for r in h} == {(7, 0), (10, 10)}                      # K7
+    cases = spark.createDataFrame([("g", 1, 2, 0), ("g", 2, 10, 10), ("g", 3, None, 4)], "g string, case_id long, n_vote long, n_correct long")
+    h = S.consistency_correctness_heatmap(cases, ["g"]).collect()
+    assert {(r.bucket, r.n_correct): r.n for r in h if r.n} == {(7, 0): 1, (10, 10): 1} and len(h) == 44   # K7; ties are left out
+
+
+def test_case_summary(spark):
+    rows = [("g", 1, "A", True)] * 3 + [("g", 1, "B", False), ("g", 2, "A", False), ("g", 2, "C", True), ("g", 2, None, False), ("g", 3, None, False)]
+    got = {r.case_id: (r.n_correct, r.n_runs, r.top_n, r.tie, r.n_vote) for r in S.case_summary(spark.createDataFrame(rows, "g string, case_id long, response string, correct boolean"), ["g"]).collect()}
+    assert got == {1: (3, 4, 3, False, 3), 2: (1, 3, 1, True, None), 3: (0, 1, 0, False, 0)}
+
+
+@pytest.mark.parametrize("ids", ["sparse", "crowded", "text"])
+def test_order_rank_on_any_keys(spark, ids):
+    """No window holds more than a small share of the rows, whatever the keys look like; ranks are those of a plain sort."""
+    make = {"sparse": lambda i: (i * 2654435761 % 2 ** 31) ** 2, "crowded": lambda i: i if i % 10 else 10 ** 15 + i, "text": lambda i: hashlib.md5(str(i).encode()).hexdigest()}[ids]
+    rows = [("a" if i % 4 else None, int(i % 3 == 0), make(i)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, v int, id " + ("string" if ids == "text" else "long")).repartition(5)
+    got = order_rank(df, ["g"], ["v", "id"]).collect()
+    for g in ("a", None):
+        want = sorted((v, i) for k, v, i in rows if k == g)
+        assert [(r.v, r.id) for r in sorted((r for r in got if r.g == g), key=lambda r: r.position)] == want
+        assert sorted(r.position for r in got if r.g == g) == list(range(1, len(want) + 1))
+    assert with_bucket(df, ["v", "id"]).groupBy("_bk").count().agg(F.max("count")).first()[0] < 0.02 * len(rows)
+    plan = order_rank(df, ["g"], ["v", "id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") >= 2 and "windowspecdefinition(id" not in plan
+
+
+def test_exact_percentiles_equal_percentile(spark):
+    rng = np.random.default_rng(7)
+    values = [("x", float(v)) for v in rng.lognormal(0, 3, 30_000)] + [("y", float(v)) for v in rng.integers(0, 4, 5000)] + [(None, 1.5), ("z", None)] + \
+        [("w", float(v)) for v in rng.normal(size=2)] + [("x", 0.25)] * 9000
+    df = spark.createDataFrame(values, "k string, v double").repartition(6)
+    qs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = {r.k: tuple(r)[1:] for r in S.exact_percentiles(df, ["k"], "v", qs).collect()}
+    want = {r.k: tuple(r)[1:] for r in df.where("v IS NOT NULL").groupBy("k").agg(*[F.percentile("v", q) for q in qs]).collect()}
+    assert got == want
+    d = {r.k: r for r in S.describe_continuous(df, ["k"], "v").collect()}
+    assert d["z"].missing == 1 and d["z"].median is None and d["x"].median == want["x"][3]
+
+
+def test_completeness_lists_missing_and_unexpected(spark):
+    r = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 9), ("b", 9)], "s string, case_id long")
+    u = spark.createDataFrame([(1,), (2,), (3,), (3,)], "case_id long")
+    got = sorted(tuple(x) for x in G.completeness_check(r, u, ["s"]).collect())
+    assert got == [("a", 3, "missing"), ("b", 2, "missing"), ("b", 3, "missing"), ("b", 9, "unexpected")]
+
+
+def test_box_stats_one_pass(spark):
+    v = [1, 2, 2, 3, 3, 3, 4, 4, 5, 30]
+    r = S.box_stats(spark.createDataFrame([("g", float(x)) for x in v] + [("g", None)], "g string, v double"), ["g"], "v").first()
+    q1, med, q3 = np.percentile(v, [25, 50, 75])
+    assert (r.q1, r["median"], r.q3, r.n, r.whisker_low, r.whisker_high, r.n_outliers) == (q1, med, q3, 10, 1, 5, 1)
+
+
+def test_gate_decides_what_is_described(spark):
+    rows = [(c, m, e, "k", float(1 + (c * (1 if e == "u1" or agree else 3)) % 5)) for agree in (True,) for c in range(40) for m in ("m0",) for e in ("u1", "u2")]
+    r = spark.createDataFrame(rows, "case_id long, model string, evaluator string, metric string, score double")
+    for kappa, raters in ((0.9, {"average_user1_user2"}), (0.5, {"u1", "u2"})):
+        gate = spark.createDataFrame([("m0", kappa)], "model string, quadratic_weighted_kappa double")
+        d = S.describe(A.gated_average(r, gate), ["evaluator", "model", "metric"], "score").collect()
+        assert {x.evaluator for x in d} == raters and all(x.n == 40 for x in d)
 
 
 def test_hash_rank_numbers_every_group_in_hash_order(spark):
