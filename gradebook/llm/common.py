@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,16 @@ def small(staged: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
 
 
+def send(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object together with its class, as bytes: executors need no copy of this folder to read it (``received``)."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    """The object that ``send`` sent; once a task."""
+    return cloudpickle.loads(sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_ALNUM, documents_schema, find_words, list_array, mix, pieces, shingles, stage, text_bytes
+from .common import LOWER, NOT_ALNUM, documents_schema, find_words, list_array, mix, pieces, received, send, shingles, stage, text_bytes
 
 WINDOW = 10
 SHINGLE = 5
@@ -160,7 +160,7 @@ def _positions(words, s: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(block) -> Callable:
     def fn(batches):
-        own = block.value
+        own = received(block)
         counts = {s: np.zeros(len(look.tokens), np.int64) for s, look in own.tokens.items()}
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -177,7 +177,7 @@ def _count(block) -> Callable:
 
 def _search(block, all_rows: bool) -> Callable:
     def fn(batches):
-        own = block.value
+        own = received(block)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in pieces(offsets):
@@ -207,16 +207,16 @@ def _filed_blocks(docs: DataFrame, benchmark: DataFrame, size: int, windows_per_
     known = stage(windows(benchmark, size), "windows")
     blocks = max(1, -(-known.count() // windows_per_block))
     counted = T.StructType([T.StructField(c, T.LongType()) for c in ("s", "k", "n")])
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     for b in range(blocks):
         own = Block(known.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect(), size)
-        sent = context.broadcast(own)
+        sent = send(spark, own)
         counts = {s: np.zeros(len(look.tokens), np.int64) for s, look in own.tokens.items()}
         for r in docs.select("text").mapInArrow(_count(sent), counted).groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
             counts[r["s"]][r["k"]] = r["n"]
         sent.unpersist()
         own.file(counts)
-        yield context.broadcast(own), b == blocks - 1
+        yield send(spark, own), b == blocks - 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, windows_per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
@@ -259,7 +259,7 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def _clean(block) -> Callable:
     def fn(batches):
-        own = block.value
+        own = received(block)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             hit = np.zeros(len(offsets) - 1, bool)

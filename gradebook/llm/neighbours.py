@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULTIPLIERS, SPACE, documents_schema, find_words, mix, pieces, stage, text_bytes
+from .common import MULTIPLIERS, SPACE, documents_schema, find_words, mix, pieces, received, send, stage, text_bytes
 from .toxicity import fit_rows
 
 FIT_ROWS = 6000
@@ -118,10 +118,10 @@ def vote(x: np.ndarray, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (chance of label 1) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def fn(batches):
-        own = sent.value
+        own = received(sent)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in pieces(offsets):

@@ -266,3 +266,22 @@ def test_mix_deviates_less_than_a_block(spark, weights):
     for t in range(end + 1):
         done[of[t]] += 1
         assert all(abs(done[s] - unit[s] / sum(unit.values()) * (t + 1)) < 1 for s in unit)
+
+
+# ---------------------------------------------------------------------------------------- executors without the package
+
+def test_sent_objects_carry_their_classes(tmp_path):
+    """What op5 and op7 broadcast is read by a process that has no copy of the package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    model = neighbours.Model(np.eye(neighbours.DIM, 4, dtype=np.float32), np.eye(4, dtype=np.float32), np.ones(4))
+    block = decontam.Block([], decontam.WINDOW)
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps([model, block]))
+    code = "from pyspark import cloudpickle; m, b = cloudpickle.loads(open('sent', 'rb').read()); print(m.prior, type(b).__name__)"
+    out = subprocess.run([sys.executable, "-c", code + "\ntry:\n import gradebook\n print('found')\nexcept ImportError:\n print('none')"], cwd=tmp_path, capture_output=True, text=True,
+                         env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(x for x in sys.path if "site-packages" in x)})
+    assert out.stdout.split() == ["1.0", "Block", "none"], out.stderr
