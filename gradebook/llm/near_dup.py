@@ -21,8 +21,8 @@ Chances: at similarity 0.85 a pair shares no band with chance 7e-9, and is dropp
 ``MISS`` per batch; at 0.8 no band is shared with chance 3e-6.
 
 Defined results: null, empty or blank text: n_shingles 0, its own class, kept.  Null doc_id: component null,
-kept.  Equal rows given twice: both rows come back with the same class.  One doc_id given to different texts
-that both lead a class of equal sets: only the one with the smaller set key is compared further.  Columns other than doc_id and text
+kept.  Equal rows given twice: both rows come back with the same class.  A doc_id given to different texts: each text is compared
+on its own, under the number of its class of equal sets, and may be in a component of its own.  Columns other than doc_id and text
 are not read.  An empty table gives an empty result.
 """
 
@@ -89,7 +89,7 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def _described(column: str, describe):
-    """mapInArrow function: doc_id, n_shingles, set key, and the bytes that ``describe`` makes of each set."""
+    """mapInArrow function: doc_id, hash of the text, n_shingles, set key, and the bytes that ``describe`` makes of each set."""
     def fn(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -97,14 +97,14 @@ def _described(column: str, describe):
                 sets = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 key = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1]),
-                     pa.array([describe(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", column])
+                    [batch.column("doc_id").slice(i, j - i), batch.column("tx").slice(i, j - i), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(key[:, 0]),
+                     pa.array(key[:, 1]), pa.array([describe(s) for s in sets], pa.binary())], names=["doc_id", "tx", "n_shingles", "set_a", "set_b", column])
     return fn
 
 
 def described(docs: DataFrame, column: str, describe) -> DataFrame:
-    schema = documents_schema(docs, [("n_shingles", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), (column, T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(_described(column, describe), schema)
+    schema = documents_schema(docs, [("tx", T.LongType()), ("n_shingles", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), (column, T.BinaryType())])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tx")).mapInArrow(_described(column, describe), schema)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -202,7 +202,8 @@ def compare_buckets(percent: int):
 
 
 def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
-    """Block pairs of buckets with the representatives of their surviving pairs and those pairs, packed."""
+    """Block pairs of buckets with the representatives of their surviving pairs and those pairs, packed.  ``doc_id`` here is
+    the number of the class that a representative stands for."""
     rows = reps.mapInArrow(_bands, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("bucket", T.LongType())]))
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.bit_xor(F.xxhash64("doc_id")).alias("who"),
                                          F.min("band").alias("band")).where("n > 1")
@@ -256,46 +257,69 @@ def verify_groups(percent: int):
 
 
 def verified_links(groups: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of representatives whose full shingle sets reach the threshold; they connect all that do."""
-    members = groups.select("gid", F.posexplode("members").alias("place", "doc_id"))
-    ids = stage(members.select("doc_id").distinct(), "members")
-    some = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
-    sets = described(some, "bytes", lambda s: s.tobytes()).drop("n_shingles")
-    named = members.join(reps.select("doc_id", "set_a", "set_b"), "doc_id").join(sets, ["doc_id", "set_a", "set_b"])
-    rows = named.select("gid", "place", "doc_id", "bytes").union(
+    """Links (a, b) of classes whose full shingle sets reach the threshold; they connect all that do."""
+    members = groups.select("gid", F.posexplode("members").alias("place", "cid"))
+    chosen = stage(members.select("cid").distinct().join(reps.select("cid", "doc_id", "set_a", "set_b"), "cid"), "members")
+    some = docs.join(small(chosen.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    sets = described(some, "bytes", lambda s: s.tobytes()).drop("n_shingles", "tx")
+    named = members.join(chosen, "cid").join(sets, ["doc_id", "set_a", "set_b"])
+    rows = named.select("gid", "place", F.col("cid").alias("doc_id"), "bytes").union(
         groups.select("gid", F.lit(-1).alias("place"), F.lit(None).cast("long").alias("doc_id"), F.col("pairs").alias("bytes")))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     return rows.repartition("gid").sortWithinPartitions("gid", "place").mapInArrow(verify_groups(percent), schema)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_copies (rows with an equal set) for every row of ``docs``."""
+def classified(docs: DataFrame, percent: int) -> DataFrame:
+    """Every row of ``docs`` with doc_id, tx (hash of the text), n_shingles, n_copies, component (number of its smallest class) and
+    component_id (smallest doc_id there); the last two are null without a set or a doc_id.
+
+    Classes of equal sets are numbered in the order of their smallest doc_id, so the smallest class reached holds the smallest doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(signatures(texts), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    heads = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("set_a", "set_b")).alias("s")).select("doc_id", "s.set_a", "s.set_b")
-    reps = stage(named.join(heads, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]), "reps")
-    groups = stage(candidate_groups(reps, percent), "groups")
-    comp = components(verified_links(groups, texts, reps, percent))
-    reached = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("set_a", "set_b", "n_copies", F.coalesce("component", "rep").alias("component_id"))
+    classes = stage(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "sets")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = stage(classes.repartitionByRange(parts, "rep").sortWithinPartitions("rep", "set_a", "set_b").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    heads = classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "cid")
+    reps = stage(named.join(heads, ["doc_id", "set_a", "set_b"]).dropDuplicates(["cid"]), "reps")
+    groups = stage(candidate_groups(reps.select(F.col("cid").alias("doc_id"), "n_shingles", "sig"), percent), "groups")
+    comp = stage(components(verified_links(groups, texts, reps, percent)), "components")
+    # few classes have links, and fewer head a component: the doc_id of each head
+    low = stage(comp.select("component").distinct().join(classes.select(F.col("cid").alias("component"), F.col("rep").alias("low")), "component"), "heads")
+    comp = comp.join(small(low, BROADCAST_IDS), "component").withColumnRenamed("node", "cid")
+    reached = classes.join(comp, "cid", "left").select("set_a", "set_b", "n_copies", F.coalesce("component", "cid").alias("component"), F.coalesce("low", "rep").alias("component_id"))
     out = signed.drop("sig").join(reached, ["set_a", "set_b"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", "n_shingles", own.alias("component_id"),
-                      F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
-                      F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_copies")), F.lit(1)).alias("n_copies"))
+    whole = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "tx", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_copies")), F.lit(1)).alias("n_copies"),
+                      F.when(whole, F.col("component")).alias("component"), F.when(whole, F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_copies (rows with an equal set) for every row of ``docs``."""
+    out = classified(docs, percent)
+    own = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"), "n_copies")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of each class' smallest doc_id; of rows equal in doc_id and text one stays."""
-    found = stage(near_duplicates(docs, percent).select("doc_id", "kept"), "found")
-    gone = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("__llm_id")).distinct(), "gone")
-    rest = docs.join(small(gone, BROADCAST_IDS), docs["doc_id"] == F.col("__llm_id"), "left_anti")
-    twice = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__llm_id")).agg(F.count(F.lit(1)).alias("__llm_n"))
-    twice = stage(twice.where("__llm_n > 1").select("__llm_id"), "twice")
+    """The rows of ``docs``, all columns, that stand for their component: the one of the smallest doc_id, and if that has several texts there,
+    of the smallest text hash; of rows equal in doc_id and text one stays.  Rows without a set or without a doc_id stay.
+
+    Rows are told apart by (doc_id, text hash), so a text that is like no other stays whatever else its doc_id holds."""
+    found = stage(classified(docs, percent).select("doc_id", "tx", "component", "component_id"), "found")
+    others = found.where("component IS NOT NULL AND doc_id <> component_id").select("doc_id", "tx")
+    heads = found.where("doc_id = component_id")
+    several = stage(heads.groupBy("component").agg(F.min("tx").alias("low"), F.max("tx").alias("high")).where("low < high").select("component", "low"), "several")
+    rest = heads.join(small(several, BROADCAST_IDS), "component").where("tx > low").select("doc_id", "tx")
+    gone = stage(others.union(rest).distinct().select(F.col("doc_id").alias("__llm_id"), F.col("tx").alias("__llm_tx")), "gone")
+
+    def is_in(t: DataFrame):
+        return (docs["doc_id"] == t["__llm_id"]) & (F.xxhash64(docs["text"]) == t["__llm_tx"])
+
+    left = docs.join(small(gone, BROADCAST_IDS), is_in(gone), "left_anti")
+    twice = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__llm_id"), F.col("tx").alias("__llm_tx")).agg(F.count(F.lit(1)).alias("__llm_n"))
+    twice = stage(twice.where("__llm_n > 1").select("__llm_id", "__llm_tx"), "twice")
     if not twice.take(1):
-        return rest
-    single = rest.join(twice, docs["doc_id"] == F.col("__llm_id"), "left_anti")
-    return single.union(rest.join(twice, docs["doc_id"] == F.col("__llm_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+        return left
+    single = left.join(twice, is_in(twice), "left_anti")
+    return single.union(left.join(twice, is_in(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

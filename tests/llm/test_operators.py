@@ -43,6 +43,22 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_one_id_with_different_texts(spark):
+    """Each text is linked and kept on its own: none is lost, and no link is."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10 ** 6)}" for _ in range(60)) for x in "abc")
+    near = lambda text: text + " and one more word"
+    rows = [(1, a), (5, near(a)), (5, b), (5, b), (2, near(b)), (7, c), (7, near(c)), (7, ""), (None, a), (9, None), (9, None)]
+    got = sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in near_dup.near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted(map(str, [(1, 1, True), (5, 1, False), (5, 2, False), (5, 2, False), (2, 2, True), (7, 7, True), (7, 7, True), (7, 7, True), (None, None, True), (9, 9, True), (9, 9, True)]))
+    left = near_dup.keep_one(frame(spark, rows)).collect()
+    kept = sorted(str((r["doc_id"], r["text"])) for r in left if r["doc_id"] != 7)
+    assert kept == sorted(map(str, [(1, a), (2, near(b)), (None, a), (9, None)]))
+    assert sorted(r["text"] for r in left if r["doc_id"] == 7) in (["", c], ["", near(c)])
+    alone = near_dup.keep_one(frame(spark, [(1, a), (5, near(a)), (5, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in alone) == [(1, a), (5, b)]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(7, 7)]
