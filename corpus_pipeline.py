@@ -10,8 +10,8 @@ next one's ``docs``.  All but the last return the columns of ``documents``.
 * mixing: gives every document its place in the mix of sources; adds units, block, slot, release, deadline, position, in_mix.
 
 toxicity, line_dedup and decontamination decide on each row by its own text; lines are compared in order of (doc_id, text hash,
-line).  near_dup drops every row of a doc_id that is no class' smallest, and of rows equal in doc_id and text keeps one; a null
-doc_id is compared with nothing there and kept.  Null and empty texts pass all stages.
+line).  near_dup tells rows apart by (doc_id, text hash): of each class the row of the smallest doc_id stays, of rows equal in doc_id and
+text one; a null doc_id is compared with nothing there and kept.  Null and empty texts pass all stages.
 """
 
 from __future__ import annotations
