@@ -7,6 +7,7 @@ Hashes are 64 bits and depend on the word's bytes alone, so they agree between t
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,6 +131,38 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+# letters and marks among the code points of the first two planes, by general category
+_LETTER = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x20000)])
+APOSTROPHES = (0x2018, 0x2019, 0x02BC)
+
+
+def wide_characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, code point, bytes) of every character beyond ASCII in UTF-8 ``data``."""
+    at = np.flatnonzero(data >= 0xC2)
+    lead = data[at].astype(np.int32)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    for k in range(1, 4):
+        code = np.where(size > k, code << 6 | data[np.minimum(at + k, len(data) - 1)].astype(np.int32) & 0x3F, code)
+    return at, code, size
+
+
+def only_letters(data: np.ndarray) -> np.ndarray:
+    """``data`` with each character beyond ASCII that is no letter and no mark turned into blanks, a curved apostrophe into straight
+    ones, as many as it has bytes: places in the text stay as they are."""
+    at, code, size = wide_characters(data)
+    letter = np.where(code < len(_LETTER), _LETTER[np.minimum(code, len(_LETTER) - 1)], code < 0x40000)
+    quote = np.isin(code, APOSTROPHES)
+    if (letter & ~quote).all():
+        return data
+    out = data.copy()
+    fill = np.where(quote, ord("'"), ord(" ")).astype(np.uint8)
+    for k in range(4):
+        gone = (~letter | quote) & (size > k)
+        out[at[gone] + k] = fill[gone]
+    return out
+
+
 def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of documents [i, j) holding at most ``limit`` bytes, or one longer document."""
     n, i = len(offsets) - 1, 0

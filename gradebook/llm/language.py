@@ -2,7 +2,8 @@
 
 Fit, on at most about ``FIT_ROWS`` labelled rows (those whose hash of doc_id falls under a share of all): for each
 language, counts of letter trigrams hashed to ``BUCKETS`` (words padded by a blank on both sides, lower-cased where ASCII),
-and the share of its letters in each script range.
+and the share of its letters in each script range.  A word is a run of ASCII letters and of characters beyond ASCII that
+are letters or marks by their general category: quotes, dashes and signs part words and speak for no language.
 
 Prediction: a word's score for a language is the sum of its trigram log probabilities.  A word whose script makes up
 under ``SCRIPT_SHARE`` of a language's letters can't be of that language, unless that excludes all of them.  The best label sequence
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_class, documents_schema, find_words, pieces, text_bytes
+from .common import LOWER, byte_class, documents_schema, find_words, only_letters, pieces, text_bytes, wide_characters
 
 FIT_ROWS = 30_000
 BUCKETS = 1 << 15
@@ -34,16 +35,27 @@ VITERBI_BYTES = 8 << 20   # text labelled at once; one longer document is a piec
 
 LETTERS = ~byte_class((ord("a"), ord("z")), (0x80, 0xFF))
 
-# fixed values: script of a character by the first byte of its UTF-8 form, in ranges
+# fixed values: first code points of script ranges; a range ends where the next one starts
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian_hebrew", "arabic", "indic", "kana_cjk", "hangul", "other")
-_SCRIPT = np.full(256, -1, np.int8)
-for _name, _ranges in {"latin": ((ord("a"), ord("z")), (0xC3, 0xCA)), "greek": ((0xCD, 0xCF),), "cyrillic": ((0xD0, 0xD4),),
-                       "armenian_hebrew": ((0xD5, 0xD7),), "arabic": ((0xD8, 0xDB),), "indic": ((0xE0, 0xE0),),
-                       "kana_cjk": ((0xE3, 0xE9),), "hangul": ((0xEA, 0xED),),
-                       "other": ((0xCB, 0xCC), (0xDC, 0xDF), (0xE1, 0xE2), (0xEE, 0xF4))}.items():
-    for _lo, _hi in _ranges:
-        _SCRIPT[_lo:_hi + 1] = SCRIPTS.index(_name)
-_LEAD = ~byte_class((0x80, 0xBF))
+RANGES = ((0x0000, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian_hebrew"), (0x0600, "arabic"),
+          (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x08A0, "arabic"), (0x0900, "indic"), (0x0E00, "other"), (0x1100, "hangul"),
+          (0x1200, "other"), (0x1C80, "cyrillic"), (0x1C90, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2DE0, "cyrillic"),
+          (0x2E00, "other"), (0x2E80, "kana_cjk"), (0x3130, "hangul"), (0x3190, "kana_cjk"), (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"),
+          (0xA720, "latin"), (0xA800, "other"), (0xA8E0, "indic"), (0xA900, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xAC00, "hangul"),
+          (0xD800, "other"), (0xF900, "kana_cjk"), (0xFB00, "latin"), (0xFB13, "armenian_hebrew"), (0xFB50, "arabic"), (0xFE00, "other"),
+          (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana_cjk"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "kana_cjk"), (0x40000, "other"))
+COMBINING = (0x0300, 0x036F)   # marks of any script: they take that of their letter
+_FROM = np.array([c for c, _ in RANGES])
+_KIND = np.array([SCRIPTS.index(name) for _, name in RANGES], np.int8)
+
+
+def scripts(low: np.ndarray) -> np.ndarray:
+    """The script of each letter, at its first byte; -1 elsewhere.  ``low`` holds no wide characters but letters and marks."""
+    out = np.where((low >= ord("a")) & (low <= ord("z")), np.int8(0), np.int8(-1))
+    at, code, _ = wide_characters(low)
+    mark = (code >= COMBINING[0]) & (code <= COMBINING[1])
+    out[at] = np.where(mark, -1, _KIND[np.searchsorted(_FROM, code, side="right") - 1])
+    return out
 
 
 def trigrams(low: np.ndarray, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,14 +81,14 @@ def _counts(batches):
         data, offsets = text_bytes(batch.column("text"))
         langs = batch.column("lang").to_pylist()
         for i, j in pieces(offsets):
-            low = LOWER[data[offsets[i]:offsets[j]]]
+            low = only_letters(LOWER[data[offsets[i]:offsets[j]]])
             words = find_words(low, offsets[i:j + 1] - offsets[i], LETTERS)
             number, _, bucket = trigrams(low, words)
             names = sorted(set(langs[i:j]))
             code = np.array([names.index(x) for x in langs[i:j]])
             own = code[words.doc[number]] if len(number) else number
             table = np.bincount(own * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-            kind = _SCRIPT[low]
+            kind = scripts(low)
             place = np.flatnonzero(kind >= 0)
             who = code[np.searchsorted(offsets[i:j + 1] - offsets[i], place, side="right") - 1] if len(place) else place
             script = np.bincount(who * len(SCRIPTS) + kind[place], minlength=len(names) * len(SCRIPTS)).reshape(-1, len(SCRIPTS))
@@ -122,10 +134,11 @@ def word_scores(low: np.ndarray, words, model: Model) -> np.ndarray:
     for k in range(len(model.langs)):
         out[:, k] = np.add.reduceat(model.logp[k][bucket], first) if n else 0
     # the script of a word's last non-ASCII letter, else of its first
-    kind = _SCRIPT[low[at]]
+    script_of = scripts(low)
+    kind = script_of[at]
     out_of = np.where((kind >= 0) & (low[at] >= 0x80), at, -1)
     last = np.maximum.reduceat(out_of, first) if n else first
-    script = _SCRIPT[low[np.where(last >= 0, last, words.start)]] if n else first
+    script = script_of[np.where(last >= 0, last, words.start)] if n else first
     fits = model.allowed[:, np.maximum(script, 0)].T & (script >= 0)[:, None]
     fits |= ~fits.any(axis=1, keepdims=True)
     return np.where(fits, out, out - np.float32(1e4))
@@ -173,7 +186,7 @@ def _predict(model: Model, spans: bool) -> Callable:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in pieces(offsets, VITERBI_BYTES):
-                low = LOWER[data[offsets[i]:offsets[j]]]
+                low = only_letters(LOWER[data[offsets[i]:offsets[j]]])
                 own = offsets[i:j + 1] - offsets[i]
                 got, scores = [], []
                 for a, b in pieces(own):

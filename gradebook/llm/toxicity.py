@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text becomes a string of symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, clause end, sentence end, other.  Four
-small transducers are composed into one automaton:
+A text becomes a string of symbols: INSULT, THREAT, SUBJECT, TARGET, PATIENT, NEGATION, REPORT, clause end, sentence end, other.  All of
+SUBJECT, TARGET and PATIENT name somebody: a SUBJECT as the one who acts, a TARGET as one who is acted on when it follows the
+verb, a PATIENT (``dich``, ``te``) wherever it stands.  Four small transducers are composed into one automaton:
 
 * negation: an insult or threat within ``SCOPE`` words after a negation in the same clause is marked negated;
 * reported speech: after a reporting verb, up to the sentence end, it is marked reported;
-* threat: a threat verb counts only with a target in reach;
-* target: an insult with a target in reach, before or after it, is marked aimed.
+* threat: a threat verb counts only with an object in reach after it, or a patient before or after it;
+* target: an insult with anybody in reach, before or after it, is marked aimed.
+
+Words are runs of letters; an ending ``n't``, with either apostrophe, makes its word a negation.
 
 Each finished match emits one of ``KINDS``; a document's score is a logistic function of its matched clauses by kind.
 
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_class, documents_schema, find_words, mix, pieces, powers, stage, text_bytes
+from .common import LOWER, byte_class, documents_schema, find_words, mix, only_letters, pieces, powers, stage, text_bytes
 from .common import MULTIPLIERS
 
 FIT_ROWS = 12_000
@@ -41,21 +44,28 @@ SCOPE = 3
 MIN_SUPPORT = 4           # toxic rows a term stands in
 MIN_SHARE = 0.004         # and their share of all toxic rows of the fit
 MAX_CLEAN = 0.02          # rate in other rows, against its rate in toxic rows
-TERMS = 512               # at most so many are chosen
-DEPTH = 10                # times a toxic row is explained before it counts no more
+DEPTH = 10                # times a toxic row is explained before it counts no more: at most DEPTH / MIN_SHARE terms are chosen
 SAME = 0.6                # overlap of rows from which two terms are taken as forms of one
 
 KINDS = ("insult", "aimed", "negated", "reported", "threat")
 PRIOR = {"insult": 4.0, "aimed": 5.0, "negated": 2.5, "reported": 2.5, "threat": 4.0}
 BIAS = -3.0
 
-# fixed values: function words of the grammar
-TARGET = "you your yours youre he she they them him her his their this that du sie er tu vous il elle usted".split()
+# fixed values: function words of the grammar and threat verbs, in English, German, French and Spanish
+SUBJECT = "yours youre he she they this that du sie er tu il elle ils elles ella ellos".split()
+TARGET = "you your him her his them their usted ustedes".split()
+PATIENT = "dich dir euch ihn te vous".split()
 NEGATION = "not never no isnt arent wasnt dont doesnt nicht kein keine pas jamais nunca".split()
 REPORT = "said says wrote writes claimed claims quoted reported called sagte dit dijo".split()
-THREAT = "kill hurt destroy attack beat shoot stab burn".split()
-
-SYMBOLS = ("other", "INSULT", "THREAT", "TARGET", "NEGATION", "REPORT", "CLAUSE", "SENTENCE")
+THREAT = """
+    kill kills killing murder murdering hurt hurting destroy destroying attack attacking beat beating shoot shooting stab stabbing burn burning
+    töten töte umbringen bringe schlagen schlage verprügeln verprügle erschießen erschieße erstechen erwürgen verbrennen vernichten zerstören
+    tuer tue tuerai tuerons frapper frapperai détruire détruirai brûler brûlerai poignarder étrangler égorger abattre
+    matar mato mataré mataremos golpear golpearé destruir destruiré quemar quemaré apuñalar disparar
+""".split()
+
+SYMBOLS = ("other", "INSULT", "THREAT", "SUBJECT", "TARGET", "PATIENT", "NEGATION", "REPORT", "CLAUSE", "SENTENCE")
+SOMEBODY = ("SUBJECT", "TARGET", "PATIENT")
 LETTERS = ~byte_class((ord("a"), ord("z")), (0x80, 0xFF))
 _CLAUSE = byte_class(*((ord(c), ord(c)) for c in ",;:()"))
 _SENTENCE = byte_class(*((ord(c), ord(c)) for c in ".!?\n"))
@@ -92,27 +102,29 @@ def _reported(state, s):
 
 
 def _aim(state, s):
-    """state: (words since the last target, a plain insult or threat still waiting and for how many words)."""
-    since, wait, left = state
-    near = since <= SCOPE
+    """state: (words since somebody was named, words since a patient, a plain insult or threat still waiting, for how many words)."""
+    since, patient, wait, left = state
     end = s in ("CLAUSE", "SENTENCE")
+    if s in SOMEBODY:
+        after = (0, 0 if s == "PATIENT" else min(patient + 1, SCOPE + 1))
+        if wait == "INSULT" or wait and s != "SUBJECT":
+            return (*after, "", 0), ("aimed" if wait == "INSULT" else "threat",)
+        wait = wait if left else ""
+        return (*after, wait, max(0, left - 1)), ()
     out = ()
-    if s == "TARGET":
-        if wait:
-            return (0, "", 0), ("aimed" if wait == "INSULT" else "threat",)
-        return (0, "", 0), ()
     if wait and (end or left == 0 or s.endswith(("INSULT", "THREAT"))):
         out, wait = (("insult",) if wait == "INSULT" else ()), ""
-    since = SCOPE + 1 if end else min(since + 1, SCOPE + 1)
+    near = patient if s == "THREAT" else since
+    since, patient = (SCOPE + 1, SCOPE + 1) if end else (min(since + 1, SCOPE + 1), min(patient + 1, SCOPE + 1))
     if s.startswith("SAID_"):
-        return (since, wait, max(0, left - 1)), (*out, "reported")
+        return (since, patient, wait, max(0, left - 1)), (*out, "reported")
     if s.startswith("NOT_"):
-        return (since, wait, max(0, left - 1)), (*out, "negated")
+        return (since, patient, wait, max(0, left - 1)), (*out, "negated")
     if s in ("INSULT", "THREAT"):
-        if near:
-            return (since, "", 0), (*out, "aimed" if s == "INSULT" else "threat")
-        return (since, s, SCOPE - 1), out
-    return (since, wait, max(0, left - 1)), out
+        if near <= SCOPE:
+            return (since, patient, "", 0), (*out, "aimed" if s == "INSULT" else "threat")
+        return (since, patient, s, SCOPE - 1), out
+    return (since, patient, wait, max(0, left - 1)), out
 
 
 def compose(*chain: Transducer) -> tuple[list[dict], int]:
@@ -143,7 +155,7 @@ def compose(*chain: Transducer) -> tuple[list[dict], int]:
     return table
 
 
-GRAMMAR = compose(Transducer(0, _negation), Transducer(0, _reported), Transducer((SCOPE + 1, "", 0), _aim))
+GRAMMAR = compose(Transducer(0, _negation), Transducer(0, _reported), Transducer((SCOPE + 1, SCOPE + 1, "", 0), _aim))
 _END = SYMBOLS.index("SENTENCE")
 _RESET = 2 * SCOPE + 2  # other words after which only the reported state is left
 
@@ -168,7 +180,7 @@ def _hash_word(word: str) -> int:
 
 
 _FIXED = {SYMBOLS.index(name): np.sort(np.array([_hash_word(w) for w in words], np.uint64))
-          for name, words in (("THREAT", THREAT), ("TARGET", TARGET), ("NEGATION", NEGATION), ("REPORT", REPORT))}
+          for name, words in (("THREAT", THREAT), ("SUBJECT", SUBJECT), ("TARGET", TARGET), ("PATIENT", PATIENT), ("NEGATION", NEGATION), ("REPORT", REPORT))}
 
 
 def _prefix_hashes(data: np.ndarray, words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +222,22 @@ def symbols_of(data: np.ndarray, words, lexicon: dict) -> np.ndarray:
     return out
 
 
+def contracted_negations(low: np.ndarray, words) -> np.ndarray:
+    """Numbers of the words ``...n`` that are followed by apostrophes and the word ``t``."""
+    if len(words.hash) < 2:
+        return np.zeros(0, np.int64)
+    gap = np.concatenate([[0], np.cumsum(low != ord("'"))])
+    joined = (words.doc[1:] == words.doc[:-1]) & (gap[words.start[1:]] == gap[words.end[:-1]])
+    return np.flatnonzero(joined & (low[words.end[:-1] - 1] == ord("n")) & (low[words.start[1:]] == ord("t")) & (words.end[1:] - words.start[1:] == 1))
+
+
 def features(data: np.ndarray, offsets: np.ndarray, lexicon: dict) -> np.ndarray:
     """(documents, KINDS) matched clauses."""
-    low = LOWER[data]
+    low = only_letters(LOWER[data])
     words = find_words(low, offsets, LETTERS)
     out = np.zeros((len(offsets) - 1, len(KINDS)))
     symbol = symbols_of(low, words, lexicon)
+    symbol[contracted_negations(low, words)] = SYMBOLS.index("NEGATION")
     hot = np.unique(words.doc[(symbol == 1) | (symbol == 2)])
     for d in hot:
         lo, hi = words.first[d], words.first[d] + words.per_doc[d]
@@ -247,7 +269,7 @@ def _toxic_terms(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for i, j in pieces(offsets):
-            low = LOWER[data[offsets[i]:offsets[j]]]
+            low = only_letters(LOWER[data[offsets[i]:offsets[j]]])
             words = find_words(low, offsets[i:j + 1] - offsets[i], LETTERS)
             doc, h = terms(low, words)
             pair = np.unique(np.stack([doc.astype(np.uint64), h], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
@@ -262,7 +284,7 @@ def _clean_counts(known: np.ndarray) -> Callable:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in pieces(offsets):
-                low = LOWER[data[offsets[i]:offsets[j]]]
+                low = only_letters(LOWER[data[offsets[i]:offsets[j]]])
                 doc, h = terms(low, find_words(low, offsets[i:j + 1] - offsets[i], LETTERS))
                 keep = _isin(h, known)
                 k = np.unique(np.stack([doc[keep], np.searchsorted(known, h[keep])]), axis=1)[1] if keep.any() else np.zeros(0, np.int64)
@@ -297,7 +319,7 @@ def learn_lexicon(rows: DataFrame) -> np.ndarray:
         rows_of[r["term"]] = set(r["rows"])
     chosen, times = [], Counter()
     order = list(rows_of)
-    while order and len(chosen) < TERMS:
+    while order:
         gain = {t: sum(times[r] < DEPTH for r in rows_of[t]) for t in order}
         best = min(order, key=lambda t: (-gain[t], other.get(t, 0), t))
         if gain[best] < least:
@@ -324,10 +346,10 @@ def _design(x: np.ndarray) -> np.ndarray:
 
 
 def learn_weights(rows: DataFrame, lexicon: dict) -> np.ndarray:
-    """Bias and weights, from the table of distinct feature rows (few: counts of matches)."""
+    """Bias and weights, from the table of distinct feature rows (at most the fit rows)."""
     schema = T.StructType([T.StructField("y", T.IntegerType())] + [T.StructField(k, T.DoubleType()) for k in KINDS])
     cells = rows.select("text", "y").mapInArrow(_kinds(lexicon), schema) \
-        .groupBy("y", *(F.least(F.col(k), F.lit(15.0)).alias(k) for k in KINDS)).agg(F.count(F.lit(1)).alias("n")).collect()
+        .groupBy("y", *KINDS).agg(F.count(F.lit(1)).alias("n")).collect()
     prior = np.array([BIAS, *(PRIOR[k] for k in KINDS)])
     if not cells:
         return prior
