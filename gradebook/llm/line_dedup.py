@@ -1,8 +1,8 @@
 """Line de-duplication over all documents by a deletion-neighbourhood join (edit bound 1), DataFrame functions only.
 
-A line is a ``\\n``-split piece of a text; it is compared in lower case without outer spaces, and only with at least
-``MIN_CHARS`` characters.  An occurrence is dropped when an earlier one, by (doc_id, text hash, line number), is
-within one inserted, deleted or changed character.
+A line is a ``\\n``-split piece of a text; it is compared in lower case without outer spaces.  An occurrence is dropped when an
+earlier one, by (doc_id, text hash, line number), is equal to it, or, of lines of ``MIN_CHARS`` characters and more, within
+one inserted, deleted or changed character (one edit makes another word of a shorter line).
 
 The neighbourhood of a line of length L holds the line itself (``D`` key, met by longer lines with one character
 deleted) and the line without character p, for each p, filed with p (``S`` key, met by lines that differ in character p
@@ -18,7 +18,7 @@ that share a coarse key with another line go on; each level keeps every pair wit
 
 Each drop is verified by ``levenshtein`` on the two lines themselves.
 
-Defined results: null, empty and short lines are never dropped.  A null doc_id sorts first.  Rows that are equal in
+Defined results: null, empty and blank lines are never dropped.  A null doc_id sorts first.  Rows that are equal in
 doc_id and text share their keys: their lines are dropped or kept alike.  Other columns are not read.
 """
 
@@ -46,9 +46,12 @@ def _half_keys(norm: str = "norm") -> list[str]:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, ta (hash of the text), line_no (from 0) and norm of every line that is compared."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("ta"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "ta", "line_no", F.lower(F.trim("line")).alias("norm")).where(F.length("norm") >= MIN_CHARS)
+    """doc_id, ta (hash of the text), line_no (from 0) and norm of every line that isn't blank."""
+    # hashed below the explode: beside it, the whole text would be hashed again for every line
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("ta")) \
+        .select("doc_id", "ta", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return rows.where(F.col("line").rlike(NOT_BLANK)) \
+        .select("doc_id", "ta", "line_no", F.lower(F.trim("line")).alias("norm"))
 
 
 def _place(prefix: str = ""):
@@ -56,9 +59,9 @@ def _place(prefix: str = ""):
 
 
 def distinct_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences by 128-bit line key, and one row for each distinct line: first place, half keys."""
+    """Occurrences by 128-bit line key, and one row for each distinct line: first place, half keys (null for lines compared exactly)."""
     own = lines(docs).select("doc_id", "ta", "line_no", F.xxhash64("norm").alias("ha"), F.xxhash64(F.lit(1), F.col("norm")).alias("hb"),
-                             *(F.expr(k).alias(f"k{i}") for i, k in enumerate(_half_keys())))
+                             *(F.when(F.length("norm") >= MIN_CHARS, F.expr(k)).alias(f"k{i}") for i, k in enumerate(_half_keys())))
     one = own.groupBy("ha", "hb").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"),
                                       *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
     return own.select("doc_id", "ta", "line_no", "ha", "hb"), one
@@ -73,12 +76,13 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 def near_partners(docs: DataFrame, one: DataFrame) -> DataFrame:
     """(ha, hb, near): for each distinct line with a partner one edit away that stands earlier, the earliest such place."""
     keys = F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key")
+    one = one.where("k0 IS NOT NULL")
     often = stage(one.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "half_keys")
     some = one.select("ha", "hb", "first", keys).join(small(often, SMALL_ROWS), "key", "left_semi").select("ha", "hb", "first").distinct()
     some = stage(some, "half_members")
     # the text of those lines, read at their first place
     wanted = some.select(F.col("first").alias("at"), F.col("first.ta").alias("at_ta"), F.col("first.line_no").alias("at_line"))
-    texts = lines(docs).join(small(wanted, SMALL_ROWS), F.expr("ta = at_ta AND line_no = at_line AND doc_id <=> at.doc_id"), "left_semi") \
+    texts = lines(docs).where(F.length("norm") >= MIN_CHARS).join(small(wanted, SMALL_ROWS), F.expr("ta = at_ta AND line_no = at_line AND doc_id <=> at.doc_id"), "left_semi") \
         .select(F.xxhash64("norm").alias("ha"), F.xxhash64(F.lit(1), F.col("norm")).alias("hb"), "norm", _place().alias("first")).dropDuplicates(["ha", "hb"])
     texts = stage(texts, "half_texts")
     sized = texts.select("*", F.explode(F.array(F.length("norm"), F.length("norm") - 1)).alias("m")) \
@@ -116,37 +120,16 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "ta", "line_no", F.col("low.doc_id").alias("first_doc_id"), F.col("low.line_no").alias("first_line_no"), "edits")
 
 
-def _scraps(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(doc_id, ta) of the documents that lost all lines that are compared, and whose every shorter line stands earlier in the corpus."""
-    ta, norm = F.xxhash64("text").alias("ta"), F.lower(F.trim("line")).alias("norm")
-    sized = docs.select("doc_id", ta, F.expr(f"size(filter(split(text, '\\n', -1), l -> length(lower(trim(l))) >= {MIN_CHARS}))").alias("n_long"))
-    lost = gone.select("__llm_doc_id", "__llm_ta", F.size("__llm_gone").alias("n_gone"))
-    whole = sized.join(lost, F.expr("doc_id <=> __llm_doc_id AND ta = __llm_ta AND n_long = n_gone")).select("__llm_doc_id", "__llm_ta").distinct()
-    whole = stage(whole, "all_long_gone")
-    short = docs.select("doc_id", ta, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(NOT_BLANK)) \
-        .select("doc_id", "ta", "line_no", norm).where(F.length("norm") < MIN_CHARS)
-    own = short.join(small(whole, SMALL_ROWS), F.expr("doc_id <=> __llm_doc_id AND ta = __llm_ta"), "left_semi") \
-        .groupBy("doc_id", "ta", "norm").agg(F.min("line_no").alias("line_no"))
-    own = stage(own, "short_left")
-    wanted = stage(own.select("norm").distinct(), "short_wanted")
-    low = short.join(small(wanted, SMALL_ROWS), "norm", "left_semi").groupBy("norm").agg(F.min(_place()).alias("low"))
-    met = own.join(small(stage(low, "short_first"), SMALL_ROWS), "norm")
-    return met.groupBy("doc_id", "ta").agg(F.min(F.col("low") < _place()).alias("earlier")).where("earlier").select("doc_id", "ta")
-
-
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with duplicate lines cut out of text; rows of which nothing new is left are dropped.
+    """``docs`` with duplicate lines cut out of text; rows that lose lines and are left with nothing or blank lines are dropped.
 
-    Nothing new: every line left is blank, or has under ``MIN_CHARS`` characters and stands, letter for letter as
-    compared, earlier in the corpus.  Rows that lose no line come back as they are, empty ones included.
+    Rows that lose no line come back as they are, empty ones included.
     """
-    gone = duplicate_lines(docs).distinct().groupBy("doc_id", "ta").agg(F.collect_set("line_no").alias("__llm_gone")) \
+    gone = duplicate_lines(docs).groupBy("doc_id", "ta").agg(F.collect_set("line_no").alias("__llm_gone")) \
         .withColumnRenamed("doc_id", "__llm_doc_id").withColumnRenamed("ta", "__llm_ta")
-    gone = stage(gone, "gone")
-    scraps = stage(_scraps(docs, gone), "scraps").withColumn("__llm_scrap", F.lit(True))
-    gone = gone.join(small(scraps, SMALL_ROWS), F.expr("__llm_doc_id <=> doc_id AND __llm_ta = ta"), "left").drop("doc_id", "ta")
-    joined = docs.join(gone, F.expr("doc_id <=> __llm_doc_id") & (F.xxhash64("text") == F.col("__llm_ta")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__llm_gone", i)), "\n")
+    joined = docs.join(stage(gone, "gone"), F.expr("doc_id <=> __llm_doc_id") & (F.xxhash64("text") == F.col("__llm_ta")), "left")
+    # the numbers of the lines that stay by a set difference, so that the cut is linear in the lines of a document
+    rest = F.expr("transform(array(split(text, '\\n', -1)), s -> "
+                  "array_join(transform(array_except(sequence(0, size(s) - 1), __llm_gone), i -> s[i]), '\n'))[0]")
     text = F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(rest)
-    kept = F.col("__llm_gone").isNull() | F.col("__llm_scrap").isNull() & F.col("text").rlike(NOT_BLANK)
-    return joined.withColumn("text", text).where(kept).select(*docs.columns)
+    return joined.withColumn("text", text).where(F.col("__llm_gone").isNull() | F.col("text").rlike(NOT_BLANK)).select(*docs.columns)

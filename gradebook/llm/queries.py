@@ -93,9 +93,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
 o AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lower(trim(s[i])) AS norm FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM p) x),
-l AS (SELECT * FROM o WHERE length(norm) >= {line_dedup.MIN_CHARS}),
+l AS (SELECT * FROM o WHERE regexp_matches(norm, '{line_dedup.NOT_BLANK}')),
 c AS (SELECT norm, length(norm) AS n, min(row(doc_id, line_no)) AS f FROM l GROUP BY norm),
-m AS (SELECT norm, f, n, unnest([n, n - 1]) AS m FROM c),
+m AS (SELECT norm, f, n, unnest([n, n - 1]) AS m FROM c WHERE n >= {line_dedup.MIN_CHARS}),
 h AS (SELECT norm, f, m, 0 AS side, left(norm, m // 2) AS part FROM m UNION ALL SELECT norm, f, m, 1, right(norm, m - m // 2) FROM m),
 near AS (SELECT a.norm, min(b.f) AS near FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.f < a.f AND levenshtein(a.norm, b.norm) = 1
          GROUP BY a.norm),

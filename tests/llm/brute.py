@@ -146,14 +146,15 @@ def edits(a, b):
 
 
 def dropped_lines(docs, least):
-    """{(doc_id, line): (first doc_id, first line, edits)} over (doc_id, text) in order of doc_id."""
+    """{(doc_id, line): (first doc_id, first line, edits)} over (doc_id, text) in order of doc_id: equal lines, and near ones of ``least`` characters."""
     seen, out = [], {}
     for d, text in sorted(docs, key=lambda x: x[0]):
         for no, line in enumerate((text or "").split("\n") if text is not None else []):
             norm = line.strip(" ").lower()
-            if len(norm) < least:
+            if not norm.strip(" \t\n\v\f\r"):
                 continue
-            near = next(((i, n, edits(norm, x)) for i, n, x in seen if edits(norm, x) <= 1), None)
+            bound = 1 if len(norm) >= least else 0
+            near = next(((i, n, edits(norm, x)) for i, n, x in seen if x == norm or bound and len(x) >= least and edits(norm, x) <= bound), None)
             if near:
                 out[d, no] = near
             seen.append((d, no, norm))
@@ -161,15 +162,12 @@ def dropped_lines(docs, least):
 
 
 def cut_texts(docs, least):
-    """doc_id -> text after the line stage, over (doc_id, text) with distinct ids: lines that repeat are cut, documents left with
-    blank lines or short lines that stand earlier are dropped."""
-    docs = sorted(docs, key=lambda x: x[0])
-    gone, short, out = dropped_lines(docs, least), set(), {}
+    """doc_id -> text after the line stage, over (doc_id, text) with distinct ids: lines that repeat are cut, documents left blank by
+    that are dropped."""
+    gone, out = dropped_lines(docs, least), {}
     for d, text in docs:
         lines = text.split("\n") if text is not None else []
         left = [x for k, x in enumerate(lines) if (d, k) not in gone]
-        norms = {x.strip(" ").lower() for x in left if x.strip(" \t\n\v\f\r")}
-        if len(left) == len(lines) or not all(x in short for x in norms):
+        if len(left) == len(lines) or "".join(left).strip(" \t\n\v\f\r"):
             out[d] = "\n".join(left) if text is not None else None
-        short |= {x for x in norms if len(x) < least}
     return out

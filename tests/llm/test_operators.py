@@ -263,9 +263,9 @@ def test_dropped_lines_equal_brute_force(spark, real):
 
 def test_line_cut_keeps_the_rest(spark):
     same = "this line stands in many documents of the corpus"
-    docs = [(1, f"{same}\nown text of the first"), (2, f"own text of the second\n{same}\nshort"), (3, same), (4, None), (5, ""), (6, "short")]
+    docs = [(1, f"{same}\nown text of the first"), (2, f"own text of the second\n{same}\nshort"), (3, same), (4, None), (5, ""), (6, "Short"), (7, "shor")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(frame(spark, docs)).collect()}
-    assert got == {1: docs[0][1], 2: "own text of the second\nshort", 4: None, 5: "", 6: "short"}
+    assert got == {1: docs[0][1], 2: "own text of the second\nshort", 4: None, 5: "", 7: "shor"}
 
 
 @pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 3, "s2": 2}])
