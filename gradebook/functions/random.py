@@ -23,13 +23,14 @@ def sqmod(x: Column) -> Column:
 
 
 def uniform_sql(*parts: str, dialect: str = "spark") -> str:
-    """Seeded uniform in [0, 1) from the first 32 bits of md5(concat_ws('|', parts)).
+    """Seeded uniform in [0, 1) from the first 52 bits of md5(concat_ws('|', parts)): one of as many numbers as a double tells
+    apart there, so that ``floor(u * n)`` reaches every index of up to 2^52.
 
-    Spark and DuckDB render the same number (hex digits → integer → / 2^32)."""
+    Spark and DuckDB render the same number (hex digits → integer → / 2^52)."""
     key = "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" if dialect == "duckdb" else f"CAST({p} AS STRING)" for p in parts) + ")"
     if dialect == "duckdb":
-        return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
-    return f"(CAST(conv(substr(md5({key}), 1, 8), 16, 10) AS BIGINT) / 4294967296.0D)"
+        return f"(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+    return f"(CAST(conv(substr(md5({key}), 1, 13), 16, 10) AS BIGINT) / 4503599627370496.0D)"
 
 
 def uniform(*parts: str) -> Column:

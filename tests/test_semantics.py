@@ -177,7 +177,9 @@ def test_permuted_consistency_agrees_with_plain_permutation(spark):
     assert abs(got - np.mean(plain)) < 5 * np.std(plain)
 
 
-def test_bootstrap_exact_matches_bruteforce(spark):
+@pytest.mark.parametrize("at_once", [2, 65536])
+def test_bootstrap_exact_matches_bruteforce(spark, monkeypatch, at_once):
+    monkeypatch.setattr(R, "DRAWS", at_once)
     vals = [0.1, 0.5, 0.2, 0.9, 0.4]
     df = spark.createDataFrame([("g", i + 1, v) for i, v in enumerate(vals)], "k string, idx long, v double")
     B, seed = 200, 11
@@ -185,7 +187,7 @@ def test_bootstrap_exact_matches_bruteforce(spark):
 
     def u(b, j):
         h = hashlib.md5(f"{seed}|g|{b}|{j}".encode()).hexdigest()
-        return int(h[:8], 16) / 4294967296.0
+        return int(h[:13], 16) / 2.0 ** 52
     means = [np.mean([vals[int(u(b, j) * 5)] for j in range(1, 6)]) for b in range(B)]
     assert out.ci_low == pytest.approx(np.percentile(means, 2.5))
     assert out.ci_high == pytest.approx(np.percentile(means, 97.5))
