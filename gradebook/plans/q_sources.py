@@ -65,6 +65,21 @@ def src_questions(spark, sf):
     return RD.read_question_bank(spark, root, wholetext=False)
 
 
+@register("json_map_entries", views=("questions",), sql="""SELECT case_key, case_id, case_text AS "case", question, options, answer,
+  explanation, labs, has_table AS "table" FROM questions""")
+def json_map_entries(spark, sf):
+    """Question bank as files of one indented object each, read entry by entry whatever the splits of a file."""
+    root = _folder(spark, "question_files")
+    q = fx.questions(spark, sf)
+    entry = F.struct(F.col("case_key").alias("k"), F.struct(
+        F.col("case_text").alias("case"), "question", "options", "answer", "explanation", "labs", F.col("has_table").alias("table")).alias("v"))
+    # some thousand cases an object, however many cases there are: the writer's rows stay bounded
+    bucket = F.floor(F.col("case_id") / ENTRIES_PER_MAP_LINE)
+    whole = q.groupBy(bucket.alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(entry)), {"pretty": "true"}).alias("value"))
+    whole.write.partitionBy("file").text(root)
+    return RD.read_question_bank(spark, root)
+
+
 @register("src_generations", views=("generations",), sql=r"""SELECT regexp_extract(file_name, '^(.*)_promptID_(\d+)_output_(\d+)\.json$', 1) AS model,
   regexp_extract(file_name, '^(.*)_promptID_(\d+)_output_(\d+)\.json$', 2) AS prompt_id,
   CAST(regexp_extract(file_name, '^(.*)_promptID_(\d+)_output_(\d+)\.json$', 3) AS INT) AS experiment_id,

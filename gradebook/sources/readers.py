@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_stream import read_items
+
 QUESTION_FIELDS = ["case", "question", "options", "answer", "explanation", "labs", "table"]
 QUESTION_TYPE = T.MapType(T.StringType(), T.StructType([T.StructField(f, T.StringType()) for f in QUESTION_FIELDS]))
 TEXT_MAP_TYPE = T.MapType(T.StringType(), T.StringType())
@@ -40,10 +41,16 @@ def read_repetition_sheets(spark: SparkSession, root: str, runs: int = 10) -> Da
 def read_json_maps(spark: SparkSession, root: str, value_type: T.DataType, wholetext: bool = True) -> DataFrame:
     """S4/S6 core: JSON objects ``key -> value``; one row per entry + the file path.
 
-    ``wholetext`` reads each file as one (possibly pretty-printed) object; otherwise every line
-    is one object (large maps split over many lines/files by the writer)."""
-    raw = spark.read.text(root, wholetext=wholetext).select(
-        "value", F.col("_metadata.file_path").alias("file_path"))
+    ``wholetext`` reads each file as one (possibly pretty-printed) object of any size, entry by entry and by as many tasks as it has
+    splits (``json_stream``); an entry that doesn't parse gives no row.  Otherwise every line is one object (large maps split
+    over many lines/files by the writer)."""
+    if wholetext:
+        items = read_items(spark, root, ",", 1)
+        opened = F.when(F.col("place") == 0, F.regexp_replace("item", r"^[\s\uFEFF]*\{", "")).otherwise(F.expr("substr(item, 2)"))
+        body = F.when(F.col("shut"), F.regexp_replace(opened, r"\}[^}]*\z", "")).otherwise(opened)
+        raw = items.select("file_path", F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    else:
+        raw = spark.read.text(root).select("value", F.col("_metadata.file_path").alias("file_path"))
     m = raw.select("file_path", F.from_json("value", value_type).alias("m"))
     return m.select("file_path", F.explode("m").alias("key", "value"))
 
@@ -172,20 +179,11 @@ _STRUCTURE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', re.S)
 
 def read_concatenated_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Objects written one behind the other, with or without white space between and inside them: (file_path, place, ok, columns of
-    ``schema``).  An object that is cut off or doesn't parse has ``ok`` false and NULL columns.  A file is read by one task."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-
-    def cut(batches):
-        for batch in batches:
-            files, places, objects = [], [], []
-            for file, text in zip(batch.column("file_path").to_pylist(), batch.column("value").to_pylist()):
-                for place, piece in enumerate(split_concatenated(text)):
-                    files.append(file)
-                    places.append(place)
-                    objects.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(places, pa.int32()), pa.array(objects, pa.string())], names=["file_path", "place", "object"])
-
-    pieces = raw.mapInArrow(cut, "file_path string, place int, object string")
+    ``schema``).  An object that is cut off or doesn't parse has ``ok`` false and NULL columns.  A file is read by as many tasks as it has
+    splits (``json_stream``)."""
+    items = read_items(spark, path, "{", 0).where("startswith(item, '{')")  # what stands before a file's first object is its item 0
+    closed = F.when(F.col("shut"), F.regexp_extract("item", r"(?s)^(.*\})", 1)).otherwise(F.col("item"))
+    pieces = items.select("file_path", (F.col("place") - 1).alias("place"), closed.alias("object"))
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     checked = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = pieces.withColumn("_o", F.from_json("object", checked))
