@@ -66,7 +66,7 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH RECURSIVE c AS (SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT s, n, greatest(1, CAST(floor(sqrt(n)) AS BIGINT)) AS r FROM c),
-w AS (SELECT s, n, greatest(1, {mixing.UNITS} * r // (SELECT CAST(sum(r) AS BIGINT) FROM r)) AS a, row_number() OVER (ORDER BY s) AS i FROM r),
+w AS (SELECT s, n, CASE WHEN (SELECT sum(r) FROM r) <= {mixing.UNITS} THEN r ELSE greatest(1, {mixing.UNITS} * r // (SELECT CAST(sum(r) AS BIGINT) FROM r)) END AS a, row_number() OVER (ORDER BY s) AS i FROM r),
 u AS (SELECT list(a ORDER BY i) AS a, CAST(sum(a) AS BIGINT) AS q, count(*) AS z FROM w),
 f(t, used, p) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM u
