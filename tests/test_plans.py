@@ -13,7 +13,7 @@ PYTHON_OK = {"normalize_text", "article_elements", "article_sections", "section_
 # agreement queries read their fact table once and never join it to itself
 ONE_SCAN = ["global_agreement", "icc", "weighted_kappa", "rater_agreement", "kappa_matrix", "variant_pairs", "contingency", "prompt_agreement",
             "mcnemar_exact", "chi2_association", "stuart_maxwell", "wilcoxon_signed_rank", "wilcoxon_exact", "wilcoxon_small_groups", "agreement_levels"]
-SKIP = {"src_responses", "src_repetition_sheets", "src_questions", "src_generations", "src_articles", "stream_landing_batch", "concatenated_json", "metadata_append", "stream_metadata_append", "stream_sections_upsert", "src_ratings", "src_judgements", "src_answers", "src_goals", "append_log",
+SKIP = {"src_responses", "src_repetition_sheets", "src_questions", "src_generations", "src_articles", "stream_landing_batch", "concatenated_json", "json_map_entries", "metadata_append", "stream_metadata_append", "stream_sections_upsert", "src_ratings", "src_judgements", "src_answers", "src_goals", "append_log",
         "sink_tables", "build_prompts_from_files"}
 
 
