@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def drop_empty_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Drop columns that are NULL in every row.  One aggregate row (a count per column) decides."""
-    cols = [c for c in df.columns if c not in keep]
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).first()
-    return df.select(*[c for c in df.columns if c in keep or counts[c] > 0])
+    """Drop columns that are NULL in every row.
+
+    Each look asks for one row that has a value in a column without any so far, and ends as soon as there is one; a column is
+    dropped only when a whole scan found none."""
+    open_ = [c for c in df.columns if c not in keep]
+    while open_:
+        some = reduce(or_, [F.col(f"`{c}`").isNotNull() for c in open_])
+        row = df.where(some).select(*[F.col(f"`{c}`").isNotNull().alias(f"_{i}") for i, c in enumerate(open_)]).first()
+        if row is None:
+            break
+        open_ = [c for c, found in zip(open_, row) if not found]
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in open_])
 
 
 def wide_by(df: DataFrame, index: Sequence[str], column: str, values: Sequence, value: str,

@@ -72,9 +72,9 @@ def src_repetitions(spark, sf):
     """A repeat sheet (case_id, run1..run10) per (temperature, model) unpivoted to long form."""
     r = fx.responses_rep(spark, sf)
     wide = RS.wide_by(r.withColumn("rc", F.concat(F.lit("run"), F.col("run").cast("string"))),
-                      ["temperature", "model", "case_id"], "rc", RUN_COLS, "response")
+                      ["case_id", "model", "temperature"], "rc", RUN_COLS, "response")  # the case first: its rows lie together
     long = RS.long_from(wide, ["temperature", "model", "case_id"], RUN_COLS, "run", "response")
-    return long.withColumn("run", F.regexp_extract("run", r"(\d+)$", 1).cast("int"))
+    return long.withColumn("run", F.expr("substr(run, 4)").cast("int"))
 
 
 @register("variant_split", views=("graded_t0",), sql="SELECT case_id, " + ", ".join(

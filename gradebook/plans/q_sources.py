@@ -22,6 +22,14 @@ from .common import graded_t0
 ENTRIES_PER_MAP_LINE = 5000
 
 
+FILES_TASKS = 8   # case tasks that write together: each makes a file in every folder
+
+
+def _sheets(spark, sf, df):
+    """``df`` of a case view in fewer tasks for writing into folders, one after the other in each, so that files stay few."""
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, fx.case_tasks(spark, sf) // FILES_TASKS))
+
+
 def _folder(spark, what: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
@@ -30,7 +38,7 @@ def _folder(spark, what: str) -> str:
 def src_responses(spark, sf):
     """Headerless response sheets, one folder per (model, variant), read with an explicit schema."""
     root = _folder(spark, "sheets")
-    fx.responses_t0(spark, sf).select("case_id", "response", "model", "variant").write.partitionBy("model", "variant").csv(root)
+    _sheets(spark, sf, fx.responses_t0(spark, sf).select("case_id", "response", "model", "variant")).write.partitionBy("model", "variant").csv(root)
     return RD.read_response_sheets(spark, root)
 
 
@@ -41,9 +49,9 @@ def src_repetition_sheets(spark, sf):
     root = _folder(spark, "repeats")
     r = fx.responses_rep(spark, sf)
     runs = [f"run{i}" for i in fx.RUNS]
-    wide = (r.groupBy("temperature", "model", "case_id")
+    wide = (r.groupBy("case_id", "model", "temperature")
             .agg(*[F.max(F.when(F.col("run") == i, F.col("response"))).alias(f"run{i}") for i in fx.RUNS]))
-    wide.select("case_id", *runs, "temperature", "model").write.partitionBy("temperature", "model").csv(root)
+    _sheets(spark, sf, wide.select("case_id", *runs, "temperature", "model")).write.partitionBy("temperature", "model").csv(root)
     return RD.read_repetition_sheets(spark, root)
 
 
@@ -113,7 +121,7 @@ def src_ratings(spark, sf):
     root = _folder(spark, "ratings")
     r = fx.ratings(spark, sf)
     wide = r.groupBy("model", "evaluator", "case_id").agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in _META])
-    wide.select("case_id", *_META, "model", "evaluator").write.partitionBy("model", "evaluator").csv(root)
+    _sheets(spark, sf, wide.select("case_id", *_META, "model", "evaluator")).write.partitionBy("model", "evaluator").csv(root)
     return RD.read_checked_rating_sheets(spark, root, _META).select("case_id", "model", "evaluator", "metric", "score")
 
 
@@ -122,7 +130,7 @@ def src_judgements(spark, sf):
     """Judgement sheets of both presentation orders, columns beyond the third dropped."""
     root = _folder(spark, "judgements")
     j = fx.judgements(spark, sf).withColumn("remark", F.lit("n/a"))
-    j.select("case_id", "preferred", "agreement", "remark", "model", "variant", "truth_position").write.partitionBy("model", "variant", "truth_position").csv(root)
+    _sheets(spark, sf, j.select("case_id", "preferred", "agreement", "remark", "model", "variant", "truth_position")).write.partitionBy("model", "variant", "truth_position").csv(root)
     return RD.read_judgement_sheets(spark, root)
 
 
@@ -131,7 +139,7 @@ def src_answers(spark, sf):
     """Answers CSV with header, projected."""
     root = _folder(spark, "answers")
     a = fx.responses_machine2(spark, sf).select("case_id", "model", F.col("response").alias("answer"), F.lit("x").alias("note"))
-    a.write.option("header", "true").csv(root)
+    _sheets(spark, sf, a).write.option("header", "true").csv(root)
     return RD.read_answers(spark, root)
 
 

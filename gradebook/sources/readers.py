@@ -35,7 +35,7 @@ def read_repetition_sheets(spark: SparkSession, root: str, runs: int = 10) -> Da
     df = spark.read.schema(schema).option("header", "false").csv(root)
     long = df.unpivot(["case_id", "temperature", "model"], cols, "run_col", "response")
     return long.select("case_id", F.col("temperature").cast("double").alias("temperature"), "model",
-                       F.regexp_extract("run_col", r"(\d+)$", 1).cast("int").alias("run"), "response")
+                       F.expr("substr(run_col, 4)").cast("int").alias("run"), "response")
 
 
 def read_json_maps(spark: SparkSession, root: str, value_type: T.DataType, wholetext: bool = True) -> DataFrame:
