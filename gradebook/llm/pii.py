@@ -9,8 +9,8 @@ with separators, and inside such a run every join of neighbouring digit groups,
 them, and those over a calibrated threshold become spans, unless a base span already covers them.
 
 Labels for the fit are weak: a number is positive where it is a base span, a secret where an assignment to a key word
-(token, password, ...) stands before it; neither fact is a feature (the check digit of a number is one).  The fit reads about ``FIT_ROWS`` documents by hash of
-doc_id.  Only counts by feature cell, at most 2^features by kind, reach the driver; boosting works on those counts, and
+(token, password, ...) stands before it; neither fact is a feature (the check digit of a number is one).  The fit reads all documents.
+Only counts by feature cell, at most 2^features by kind, reach the driver; boosting works on those counts, and
 the trees come back as one SQL expression.  The threshold is the lowest score at which cells of the other half of
 the fit rows are still ``PRECISION`` pure.
 
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "number")
 
-FIT_ROWS = 30_000
 ROUNDS, SHRINK = 20, 0.3
 MIN_CELL = 5          # candidates in a cell before its purity counts
 PRECISION = 0.95
@@ -164,22 +163,22 @@ def calibrate(model, cells) -> float:
     return at
 
 
-def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, tuple]:
-    """kind -> (bias, trees, threshold)."""
-    total = docs.count()
-    parts = 1_000_000
-    share = parts if total <= limit else max(1, parts * limit // total)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
-    rows = with_matches(some).withColumn("_base", F.concat(*BASE_KINDS)).withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
+def fit(docs: DataFrame) -> dict[str, tuple]:
+    """kind -> (bias, trees, threshold), from the candidates of all documents: one pass counts the cells of both kinds."""
+    rows = with_matches(docs).withColumn("_base", F.concat(*BASE_KINDS)).withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
+    width = max(len(names) for names in FEATURES.values())
+
+    def seen(kind: str) -> str:
+        label = "exists(_base, b -> b.s = x.s AND b.e = x.e)" if kind == "number" else f"x.c RLIKE '{KEY_WORDS.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'"
+        bits = [f"CAST({f} AS INT)" for f in FEATURES[kind]] + ["0"] * (width - len(FEATURES[kind]))
+        return f"transform({kind}, x -> named_struct('kind', '{kind}', 'y', CAST({label} AS INT), 'f', array({', '.join(bits)})))"
+
+    found = rows.select("_half", F.explode(F.expr(f"concat({', '.join(seen(kind) for kind in FEATURES)})")).alias("x"))
+    cells = found.groupBy("_half", "x.kind", *(F.col("x.f")[i].alias(f"f{i}") for i in range(width))).agg(F.count(F.lit(1)).alias("n"), F.sum("x.y").alias("y")).collect()
     out = {}
     for kind, names in FEATURES.items():
-        label = "exists(_base, b -> b.s = x.s AND b.e = x.e)" if kind == "number" else f"x.c RLIKE '{KEY_WORDS.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'"
-        found = rows.select("_half", F.explode(kind).alias("x"), "_base")
-        bits = [F.expr(f"CAST({f} AS INT)").alias(f"f{i}") for i, f in enumerate(names)]
-        cells = found.select("_half", F.expr(f"CAST({label} AS INT)").alias("y"), *bits) \
-            .groupBy("_half", *(f"f{i}" for i in range(len(names)))).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
         halves: dict[int, list] = {0: [], 1: []}
-        for r in sorted(cells, key=str):
+        for r in sorted((r for r in cells if r["kind"] == kind), key=str):
             halves[r["_half"]].append((tuple(r[f"f{i}"] for i in range(len(names))), float(r["n"]), float(r["y"])))
         if sum(c[2] for c in halves[0]) and halves[1]:
             model = boost(halves[0])
