@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reshape as RS
 from ..operators import summary as S
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from .catalog import register
 from .common import REP_KEYS, graded_m2, graded_rep, graded_t0, per_case_rep
@@ -88,5 +92,10 @@ def variant_split(spark, sf):
 @register("case_order", views=("per_case_rep",), sql="""SELECT temperature, model, case_id, n_correct,
   row_number() OVER (PARTITION BY temperature, model ORDER BY n_correct, case_id) AS position FROM per_case_rep""")
 def case_order(spark, sf):
-    """Cases in order of correctness, then id, within (temperature, model)."""
-    return S.case_order(per_case_rep(spark, sf), REP_KEYS)
+    """Cases in order of correctness, then id, within (temperature, model).
+
+    The cut points, the counts and the ranks each read the cases: they are worked out from the answers once, and written."""
+    path = os.path.join(checkpoint_dir(spark), f"per-case-{uuid.uuid4().hex}")
+    per_case = per_case_rep(spark, sf).select(*REP_KEYS, "case_id", "n_correct")
+    per_case.write.parquet(path)
+    return S.case_order(spark.read.schema(per_case.schema).parquet(path), REP_KEYS)
