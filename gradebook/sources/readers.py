@@ -33,9 +33,10 @@ def read_repetition_sheets(spark: SparkSession, root: str, runs: int = 10) -> Da
     cols = [f"run{i}" for i in range(1, runs + 1)]
     schema = "case_id BIGINT, " + ", ".join(f"{c} STRING" for c in cols)
     df = spark.read.schema(schema).option("header", "false").csv(root)
-    long = df.unpivot(["case_id", "temperature", "model"], cols, "run_col", "response")
-    return long.select("case_id", F.col("temperature").cast("double").alias("temperature"), "model",
-                       F.expr("substr(run_col, 4)").cast("int").alias("run"), "response")
+    # the run's number comes along with its cell: no name to be taken apart for each of them
+    cells = F.array(*[F.struct(F.lit(i).alias("run"), F.col(c).alias("response")) for i, c in enumerate(cols, 1)])
+    long = df.select("case_id", F.col("temperature").cast("double").alias("temperature"), "model", F.explode(cells).alias("_c"))
+    return long.select("case_id", "temperature", "model", "_c.run", "_c.response")
 
 
 def read_json_maps(spark: SparkSession, root: str, value_type: T.DataType, wholetext: bool = True) -> DataFrame:
