@@ -75,8 +75,7 @@ def union_tables(spark, sf):
 def src_repetitions(spark, sf):
     """A repeat sheet (case_id, run1..run10) per (temperature, model) unpivoted to long form."""
     r = fx.responses_rep(spark, sf)
-    wide = RS.wide_by(r.withColumn("rc", F.concat(F.lit("run"), F.col("run").cast("string"))),
-                      ["case_id", "model", "temperature"], "rc", RUN_COLS, "response")  # the case first: its rows lie together
+    wide = RS.wide_by(r, ["case_id", "model", "temperature"], "run", fx.RUNS, "response", name=lambda v: f"run{v}")  # the case first: its rows lie together
     long = RS.long_from(wide, ["temperature", "model", "case_id"], RUN_COLS, "run", "response")
     return long.withColumn("run", F.expr("substr(run, 4)").cast("int"))
 
